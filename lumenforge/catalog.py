@@ -2,4 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import QUERIES, ORACLE  # noqa: F401
+from .plans import ORACLE, QUERIES  # noqa: F401
+from .plans import association, bandits, contingency, describe, information, models, sequences, series, similarity, stream, text, twosample  # noqa: F401

@@ -25,6 +25,7 @@ more of it than there are batches.  Nothing is dropped, capped or sampled.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -128,10 +129,37 @@ def segments(sym: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
     return tuple(np.concatenate(x) for x in out)
 
 
+def squeezed(x: np.ndarray | bytes) -> bytes:
+    """Compressed bytes; of numbers, all first bytes come first, then all second ones, and so on."""
+    if not isinstance(x, bytes):
+        x = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(x, asbytes=True)
+
+
+def opened(x: bytes, dtype=None) -> np.ndarray | bytes:
+    got = pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
+    if dtype is None:
+        return got
+    return np.ascontiguousarray(np.frombuffer(got, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
+
+
+def bundles(batches):
+    """Documents of one batch in one row: ids and texts, compressed."""
+    for b in batches:
+        key = b.column("batch").to_numpy(zero_copy_only=False)
+        ids, texts = b.column("doc_id").to_pylist(), b.column("text")
+        order = np.argsort(key, kind="stable")
+        rows = []
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(key) else []:
+            held = [(ids[i], (texts[i].as_py() or "").encode()) for i in part.tolist()]
+            rows.append((int(key[part[0]]), squeezed(pickle.dumps(held, 5))))
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["batch", "bundle"])
+
+
 def batch_of(table: pa.Table) -> tuple[list, list[bytes], np.ndarray]:
     """Ids, texts and ids as numbers of a batch, in an order that the rows alone determine."""
-    ids = table.column("doc_id").to_pylist()
-    texts = [(x or "").encode() for x in table.column("text").to_pylist()]
+    held = [x for r in table.column("bundle").to_pylist() for x in pickle.loads(opened(r))]
+    ids, texts = [x[0] for x in held], [x[1] for x in held]
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
     return [ids[i] for i in order], [texts[i] for i in order], np.array([NONE if ids[i] is None else ids[i] for i in order], np.int64)
 
@@ -150,7 +178,7 @@ def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, gram: i
     """
     total = text_bytes(docs)
     batches, slots = max(4, -(-total // batch_bytes)), max(4, -(-total // slot_bytes))
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches)))
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches))).mapInArrow(bundles, "batch long, bundle binary")
 
     def slot_of(h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(8)) % np.uint64(slots)).astype(np.int64)
@@ -231,21 +259,21 @@ def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, gram: i
         rows = []
         for s, part in by_slot(g[head]):
             slot[part], index[part] = s, np.arange(len(part))
-            rows.append((s, batch, 0, b"".join(contents[k] for k in part.tolist()), count[head[part]].astype(np.uint32).tobytes(), least[part].tobytes(), most[part].tobytes()))
+            rows.append((s, batch, 0, squeezed(b"".join(contents[k] for k in part.tolist())), squeezed(count[head[part]].astype(np.uint32)), squeezed(least[part]), squeezed(most[part] - least[part])))
         place = (slot << 32 | index)[which]
-        rows.append((slots + batch, batch, 1, place.tobytes(), p0.astype(np.int64).tobytes(), row.astype(np.int64).tobytes(), None))
+        rows.append((slots + batch, batch, 1, squeezed(place), squeezed(np.diff(p0, prepend=0)), squeezed(row.astype(np.int64)), None))
         return _packed(rows)
 
     def resolve(key, table):
         kinds = table.column("kind").to_pylist()
         if 1 in kinds:
             return table
-        a, b, c, d = ([x for x in table.column(n).to_pylist()] for n in "abcd")
-        probe = symbols([])[0].dtype
-        sym = np.frombuffer(b"".join(a), probe)
-        counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in b]
+        a, b, c, d = (table.column(n).to_pylist() for n in "abcd")
+        sym = np.frombuffer(b"".join(map(opened, a)), symbols([])[0].dtype)
+        counts = [opened(x, np.uint32).astype(np.int64) for x in b]
         count = np.concatenate(counts)
-        least, most = np.frombuffer(b"".join(c), np.int64), np.frombuffer(b"".join(d), np.int64)
+        least = np.concatenate([opened(x, np.int64) for x in c])
+        most = least + np.concatenate([opened(x, np.int64) for x in d])
         del a, b
         starts = np.cumsum(count + window - 1) - (count + window - 1)
         seg = np.repeat(np.arange(len(count)), count)
@@ -292,7 +320,7 @@ def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, gram: i
         for i, batch in enumerate(table.column("batch").to_pylist()):
             t, n = turn[edges[i] : edges[i + 1]], length[edges[i] : edges[i + 1]]
             if len(t):
-                rows.append((slot, batch, 0, (slot << 32 | (seg[t] - s0)).astype(np.int64).tobytes(), inside[t].astype(np.int64).tobytes(), n.astype(np.int64).tobytes(), before[t].tobytes()))
+                rows.append((slot, batch, 0, squeezed((slot << 32 | (seg[t] - s0)).astype(np.int64)), squeezed(inside[t].astype(np.int64)), squeezed(n.astype(np.int64)), squeezed(before[t])))
             s0 += len(counts[i])
         return _packed(rows)
 
@@ -304,8 +332,9 @@ def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, gram: i
         if 0 in kind and 1 in kind:
             rows = found.to_pylist()
             own = next(r for r in rows if r["kind"] == 1)
-            place, p0, row = (np.frombuffer(own[k], np.int64) for k in "abc")
-            key, skip, run, before = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows if r["kind"] == 0]) for k in "abcd")
+            place, p0, row = (opened(own[k], np.int64) for k in "abc")
+            p0 = np.cumsum(p0)
+            key, skip, run, before = (np.concatenate([opened(r[k], np.int64) for r in rows if r["kind"] == 0]) for k in "abcd")
             order = np.argsort(key, kind="stable")
             key, skip, run, before = key[order], skip[order], run[order], before[order]
             lo, hi = np.searchsorted(key, place, "left"), np.searchsorted(key, place, "right")
