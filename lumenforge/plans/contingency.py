@@ -38,23 +38,26 @@ def chi_square(read):
     return c.rounded(_m(read).select("chi_square"), 6)
 
 
-POS = F.col("l_returnflag") == "R"
+def pos():
+    return F.col("l_returnflag") == "R"
+
+
 CS = "g AS (SELECT l_shipmode_ AS value, count_if(l_returnflag='R') pos, count_if(l_returnflag<>'R') neg FROM (SELECT *, l_linenumber AS l_shipmode_ FROM lineitem) GROUP BY 1), s AS (SELECT value, pos, neg, sum(pos) OVER () POSI, sum(neg) OVER () NEGA FROM g)"
 
 
 @query(f"WITH {CS}, q AS (SELECT value, pos/POSI p, neg/NEGA n FROM s) SELECT value, round(p/(1-p)/(n/(1-n)),9) AS odds, round(p-n,9) AS diff, round(p*(1-n),9) AS min_risk, round(p*ln(p/n),9) AS kl FROM q")
 def class_affinity(read):
-    return c.rounded(c.affinity(read("lineitem"), "l_linenumber", POS), 9)
+    return c.rounded(c.affinity(read("lineitem"), "l_linenumber", pos()), 9)
 
 
 @query(f"WITH {CS} SELECT value, pos*100//(pos+neg) AS code FROM s")
 def supervised_ratio(read):
-    return c.supervised_ratio(read("lineitem"), "l_linenumber", POS)
+    return c.supervised_ratio(read("lineitem"), "l_linenumber", pos())
 
 
 @query(f"WITH {CS} SELECT value, trunc(1000*ln((pos/POSI)/(greatest(neg,1)/NEGA)))::INT AS code FROM s")
 def weight_of_evidence(read):
-    return c.weight_of_evidence(read("lineitem"), "l_linenumber", POS, 1000)
+    return c.weight_of_evidence(read("lineitem"), "l_linenumber", pos(), 1000)
 
 
 @query("""WITH y AS (SELECT o_orderkey, o_orderpriority v, (o_orderstatus='F')::INT y FROM orders), s AS (SELECT v, count(*) n, sum(y) s FROM y GROUP BY 1)
@@ -67,7 +70,7 @@ def loo_encode_no_noise(read):
 @query("""WITH s AS (SELECT count_if(l_quantity>30 AND l_discount<=0.05) n, count_if(l_quantity>30 AND l_discount<=0.05 AND l_returnflag='R') h, count(*) t FROM lineitem), q AS (SELECT *, h/n p FROM s)
 SELECT 'r1' AS rule, n, round(p,6) AS confidence, round(1+p*log2(p)+(1-p)*log2(1-p),6) AS entropy_confidence, round(n/t,6) AS support FROM q""")
 def rule_confidence(read):
-    return c.rounded(c.rule(read("lineitem"), F.expr("l_quantity > 30 and l_discount <= 0.05"), POS, "r1"))
+    return c.rounded(c.rule(read("lineitem"), F.expr("l_quantity > 30 and l_discount <= 0.05"), pos(), "r1"))
 
 
 CONF = "SELECT count_if(a AND p) tp, count_if(NOT a AND p) fp, count_if(NOT a AND NOT p) tn, count_if(a AND NOT p) fn FROM (SELECT l_returnflag='R' a, l_quantity>25 p FROM lineitem)"
@@ -75,14 +78,14 @@ CONF = "SELECT count_if(a AND p) tp, count_if(NOT a AND p) fp, count_if(NOT a AN
 
 @query(f"SELECT *, round(tp/(tp+fn),6) AS recall, round(tp/(tp+fp),6) AS precision, round((tp+tn)/(tp+fp+tn+fn),6) AS accuracy FROM ({CONF})")
 def confusion_counts(read):
-    return c.rounded(c.confusion(read("lineitem"), POS, F.col("l_quantity") > 25))
+    return c.rounded(c.confusion(read("lineitem"), pos(), F.col("l_quantity") > 25))
 
 
 CAL = "cal AS (SELECT least(floor(p*10),9)::INT bin, count(*) n, avg(p) conf, avg((((p>0.5)=(y=1)))::INT) acc FROM (SELECT l_quantity/50.0 p, (l_returnflag='R')::INT y FROM lineitem) GROUP BY 1)"
 
 
 def _cal(read):
-    return c.calibration(read("lineitem"), F.col("l_quantity") / 50.0, POS.cast("int"))
+    return c.calibration(read("lineitem"), F.col("l_quantity") / 50.0, pos().cast("int"))
 
 
 @query(f"WITH {CAL} SELECT bin, n, round(conf,6) AS confidence, round(acc,6) AS accuracy FROM cal")
@@ -121,14 +124,14 @@ def conformal_bound(read):
 
 @query("SELECT round(sum(CASE WHEN (l_quantity>25)<>(l_returnflag='R') THEN l_tax+1 ELSE 0 END)/count(*),6) AS error FROM lineitem")
 def adaboost_error(read):
-    wrong = (F.col("l_quantity") > 25) != POS
+    wrong = (F.col("l_quantity") > 25) != pos()
     return c.rounded(read("lineitem").agg((F.sum(F.when(wrong, F.col("l_tax") + 1).otherwise(0.0)) / F.count("*")).alias("error")))
 
 
 @query("""WITH e AS (SELECT sum(((l_quantity>25)<>(l_returnflag='R'))::INT)/count(*) e FROM lineitem), a AS (SELECT CASE WHEN e<0.5 THEN 0.5*ln((1-e)/e) END a FROM e)
 SELECT l_orderkey, l_linenumber, round(CASE WHEN a IS NULL THEN 1.0 WHEN (l_quantity>25)<>(l_returnflag='R') THEN exp(a) ELSE exp(-a) END,6) AS boost FROM lineitem, a""")
 def adaboost_update(read):
-    wrong = (F.col("l_quantity") > 25) != POS
+    wrong = (F.col("l_quantity") > 25) != pos()
     e = read("lineitem").agg(F.avg(wrong.cast("int")).alias("e")).select(F.when(F.col("e") < 0.5, 0.5 * F.log((1 - F.col("e")) / F.col("e"))).alias("a"))
     a = F.col("a")
     return read("lineitem").crossJoin(F.broadcast(e)).select("l_orderkey", "l_linenumber", F.round(F.when(a.isNull(), 1.0).when(wrong, F.exp(a)).otherwise(F.exp(-a)), 6).alias("boost"))

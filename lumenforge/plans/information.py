@@ -18,13 +18,16 @@ def entropy_cat(read):
 
 
 BINS = "least(floor(l_quantity/10),4)"
-BIN = F.least(F.floor(F.col("l_quantity") / 10), F.lit(4))
+
+
+def quantity_bin():
+    return F.least(F.floor(F.col("l_quantity") / 10), F.lit(4))
 
 
 @query(f"""WITH p AS (SELECT {BINS} b, count(*)*1.0/sum(count(*)) OVER () p FROM lineitem WHERE l_returnflag='R' GROUP BY 1), q AS (SELECT {BINS} b, count(*)*1.0/sum(count(*)) OVER () q FROM lineitem WHERE l_returnflag<>'R' GROUP BY 1)
 SELECT round(sum(p*ln(p/q)),9) AS kl FROM p JOIN q USING (b)""")
 def kl_divergence(read):
-    g = read("lineitem").groupBy(BIN.alias("b")).agg(F.count_if(F.col("l_returnflag") == "R").alias("x"), F.count_if(F.col("l_returnflag") != "R").alias("y"))
+    g = read("lineitem").groupBy(quantity_bin().alias("b")).agg(F.count_if(F.col("l_returnflag") == "R").alias("x"), F.count_if(F.col("l_returnflag") != "R").alias("y"))
     t = g.agg(F.sum("x").alias("X"), F.sum("y").alias("Y"))
     p, q = F.col("x") / F.col("X"), F.col("y") / F.col("Y")
     return g.crossJoin(F.broadcast(t)).agg(F.round(F.sum(p * F.log(p / q)), 9).alias("kl"))
@@ -44,18 +47,18 @@ def mi_cat_cat(read):
 
 @query(MI.format(a=BINS, b="l_returnflag"))
 def mi_num_cat(read):
-    return _mi(read("lineitem"), BIN, F.col("l_returnflag"))
+    return _mi(read("lineitem"), quantity_bin(), F.col("l_returnflag"))
 
 
 @query(MI.format(a=BINS, b="least(floor(l_extendedprice/20000),4)"))
 def mi_num_num(read):
-    return _mi(read("lineitem"), BIN, F.least(F.floor(F.col("l_extendedprice") / 20000), F.lit(4)))
+    return _mi(read("lineitem"), quantity_bin(), F.least(F.floor(F.col("l_extendedprice") / 20000), F.lit(4)))
 
 
 @query(f"""WITH c AS (SELECT l_linestatus z, l_returnflag a, {BINS} b, count(*)::DOUBLE n FROM lineitem GROUP BY 1,2,3),
 m AS (SELECT n, sum(n) OVER (PARTITION BY z,a) r, sum(n) OVER (PARTITION BY z,b) c, sum(n) OVER (PARTITION BY z) t, sum(n) OVER () g FROM c) SELECT round(sum(n/g*ln(n*t/(r*c))),9) AS mi FROM m""")
 def cond_mi(read):
-    c = i.joint(read("lineitem"), {"z": F.col("l_linestatus"), "a": F.col("l_returnflag"), "b": BIN})
+    c = i.joint(read("lineitem"), {"z": F.col("l_linestatus"), "a": F.col("l_returnflag"), "b": quantity_bin()})
     s = lambda *k: c.groupBy(*k).agg(F.sum("n").alias("_" + "".join(k)))
     x = c.join(s("z", "a"), ["z", "a"]).join(s("z", "b"), ["z", "b"]).join(s("z"), "z").crossJoin(F.broadcast(c.agg(F.sum("n").alias("g"))))
     n = F.col("n")
@@ -63,7 +66,7 @@ def cond_mi(read):
 
 
 def _table(read):
-    f = {"discount": F.round(F.col("l_discount") * 100).cast("int"), "line": F.col("l_linenumber"), "quantity": BIN, "status": F.col("l_linestatus")}
+    f = {"discount": F.round(F.col("l_discount") * 100).cast("int"), "line": F.col("l_linenumber"), "quantity": quantity_bin(), "status": F.col("l_linestatus")}
     return i.information_table(read("lineitem"), f, F.col("l_returnflag"))
 
 

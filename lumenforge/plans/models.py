@@ -5,10 +5,13 @@ from ..operators import models as m
 from ..operators.contingency import rounded
 from . import query
 
-POS = F.col("l_returnflag") == "R"
 KEY = ["l_orderkey", "l_linenumber"]
 
 
+def pos():
+    return F.col("l_returnflag") == "R"
+
+
 def _l(read):
     return read("lineitem")
 
@@ -66,13 +69,16 @@ def hash_encode(read):
     return read("orders").select("o_orderkey", *e.hash_vector(F.col("o_orderpriority"), 8))
 
 
-FEAT = {"status": F.col("l_linestatus"), "line": F.col("l_linenumber"), "quantity": F.least(F.floor(F.col("l_quantity") / 10), F.lit(4))}
+def nb_features():
+    return {"status": F.col("l_linestatus"), "line": F.col("l_linenumber"), "quantity": F.least(F.floor(F.col("l_quantity") / 10), F.lit(4))}
+
+
 NB = "u AS (SELECT l_orderkey, l_linenumber, l_returnflag cls, unnest(['status','line','quantity']) feature, unnest([l_linestatus, l_linenumber::VARCHAR, (least(floor(l_quantity/10),4))::INT::VARCHAR]) v FROM lineitem), d AS (SELECT feature, v, cls, count(*) n FROM u GROUP BY 1,2,3)"
 
 
 @query(f"WITH {NB} SELECT feature, v AS value, cls, n FROM d")
 def nb_distribution(read):
-    return m.nb_distribution(_l(read), "l_returnflag", FEAT)
+    return m.nb_distribution(_l(read), "l_returnflag", nb_features())
 
 
 @query(f"""WITH {NB}, t AS (SELECT feature, cls, sum(n) t FROM d GROUP BY 1,2), k AS (SELECT feature, count(DISTINCT v) k FROM d GROUP BY 1), p AS (SELECT cls, ln(t/sum(t) OVER ()) p FROM t WHERE feature='status'),
@@ -80,8 +86,8 @@ s AS (SELECT u.l_orderkey, u.l_linenumber, t.cls, sum(ln((coalesce(d.n,0)+1)/(t+
 q AS (SELECT l_orderkey, l_linenumber, s.cls, round(s+p,9) score FROM s JOIN p ON s.cls=p.cls), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, cls DESC) rn FROM q)
 SELECT l_orderkey, l_linenumber, cls FROM r WHERE rn=1""")
 def nb_predict(read):
-    d = m.nb_distribution(_l(read), "l_returnflag", FEAT)
-    return m.nb_predict(_l(read), KEY, d, FEAT).drop("score")
+    d = m.nb_distribution(_l(read), "l_returnflag", nb_features())
+    return m.nb_predict(_l(read), KEY, d, nb_features()).drop("score")
 
 
 @query("SELECT l_returnflag AS cls, count(*) AS n, round(avg(l_extendedprice),4) AS mean, round(stddev_samp(l_extendedprice),4) AS sd FROM lineitem GROUP BY 1")
@@ -95,12 +101,12 @@ EN = lambda p: f"(-({p}*log2({p})+(1-{p})*log2(1-{p})))"
 
 @query(f"WITH {TS} SELECT point, n, round({EN('(P/N)')}-(n/N_*{EN('(p_/n)')}+(N_-n)/N_*{EN('((P_-p_)/(N_-n))')}),9) AS gain FROM (SELECT point, x.n, x.p p_, g.N N_, g.P P_, g.N AS N, g.P AS P FROM x, g)".replace("(P/N)", "(P_/N_)").replace(", g.N AS N, g.P AS P", ""))
 def tree_split_level(read):
-    return rounded(m.best_split(_l(read), "l_quantity", POS, [10.0, 20.0, 30.0, 40.0]), 9)
+    return rounded(m.best_split(_l(read), "l_quantity", pos(), [10.0, 20.0, 30.0, 40.0]), 9)
 
 
 @query()
 def tree_grow(read):
-    got = m.grow_tree(_l(read), POS, {"l_quantity": [10, 20, 30, 40], "l_discount": [0.02, 0.05, 0.08]}, 2)
+    got = m.grow_tree(_l(read), pos(), {"l_quantity": [10, 20, 30, 40], "l_discount": [0.02, 0.05, 0.08]}, 2)
     return read.spark.createDataFrame([(g["path"], g["population"], round(g["prob"], 9)) for g in got], "path string, population long, prob double")
 
 
@@ -117,7 +123,7 @@ def kmeans_step(read):
 
 @query("WITH s AS (SELECT l_quantity/50 x, l_discount*10 y, (l_returnflag='R')::INT - 1/(1+exp(-(0.1+0.2*(l_quantity/50)-0.3*(l_discount*10)))) e FROM lineitem) SELECT round(avg(e),8) AS g0, round(avg(e*x),8) AS g1, round(avg(e*y),8) AS g2 FROM s")
 def logistic_gradient(read):
-    d = _l(read).select((F.col("l_quantity") / 50).alias("x"), (F.col("l_discount") * 10).alias("y"), POS.cast("int").alias("t"))
+    d = _l(read).select((F.col("l_quantity") / 50).alias("x"), (F.col("l_discount") * 10).alias("y"), pos().cast("int").alias("t"))
     return rounded(m.logistic_gradient(d, ["x", "y"], F.col("t"), [0.1, 0.2, -0.3]), 8)
 
 
