@@ -28,10 +28,10 @@ def frequent(baskets: DataFrame, level: int, support: float) -> DataFrame:
 
 
 def rules(pairs: DataFrame, items: DataFrame, confidence: float) -> DataFrame:
-    """a -> b and b -> a from frequent pairs and single supports."""
-    both = pairs.select(F.explode(F.array(F.struct(F.col("i1").alias("ante"), F.col("i2").alias("cons"), "support"), F.struct(F.col("i2").alias("ante"), F.col("i1").alias("cons"), "support"))).alias("x")).select("x.*")
-    one = items.select(F.col("i1").alias("ante"), F.col("support").alias("s"))
-    out = both.join(one, "ante").withColumn("confidence", F.col("support") / F.col("s"))
+    """a -> b and b -> a from frequent pairs and single items; confidence is a ratio of counts."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("i1").alias("ante"), F.col("i2").alias("cons"), "n", "support"), F.struct(F.col("i2").alias("ante"), F.col("i1").alias("cons"), "n", "support"))).alias("x")).select("x.*")
+    one = items.select(F.col("i1").alias("ante"), F.col("n").alias("n_ante"))
+    out = both.join(one, "ante").withColumn("confidence", F.col("n") / F.col("n_ante"))
     return out.where(F.col("confidence") > confidence).select("ante", "cons", "support", "confidence")
 
 

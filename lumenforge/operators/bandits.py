@@ -13,8 +13,8 @@ def arm_stats(df: DataFrame, arm: str, reward: str, by: list[str] | None = None)
 
 
 def ucb1(stats: DataFrame, scale: float = 1.0, tuned: bool = False) -> DataFrame:
-    t = stats.crossJoin(F.broadcast(stats.agg(F.sum("n").alias("N"))))
-    ln = F.log("N") / F.col("n")
+    t = stats.crossJoin(F.broadcast(stats.agg(F.sum("n").alias("all_n"))))
+    ln = F.log("all_n") / F.col("n")
     if tuned:
         v = F.col("var") / scale**2 + F.sqrt(2 * ln)
         return t.withColumn("score", F.col("mean") / scale + F.sqrt(ln * F.least(F.lit(0.25), v)))

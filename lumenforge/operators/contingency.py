@@ -35,14 +35,14 @@ def measures(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def class_stats(df: DataFrame, value: str, positive: Column) -> DataFrame:
-    """value, pos, neg, and totals POS, NEG."""
+    """value, pos, neg, and totals all_pos, all_neg."""
     g = df.groupBy(F.col(value).alias("value")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    return g.crossJoin(F.broadcast(g.agg(F.sum("pos").alias("POS"), F.sum("neg").alias("NEG"))))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))))
 
 
 def affinity(df: DataFrame, value: str, positive: Column) -> DataFrame:
     s = class_stats(df, value, positive)
-    p, n = F.col("pos") / F.col("POS"), F.col("neg") / F.col("NEG")
+    p, n = F.col("pos") / F.col("all_pos"), F.col("neg") / F.col("all_neg")
     return s.select("value", (p / (1 - p) / (n / (1 - n))).alias("odds"), (p - n).alias("diff"), (p * (1 - n)).alias("min_risk"), (p * F.log(p / n)).alias("kl"))
 
 
@@ -52,7 +52,7 @@ def supervised_ratio(df: DataFrame, value: str, positive: Column, scale: int = 1
 
 def weight_of_evidence(df: DataFrame, value: str, positive: Column, scale: int = 100) -> DataFrame:
     neg = F.greatest("neg", F.lit(1))
-    return class_stats(df, value, positive).select("value", (F.log((F.col("pos") / F.col("POS")) / (neg / F.col("NEG"))) * scale).cast("int").alias("code"))
+    return class_stats(df, value, positive).select("value", (F.log((F.col("pos") / F.col("all_pos")) / (neg / F.col("all_neg"))) * scale).cast("int").alias("code"))
 
 
 def leave_one_out(df: DataFrame, value: str, target: str, reg: float = 10.0, noise: float = 0.0, seed: int = 1, key: str | None = None, train: bool = True) -> DataFrame:

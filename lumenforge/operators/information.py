@@ -83,11 +83,11 @@ def feature_scores(table: DataFrame, algorithm: str, beta: float = 1.0) -> list[
 def split_stats(df: DataFrame, segment: Column, positive: Column) -> DataFrame:
     """Entropy (bits), gini, Hellinger distance, class confidence, gain and gain ratio of one split, binary class."""
     g = df.groupBy(segment.alias("s")).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
-    t = g.agg(F.sum("n").alias("N"), F.sum("p").alias("P"))
+    t = g.agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
     x = g.crossJoin(F.broadcast(t))
     ent = lambda p: F.when((p > 0) & (p < 1), -(p * F.log2(p) + (1 - p) * F.log2(1 - p))).otherwise(0.0)
-    p, w = F.col("p") / F.col("n"), F.col("n") / F.col("N")
-    tp, tn = F.col("p") / F.col("P"), (F.col("n") - F.col("p")) / (F.col("N") - F.col("P"))
-    root = F.first(ent(F.col("P") / F.col("N")))
+    p, w = F.col("p") / F.col("n"), F.col("n") / F.col("all_n")
+    tp, tn = F.col("p") / F.col("all_p"), (F.col("n") - F.col("p")) / (F.col("all_n") - F.col("all_p"))
+    root = F.first(ent(F.col("all_p") / F.col("all_n")))
     out = x.agg(F.sum(w * ent(p)).alias("entropy"), F.sum(w * (1 - p * p - (1 - p) * (1 - p))).alias("gini"), F.sqrt(F.sum(F.pow(F.sqrt(tp) - F.sqrt(tn), 2.0))).alias("hellinger"), F.sum(w * ent(tp / (tp + tn))).alias("class_conf"), root.alias("root"), F.sum(-w * F.log2(w)).alias("split_info"))
     return out.select("entropy", "gini", "hellinger", "class_conf", (F.col("root") - F.col("entropy")).alias("gain"), ((F.col("root") - F.col("entropy")) / F.col("split_info")).alias("gain_ratio"))

@@ -19,7 +19,7 @@ def nb_predict(df: DataFrame, key: list[str], dist: DataFrame, features: dict[st
     dom = dist.select("feature", "value").distinct().join(per, "feature").join(card, "feature").join(dist, ["feature", "value", "cls"], "left")
     lp = dom.select("feature", "value", "cls", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("t") + F.col("v"))).alias("lp"))
     one = per.where(F.col("feature") == next(iter(features)))
-    prior = one.crossJoin(F.broadcast(one.agg(F.sum("t").alias("N")))).select("cls", F.log(F.col("t") / F.col("N")).alias("prior"))
+    prior = one.crossJoin(F.broadcast(one.agg(F.sum("t").alias("all_t")))).select("cls", F.log(F.col("t") / F.col("all_t")).alias("prior"))
     long = df.select(*key, F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), c.cast("string").alias("value")) for k, c in features.items()))).alias("f")).select(*key, "f.*")
     s = long.join(F.broadcast(lp), ["feature", "value"]).groupBy(*key, "cls").agg(F.sum("lp").alias("s")).join(F.broadcast(prior), "cls")
     return s.groupBy(*key).agg(F.max(F.struct(F.round(F.col("s") + F.col("prior"), 9).alias("score"), F.col("cls"))).alias("x")).select(*key, F.col("x.cls").alias("cls"), F.col("x.score").alias("score"))
@@ -31,10 +31,10 @@ def best_split(df: DataFrame, feature: str, positive: Column, points: list[float
     for i, p in enumerate(points):
         left = F.col(feature) <= p
         aggs += [F.count_if(left).alias(f"n{i}"), F.count_if(left & positive).alias(f"p{i}")]
-    one = df.agg(F.count("*").alias("N"), F.count_if(positive).alias("P"), *aggs)
-    long = one.select("N", "P", F.explode(F.array(*(F.struct(F.lit(float(p)).alias("point"), F.col(f"n{i}").alias("n"), F.col(f"p{i}").alias("p")) for i, p in enumerate(points)))).alias("x")).select("N", "P", "x.*")
+    one = df.agg(F.count("*").alias("all_n"), F.count_if(positive).alias("all_p"), *aggs)
+    long = one.select("all_n", "all_p", F.explode(F.array(*(F.struct(F.lit(float(p)).alias("point"), F.col(f"n{i}").alias("n"), F.col(f"p{i}").alias("p")) for i, p in enumerate(points)))).alias("x")).select("all_n", "all_p", "x.*")
     ent = lambda p: F.when((p > 0) & (p < 1), -(p * F.log2(p) + (1 - p) * F.log2(1 - p))).otherwise(0.0)
-    n, p, N, P = (F.col(c) for c in ("n", "p", "N", "P"))
+    n, p, N, P = (F.col(c) for c in ("n", "p", "all_n", "all_p"))
     gain = ent(P / N) - (n / N * ent(p / n) + (N - n) / N * ent((P - p) / (N - n)))
     return long.select("point", "n", gain.alias("gain"))
 

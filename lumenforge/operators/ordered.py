@@ -10,24 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 24
+LEAST, MOST, ROWS = 24, 1024, 500_000
 
 
-def bucket_of(df: DataFrame, col: str, buckets: int = BUCKETS) -> Column:
-    """Number of the bucket of a numeric column's value; nulls are bucket 0."""
-    cuts = df.agg(F.percentile_approx(col, [i / buckets for i in range(1, buckets)], 1000).alias("c")).first()["c"] or []
-    out = F.lit(0)
-    for c in sorted(set(cuts)):
-        out = out + F.coalesce((F.col(col) > c).cast("int"), F.lit(0))
-    return out
+def bucket_of(df: DataFrame, col: str, least: int = LEAST, most: int = MOST, rows: int = ROWS) -> Column:
+    """Number of the bucket of a numeric column's value; nulls are bucket 0.
+
+    About ``rows`` rows a bucket, between ``least`` and ``most`` buckets.  Count and cut points are
+    one row of the driver; the bucket is found by halving, in generated code.
+    """
+    got = df.agg(F.count(col).alias("n"), F.percentile_approx(col, [i / most for i in range(1, most)], 10 * most).alias("c")).first()
+    want = min(most, max(least, -(-got["n"] // rows)))
+    cuts = sorted({c for i, c in enumerate(got["c"] or [], 1) if i * want // most != (i - 1) * want // most})
+
+    def halved(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(col) > cuts[mid], halved(mid + 1, hi)).otherwise(halved(lo, mid))
+
+    return halved(0, len(cuts))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+def running(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
     """Adds running sums over distinct values of ``order``, ascending and inclusive.
 
     df has one row for each value of ``order`` (aggregate before).
     """
-    d = df.withColumn("_b", bucket_of(df, order, buckets)).withColumns({f"_v{i}": c for i, c in enumerate(sums.values())})
+    d = df.withColumn("_b", bucket_of(df, order)).withColumns({f"_v{i}": c for i, c in enumerate(sums.values())})
     w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     tot = d.groupBy("_b").agg(*(F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
@@ -37,9 +47,9 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], buckets: int = B
     return out.drop("_b", *(f"_{k}{i}" for k in "vrp" for i in range(len(sums))))
 
 
-def with_next(df: DataFrame, order: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+def with_next(df: DataFrame, order: str, out: str) -> DataFrame:
     """Adds the next distinct value of ``order`` (null at the end); df has one row for each value."""
-    d = df.withColumn("_b", bucket_of(df, order, buckets))
+    d = df.withColumn("_b", bucket_of(df, order))
     firsts = d.groupBy("_b").agg(F.min(order).alias("_f"))
     later = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     firsts = firsts.select("_b", F.min("_f").over(later).alias("_n"))
@@ -52,3 +62,32 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank", by: list[str] |
     counts = running(df.groupBy(value).agg(F.count("*").alias("_n")), value, {"_c": F.col("_n")})
     ranks = counts.select(F.col(value).alias("_k"), (F.col("_c") - (F.col("_n") - 1) / 2.0).alias(rank), F.col("_n").alias(f"{rank}_ties"))
     return df.join(ranks, df[value] == ranks["_k"]).drop("_k")
+
+
+def discordant(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n and pairs of rows tied in a, in b and in both, and pairs that a and b order differently.
+
+    b becomes a dense code; a pair that differs in b does so first at one bit of the code, among rows
+    that share the bits above.  So each row is counted once for each bit, and a pair is found
+    without being formed.  Running sums in the order of a are taken within buckets of a.
+    """
+    d = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
+    cells = d.groupBy("a", "b").agg(F.count("*").alias("n"))
+    codes = running(d.select("b").distinct(), "b", {"_code": F.lit(1)})
+    bits = max(1, int(codes.agg(F.max("_code").alias("m")).first()["m"] or 1).bit_length())
+    coded = cells.join(codes.select(F.col("b").alias("_v"), "_code"), F.col("b") == F.col("_v")).withColumn("_bucket", bucket_of(cells, "a"))
+    by = ["_level", "_above"]
+    long = coded.select("a", "_bucket", "n", "_code", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_level"))
+    one = F.expr("(_code >> _level) & 1") == 1
+    long = long.select("a", "_bucket", "_level", F.expr("_code >> (_level + 1)").alias("_above"), F.when(one, F.col("n")).otherwise(0).alias("_one"), F.when(one, 0).otherwise(F.col("n")).alias("_zero"))
+    long = long.groupBy(*by, "_bucket", "a").agg(F.sum("_one").alias("_one"), F.sum("_zero").alias("_zero"))
+    inner = Window.partitionBy(*by, "_bucket").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    within = long.select(*by, "_bucket", "_zero", F.coalesce(F.sum("_one").over(inner), F.lit(0)).alias("_own"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    sums = long.groupBy(*by, "_bucket").agg(F.sum("_one").alias("_one"), F.sum("_zero").alias("_zero"))
+    across = sums.select((F.col("_zero") * F.coalesce(F.sum("_one").over(earlier), F.lit(0))).alias("x"))
+    wrong = within.select((F.col("_zero") * F.col("_own")).alias("x")).unionAll(across).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("discordant"))
+    pairs = lambda c: F.sum((F.col(c) * (F.col(c) - 1) / 2).cast("double"))
+    ties = lambda k: cells.groupBy(k).agg(F.sum("n").alias("n")).agg(F.coalesce(pairs("n"), F.lit(0.0)).alias(f"tied_{k}"))
+    both = cells.agg(F.sum("n").cast("double").alias("n"), F.coalesce(pairs("n"), F.lit(0.0)).alias("tied_both"))
+    return both.crossJoin(F.broadcast(ties("a"))).crossJoin(F.broadcast(ties("b"))).crossJoin(F.broadcast(wrong))  # one row each

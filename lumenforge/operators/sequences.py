@@ -95,7 +95,7 @@ def join_candidates(seqs: DataFrame) -> DataFrame:
 
 def positional_clusters(df: DataFrame, key: str, ts: Column, span: float) -> DataFrame:
     """Runs of events whose gaps are at most span seconds."""
-    w = Window.partitionBy(key).orderBy("t")
+    w = Window.partitionBy("k").orderBy("t")
     d = df.select(F.col(key).alias("k"), ts.alias("t"))
     d = d.withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(w) > span, F.lit(True)).cast("int"))
     return d.withColumn("c", F.sum("new").over(w)).groupBy("k", "c").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("span"))

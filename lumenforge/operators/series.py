@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import average_ranks
+from .ordered import average_ranks, discordant
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -22,6 +22,29 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return r.agg(F.corr("ra", "rb").alias("rho"))
 
 
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Tau-b, without forming pairs."""
+    x = discordant(df, a, b)
+    total = F.col("n") * (F.col("n") - 1) / 2
+    agree = total - F.col("tied_a") - F.col("tied_b") + F.col("tied_both") - 2 * F.col("discordant")
+    return x.select((agree / F.sqrt((total - F.col("tied_a")) * (total - F.col("tied_b")))).alias("tau"))
+
+
+def pair_slopes(s: DataFrame) -> DataFrame:
+    """Slopes between all pairs of points of each series (k, i, x): quadratic in a series' length, as its definition asks."""
+    a, b = s.alias("a"), s.alias("b")
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.i") != F.col("b.i"))).select("a.k", "a.i", F.col("b.i").alias("j"), ((F.col("b.x") - F.col("a.x")) / (F.col("b.i") - F.col("a.i"))).alias("slope"))
+
+
+def theil_sen(s: DataFrame) -> DataFrame:
+    return pair_slopes(s).where("i < j").groupBy("k").agg(F.median("slope").alias("slope"))
+
+
+def siegel(s: DataFrame) -> DataFrame:
+    """Median over points of the median slope to all other points."""
+    return pair_slopes(s).groupBy("k", "i").agg(F.median("slope").alias("m")).groupBy("k").agg(F.median("m").alias("slope"))
+
+
 def linear_fit(df: DataFrame, x: Column, y: Column, by: list[str] | None = None) -> DataFrame:
     """By centred sums: regr_* lose digits where x is far from 0."""
     return df.groupBy(*(by or [])).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("n"))

@@ -26,9 +26,31 @@ def grouped_pairs(df: DataFrame, key: str, group: str, cols: list[str]) -> DataF
     return a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).select(F.col(f"a.{key}").alias("k1"), F.col(f"b.{key}").alias("k2"), euclid("a", "b", cols).alias("dist"))
 
 
-def against(queries: DataFrame, rows: DataFrame, key: str, dist) -> DataFrame:
-    """Distance of each row of the bounded query set to all other rows."""
-    return F.broadcast(queries.alias("a")).join(rows.alias("b"), F.col(f"a.{key}") != F.col(f"b.{key}")).select(F.col(f"a.{key}").alias("src"), F.col(f"b.{key}").alias("dst"), dist.alias("dist"))
+def against(queries: DataFrame, rows: DataFrame, key: str, dist: Column, only: Column | None = None, block: int = 4096) -> DataFrame:
+    """Distance of each row of a query set to all other rows (those where ``only`` holds, if given).
+
+    A query set of at most ``block`` rows is broadcast.  A greater one is cut into blocks, and so
+    are the rows; each pair of blocks meets in one task.
+    """
+    cond = F.col(f"a.{key}") != F.col(f"b.{key}")
+    cond = cond if only is None else cond & only
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        a, b = F.broadcast(queries.alias("a")), rows.alias("b")
+    else:
+        own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        a = queries.select("*", own.alias("_q"), each.alias("_r")).alias("a")
+        b = rows.select("*", own.alias("_r"), each.alias("_q")).alias("b")
+        cond = (F.col("a._q") == F.col("b._q")) & (F.col("a._r") == F.col("b._r")) & cond
+    return a.join(b, cond).select(F.col(f"a.{key}").alias("src"), F.col(f"b.{key}").alias("dst"), dist.alias("dist"))
+
+
+def neighbours_in_order(df: DataFrame, key: str, by: list[str], order: str, k: int) -> DataFrame:
+    """Each row with the k rows that follow it in an order within its block: candidate neighbours by one sort."""
+    w = Window.partitionBy(*by).orderBy(order, key)
+    near = F.array(*(F.lead(key, j).over(w) for j in range(1, k + 1)))
+    return df.select(F.col(key).alias("src"), near.alias("n")).select("src", F.explode("n").alias("dst")).where("dst is not null")
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:

@@ -30,8 +30,8 @@ def counts(df: DataFrame, terms: Column, key: str | None = None) -> DataFrame:
 def tf_idf(df: DataFrame, key: str, terms: Column) -> DataFrame:
     tf = counts(df, terms, key)
     d = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = df.agg(F.count("*").alias("N"))
-    return tf.join(d, "term").crossJoin(F.broadcast(n)).select(key, "term", "n", (F.col("n") * F.log(F.col("N") / F.col("df"))).alias("tf_idf"))
+    n = df.agg(F.count("*").alias("docs"))
+    return tf.join(d, "term").crossJoin(F.broadcast(n)).select(key, "term", "n", (F.col("n") * F.log(F.col("docs") / F.col("df"))).alias("tf_idf"))
 
 
 def strip_html(c: Column) -> Column:

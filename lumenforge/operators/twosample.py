@@ -85,8 +85,8 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
 def bartlett(df: DataFrame, value: str, group: str) -> DataFrame:
     g = df.groupBy(group).agg(F.count(value).alias("n"), F.var_samp(value).alias("v"))
     f = F.col("n") - 1
-    x = g.agg(F.sum("n").alias("N"), F.count("*").alias("k"), F.sum(f * F.col("v")).alias("s"), F.sum(f * F.log("v")).alias("l"), F.sum(1 / f).alias("q"))
-    d = F.col("N") - F.col("k")
+    x = g.agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(f * F.col("v")).alias("s"), F.sum(f * F.log("v")).alias("l"), F.sum(1 / f).alias("q"))
+    d = F.col("total") - F.col("k")
     return x.select(((d * F.log(F.col("s") / d) - F.col("l")) / (1 + (F.col("q") - 1 / d) / (3 * (F.col("k") - 1)))).alias("bartlett"))
 
 

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import bandits as b
+from ..operators import batch_choice as bc
+from ..operators import learners, sampling
 from ..operators import similarity as s
 from ..operators.contingency import rounded
 from . import query
@@ -33,18 +35,18 @@ def interval_estimate(read):
     return rounded(_a(read).select("arm", (F.col("mean") + half).alias("upper"), (F.col("mean") - half).alias("lower")), 5)
 
 
-@query("WITH a AS (SELECT o_custkey%50 g, o_orderpriority arm, count(*) n FROM orders WHERE o_orderkey%7=0 GROUP BY 1,2), x AS (SELECT DISTINCT o_custkey%50 g FROM orders), y AS (SELECT DISTINCT o_orderpriority arm FROM orders) SELECT x.g, y.arm FROM x CROSS JOIN y LEFT JOIN a ON a.g=x.g AND a.arm=y.arm WHERE n IS NULL")
+@query("WITH a AS (SELECT o_custkey%50 g, o_orderpriority arm, count(*) n FROM orders WHERE o_totalprice > 450000 GROUP BY 1,2), x AS (SELECT DISTINCT o_custkey%50 g FROM orders), y AS (SELECT DISTINCT o_orderpriority arm FROM orders) SELECT x.g, y.arm FROM x CROSS JOIN y LEFT JOIN a ON a.g=x.g AND a.arm=y.arm WHERE n IS NULL")
 def untried_first(read):
-    o = read("orders").select((F.col("o_custkey") % 50).alias("g"), F.col("o_orderpriority").alias("arm"), "o_orderkey")
-    tried = o.where("o_orderkey % 7 = 0").select("g", "arm").distinct()
+    o = read("orders").select((F.col("o_custkey") % 50).alias("g"), F.col("o_orderpriority").alias("arm"), "o_totalprice")
+    tried = o.where("o_totalprice > 450000").select("g", "arm").distinct()
     return o.select("g").distinct().crossJoin(F.broadcast(o.select("arm").distinct())).join(tried, ["g", "arm"], "left_anti")
 
 
-@query("WITH s AS (SELECT user_id g, event_type arm, count(*) n, sum(value) s FROM events WHERE event_id%2=0 GROUP BY 1,2), r AS (SELECT user_id g, event_type arm, count(*) n, sum(value) s FROM events WHERE event_id%2=1 GROUP BY 1,2) SELECT coalesce(s.g,r.g) AS g, coalesce(s.arm,r.arm) AS arm, coalesce(s.n,0)+coalesce(r.n,0) AS n, round((coalesce(s.s,0)+coalesce(r.s,0))/(coalesce(s.n,0)+coalesce(r.n,0)),6) AS mean FROM s FULL JOIN r ON s.g=r.g AND s.arm=r.arm")
+@query("WITH s AS (SELECT user_id g, event_type arm, count(*) n, sum(value) s FROM events WHERE hour(ts)<12 GROUP BY 1,2), r AS (SELECT user_id g, event_type arm, count(*) n, sum(value) s FROM events WHERE hour(ts)>=12 GROUP BY 1,2) SELECT coalesce(s.g,r.g) AS g, coalesce(s.arm,r.arm) AS arm, coalesce(s.n,0)+coalesce(r.n,0) AS n, round((coalesce(s.s,0)+coalesce(r.s,0))/(coalesce(s.n,0)+coalesce(r.n,0)),6) AS mean FROM s FULL JOIN r ON s.g=r.g AND s.arm=r.arm")
 def reward_update(read):
-    e = read("events").select(F.col("user_id").alias("g"), F.col("event_type").alias("arm"), "value", "event_id")
+    e = read("events").select(F.col("user_id").alias("g"), F.col("event_type").alias("arm"), "value", "ts")
     state = lambda d: d.groupBy("g", "arm").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
-    both = state(e.where("event_id % 2 = 0")).unionAll(state(e.where("event_id % 2 = 1")))
+    both = state(e.where("hour(ts) < 12")).unionAll(state(e.where("hour(ts) >= 12")))
     return both.groupBy("g", "arm").agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))
 
 
@@ -88,9 +90,9 @@ def smote(read):
     from .similarity import PC, _parts
 
     p = _parts(read)
-    rare = p.where("p_partkey % 20 = 0")
-    pairs = s.nearest(s.against(rare, rare, "p_partkey", s.euclid("a", "b", PC)), 3)
-    return rounded(b.smote(pairs, rare, "p_partkey", PC))
+    least = p.groupBy("p_type").agg(F.count("*").alias("n")).orderBy("n", "p_type").limit(1)
+    rare = p.join(F.broadcast(least), "p_type", "left_semi")
+    return rounded(b.smote(s.neighbours_in_order(rare, "p_partkey", ["p_brand"], "p_retailprice", 3), rare, "p_partkey", PC))
 
 
 @query()
@@ -126,3 +128,74 @@ def random_search(read):
 @query()
 def genetic(read):
     return rounded(b.genetic(read.spark, _tour()[1], 12, 12, 20, 20))
+
+
+IT = "i AS (SELECT user_id grp, event_type item, count(*) n, avg(value) m FROM events GROUP BY 1,2), x AS (SELECT u grp, e item, coalesce(n,0)::BIGINT n, coalesce(m,0) m FROM (SELECT DISTINCT user_id u FROM events) CROSS JOIN (SELECT DISTINCT event_type e FROM events) LEFT JOIN i ON i.grp=u AND i.item=e)"
+
+
+def _items(read):
+    e = read("events")
+    have = e.groupBy(F.col("user_id").alias("grp"), F.col("event_type").alias("item")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    kinds = e.select(F.col("event_type").alias("item")).distinct()  # a row for each event type
+    every = e.select(F.col("user_id").alias("grp")).distinct().crossJoin(F.broadcast(kinds))
+    return every.join(have, ["grp", "item"], "left").select("grp", "item", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+@query(f"WITH {IT}, t AS (SELECT *, sum(n) OVER (PARTITION BY grp) t FROM x), r AS (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY (n=0)::INT DESC, round(m/500+sqrt(2*ln(greatest(t,1))/greatest(n,1)),9) DESC, item) rank FROM t) SELECT grp, item, rank::INT AS rank FROM r WHERE rank<=2")
+def batch_ucb(read):
+    return bc.deterministic(_items(read), 2, 500.0)
+
+
+@query()
+def batch_greedy(read):
+    return bc.greedy(_items(read), 2, 3)
+
+
+@query()
+def batch_softmax(read):
+    return bc.soft_max(_items(read), 2, 20.0)
+
+
+@query(f"WITH {IT}, r AS (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY (n=0)::INT DESC, round(m,9) DESC, item) rank FROM x) SELECT grp, item, rank::INT AS rank FROM r WHERE rank<=2")
+def batch_exploit(read):
+    """After its rounds of exploration: the best."""
+    return bc.first_explore(_items(read), 2, 1000, learners.explore_rounds(5))
+
+
+def _learner(name, options):
+    def f(read):
+        e = read("events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("seq"), F.col("event_type").alias("arm"), F.col("value").alias("reward"))
+        arms = [r[0] for r in e.select("arm").distinct().collect()]  # a row for each event type
+        state = e.select("grp").distinct().withColumn("state", F.lit(None).cast("string"))
+        return learners.batch_round(state, e, arms, name, 2, reward_scale=500.0, **options)
+
+    return f
+
+
+for _n in learners.LEARNERS:
+    query(name=f"learner_{_n}")(_learner(_n, {}))
+
+
+@query()
+def sample_percent(read):
+    return sampling.percent(read("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 0.1)
+
+
+@query()
+def sample_weighted(read):
+    return sampling.weighted(read("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice", 100)
+
+
+@query()
+def block_shuffle(read):
+    return sampling.block_shuffled(read("events").select("event_id", "value"), "event_id", 100).select("event_id", "place.block", "place.u")
+
+
+@query()
+def bootstrap_extremes(read):
+    return sampling.bootstrap_extremes(read("orders"), "o_orderkey", "o_totalprice", 1000, 20)
+
+
+@query()
+def sample_in_batches(read):
+    return sampling.batches(read("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500)

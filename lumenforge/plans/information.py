@@ -28,8 +28,8 @@ def quantity_bin():
 SELECT round(sum(p*ln(p/q)),9) AS kl FROM p JOIN q USING (b)""")
 def kl_divergence(read):
     g = read("lineitem").groupBy(quantity_bin().alias("b")).agg(F.count_if(F.col("l_returnflag") == "R").alias("x"), F.count_if(F.col("l_returnflag") != "R").alias("y"))
-    t = g.agg(F.sum("x").alias("X"), F.sum("y").alias("Y"))
-    p, q = F.col("x") / F.col("X"), F.col("y") / F.col("Y")
+    t = g.agg(F.sum("x").alias("all_x"), F.sum("y").alias("all_y"))
+    p, q = F.col("x") / F.col("all_x"), F.col("y") / F.col("all_y")
     return g.crossJoin(F.broadcast(t)).agg(F.round(F.sum(p * F.log(p / q)), 9).alias("kl"))
 
 

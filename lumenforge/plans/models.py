@@ -95,11 +95,12 @@ def nb_gaussian(read):
     return rounded(_l(read).groupBy(F.col("l_returnflag").alias("cls")).agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_extendedprice").alias("sd")), 4)
 
 
-TS = "g AS (SELECT count(*)::DOUBLE N, count_if(l_returnflag='R')::DOUBLE P FROM lineitem), x AS (SELECT pt point, (SELECT count(*) FROM lineitem WHERE l_quantity<=pt) n, (SELECT count_if(l_returnflag='R') FROM lineitem WHERE l_quantity<=pt) p FROM (SELECT unnest([10.0,20.0,30.0,40.0])::DOUBLE pt))"
-EN = lambda p: f"(-({p}*log2({p})+(1-{p})*log2(1-{p})))"
+def _bits(p):
+    return f"(-({p}*log2({p})+(1-{p})*log2(1-{p})))"
 
 
-@query(f"WITH {TS} SELECT point, n, round({EN('(P/N)')}-(n/N_*{EN('(p_/n)')}+(N_-n)/N_*{EN('((P_-p_)/(N_-n))')}),9) AS gain FROM (SELECT point, x.n, x.p p_, g.N N_, g.P P_, g.N AS N, g.P AS P FROM x, g)".replace("(P/N)", "(P_/N_)").replace(", g.N AS N, g.P AS P", ""))
+@query(f"""WITH x AS (SELECT pt AS point, (SELECT count(*) FROM lineitem)::DOUBLE a, (SELECT count_if(l_returnflag='R') FROM lineitem)::DOUBLE ap, (SELECT count(*) FROM lineitem WHERE l_quantity<=pt) n, (SELECT count_if(l_returnflag='R') FROM lineitem WHERE l_quantity<=pt) h FROM (SELECT unnest([10.0,20.0,30.0,40.0])::DOUBLE pt))
+SELECT point, n, round({_bits('(ap/a)')}-(n/a*{_bits('(h/n)')}+(a-n)/a*{_bits('((ap-h)/(a-n))')}),9) AS gain FROM x""")
 def tree_split_level(read):
     return rounded(m.best_split(_l(read), "l_quantity", pos(), [10.0, 20.0, 30.0, 40.0]), 9)
 

@@ -28,24 +28,19 @@ def spearman(read):
     return rounded(s.spearman(read("lineitem"), "l_quantity", "l_extendedprice"), 8)
 
 
-PAIRWISE = "d AS (SELECT o_orderkey i, (o_orderkey % 97)::DOUBLE x, o_totalprice y FROM orders WHERE o_orderkey <= 800)"
+@query("""WITH d AS (SELECT o_orderkey i, o_custkey x, o_totalprice y FROM orders), p AS (SELECT sign(b.x-a.x) sx, sign(b.y-a.y) sy FROM d a JOIN d b ON a.i < b.i) SELECT round(sum(sx*sy)/sqrt(sum(abs(sx))::DOUBLE*sum(abs(sy))::DOUBLE),9) AS tau FROM p""")
+def kendall(read):
+    return rounded(s.kendall(read("orders"), "o_custkey", "o_totalprice"), 9)
 
 
-@query(f"WITH {PAIRWISE}, p AS (SELECT sign(b.x-a.x) sx, sign(b.y-a.y) sy FROM d a JOIN d b ON a.i < b.i) SELECT round(sum(sx*sy)/sqrt(sum(abs(sx))*sum(abs(sy))),8) AS tau FROM p")
-def kendall_sample(read):
-    """Tau-b; quadratic, so the definition takes a fixed block of orders."""
-    d = read("orders").where("o_orderkey <= 800").select(F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 97).cast("double").alias("x"), F.col("o_totalprice").alias("y"))
-    a, b = d.alias("a"), d.alias("b")
-    p = a.join(b, F.col("a.i") < F.col("b.i")).select(F.signum(F.col("b.x") - F.col("a.x")).alias("sx"), F.signum(F.col("b.y") - F.col("a.y")).alias("sy"))
-    return p.agg(F.round(F.sum(F.col("sx") * F.col("sy")) / F.sqrt(F.sum(F.abs("sx")) * F.sum(F.abs("sy"))), 8).alias("tau"))
+@query(f"WITH {SER} SELECT a.k, round(median((b.x-a.x)/(b.i-a.i)),7) AS slope FROM s a JOIN s b ON a.k=b.k AND a.i<b.i GROUP BY 1")
+def theil_sen(read):
+    return rounded(s.theil_sen(_s(read)), 7)
 
 
-@query(f"WITH {PAIRWISE}, p AS (SELECT (b.y-a.y)/(b.x-a.x) m FROM d a JOIN d b ON a.i < b.i AND a.x <> b.x) SELECT round(median(m),4) AS slope FROM p")
-def theil_sen_sample(read):
-    """Median of pair slopes over a fixed block of orders."""
-    d = read("orders").where("o_orderkey <= 800").select(F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 97).cast("double").alias("x"), F.col("o_totalprice").alias("y"))
-    a, b = d.alias("a"), d.alias("b")
-    return a.join(b, (F.col("a.i") < F.col("b.i")) & (F.col("a.x") != F.col("b.x"))).agg(F.round(F.median((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))), 4).alias("slope"))
+@query(f"WITH {SER}, m AS (SELECT a.k, a.i, median((b.x-a.x)/(b.i-a.i)) m FROM s a JOIN s b ON a.k=b.k AND a.i<>b.i GROUP BY 1,2) SELECT k, round(median(m),7) AS slope FROM m GROUP BY 1")
+def siegel(read):
+    return rounded(s.siegel(_s(read)), 7)
 
 
 @query("SELECT round(corr((l_returnflag='R')::INT, l_quantity),9) AS r FROM lineitem")

@@ -43,8 +43,7 @@ def nearest_by_dist(read):
 @query(f"WITH {PS}, {Q}, m AS (SELECT src, dst, d, row_number() OVER (PARTITION BY src ORDER BY d, dst) rn FROM pr WHERE ga=gb) SELECT src, dst, round(d,8) AS dist, rn::INT AS rank FROM m WHERE rn<=3")
 def top_matches_class(read):
     p = _parts(read)
-    a, b = p.where("p_partkey % 20 = 0").alias("a"), p.alias("b")
-    same = a.join(b, (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") != F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("src"), F.col("b.p_partkey").alias("dst"), s.euclid("a", "b", PC).alias("dist"))
+    same = s.against(p.where("p_partkey % 20 = 0"), p, "p_partkey", s.euclid("a", "b", PC), F.col("a.p_type") == F.col("b.p_type"))
     return rounded(s.nearest(same, 3), 8)
 
 
