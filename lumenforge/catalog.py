@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from .plans import ORACLE, QUERIES  # noqa: F401
-from .plans import association, bandits, contingency, describe, information, models, routing, sequences, series, similarity, stream, text, twosample  # noqa: F401
+from .plans import association, bandits, contingency, describe, explore, information, learning, models, routing, scalars, sequence_more, sequences, series, similarity, simulate, stream, text, text_more, twosample  # noqa: F401

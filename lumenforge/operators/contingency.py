@@ -92,5 +92,51 @@ def conformal_bound(df: DataFrame, score: Column, confidence: float) -> DataFram
     return c.crossJoin(F.broadcast(n)).where("cum > k").agg(F.min("s").alias("bound"))
 
 
+def regression_metrics(df: DataFrame, actual: Column, predicted: Column) -> DataFrame:
+    """r2, mae, mse."""
+    e = actual - predicted
+    one = df.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.var_pop(actual).alias("v"))
+    return one.select((1 - F.col("mse") / F.col("v")).alias("r2"), "mae", "mse")
+
+
+def class_metrics(df: DataFrame, actual: Column, p: Column, threshold: float = 0.5) -> DataFrame:
+    """Accuracy, precision, recall, F1 and binary cross entropy of probabilities."""
+    c = confusion(df, actual, p > threshold)
+    q = F.least(F.lit(1 - 1e-15), F.greatest(F.lit(1e-15), p))
+    h = df.agg(F.avg(-F.when(actual, F.log(q)).otherwise(F.log(1 - q))).alias("cross_entropy"))
+    f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))
+    return c.select("accuracy", "precision", "recall", f1.alias("f1")).crossJoin(F.broadcast(h))  # one row each
+
+
+def confusion_table(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def integer_percents(c: DataFrame) -> DataFrame:
+    """Recall, precision and accuracy of confusion counts in whole percents."""
+    return c.select(F.expr("100 * tp div (tp + fn)").alias("recall"), F.expr("100 * tp div (tp + fp)").alias("precision"), F.expr("100 * (tp + tn) div (tp + fp + tn + fn)").alias("accuracy"))
+
+
+def proxy_lift(df: DataFrame, protected: Column, proxy: Column, positive: Column) -> DataFrame:
+    """Bounds of the lift of a protected group from a proxy for it: b1 = P(proxy given protected), b2 = P(protected given proxy)."""
+    b = df.agg((F.count_if(protected & proxy) / F.count_if(protected)).alias("b1"), (F.count_if(protected & proxy) / F.count_if(proxy)).alias("b2"), (F.count_if(proxy & positive) / F.count_if(proxy)).alias("q"), (F.count_if(positive) / F.count("*")).alias("p"))
+    b1, b2, q, p = (F.col(x) for x in ("b1", "b2", "q", "p"))
+    return b.select("b1", "b2", (b1 / b2 * (b2 + q - 1) / p).alias("lift_min"), ((1 - b1 + q * b1 / b2) / p).alias("lift_max"))
+
+
+def stats_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Mean of products of deviations over the population deviations, taken from a first pass."""
+    m = df.agg(F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"))
+    return df.crossJoin(F.broadcast(m)).agg((F.avg((F.col(a) - F.col("ma")) * (F.col(b) - F.col("mb"))) / (F.first("sa") * F.first("sb"))).alias("r"))
+
+
+def smoothed_conditionals(df: DataFrame, value: str, cls: str) -> DataFrame:
+    """value, cls, n, p = P(value given cls), a value not met in a class counting one there."""
+    c = df.groupBy(F.col(value).alias("value"), F.col(cls).alias("cls")).agg(F.count("*").alias("n"))
+    every = c.select("value").distinct().crossJoin(F.broadcast(c.select("cls").distinct()))  # values by classes
+    full = every.join(c, ["value", "cls"], "left").select("value", "cls", F.coalesce("n", F.lit(1)).alias("n"))
+    return full.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("cls")))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else c for c, t in df.dtypes))

@@ -12,9 +12,9 @@ def dummies(df: DataFrame, col: str, values: list) -> DataFrame:
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
     """Value to code, in order of value; a row for each distinct value."""
-    from pyspark.sql import Window
+    from .ordered import dense_index
 
-    return df.select(col).distinct().select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias("code"))
+    return dense_index(df.select(col).distinct(), col).withColumnRenamed("idx", "code")
 
 
 def minmax(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def information_table(df: DataFrame, features: dict[str, Column], target: Column
 
 
 def feature_scores(table: DataFrame, algorithm: str, beta: float = 1.0) -> list[tuple[str, float]]:
-    """Greedy order of features with scores: mim, mifs, jmi, disr, mrmr.
+    """Greedy order of features with scores: mim, mifs, jmi, disr, mrmr, cmim, icap.
 
     The table has a row for each feature and pair of features; the loop never reads the data again.
     """
@@ -53,7 +53,10 @@ def feature_scores(table: DataFrame, algorithm: str, beta: float = 1.0) -> list[
     for r in rows:
         if r["b"] is not None:
             pair[r["a"], r["b"]] = pair[r["b"], r["a"]] = r
+    one = {r["a"]: r for r in rows if r["b"] is None}
     between = lambda f, s: h1[f] + h1[s] - pair[f, s]["h"]
+    target = lambda f: one[f]["mi"] - one[f]["h"] + one[f]["hxy"]  # noqa: E731  entropy of the target
+    given = lambda f, s: one[f]["hxy"] + one[s]["hxy"] - pair[f, s]["hxy"] - target(f)
     if algorithm == "mim":
         return sorted(mi.items(), key=lambda x: (-x[1], x[0]))
     out: list[tuple[str, float]] = []
@@ -72,6 +75,10 @@ def feature_scores(table: DataFrame, algorithm: str, beta: float = 1.0) -> list[
                 return sum(pair[f, s]["mi"] for s in chosen)
             if algorithm == "disr":
                 return sum(pair[f, s]["mi"] / pair[f, s]["hxy"] for s in chosen)
+            if algorithm == "cmim":
+                return mi[f] - max(between(f, s) - given(f, s) for s in chosen)
+            if algorithm == "icap":
+                return mi[f] - sum(max(0.0, between(f, s) - given(f, s)) for s in chosen)
             raise ValueError(algorithm)
 
         best = max(sorted(rest), key=lambda f: round(score(f), 12))

@@ -64,6 +64,15 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank", by: list[str] |
     return df.join(ranks, df[value] == ranks["_k"]).drop("_k")
 
 
+def dense_index(df: DataFrame, text: str, prefix: int = 2) -> DataFrame:
+    """Adds ``idx``: the place, from 0, of a string among distinct ones.  Strings are ordered within their prefix alone."""
+    d = df.withColumn("_p", F.substring(text, 1, prefix))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(text)) - 1
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each prefix
+    start = d.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    return d.withColumn("_i", own).join(start, "_p").withColumn("idx", (F.col("_s") + F.col("_i")).cast("int")).drop("_p", "_i", "_s")
+
+
 def discordant(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n and pairs of rows tied in a, in b and in both, and pairs that a and b order differently.
 

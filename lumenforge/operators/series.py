@@ -87,6 +87,28 @@ def autocorrelation(s: DataFrame, lags: int) -> DataFrame:
     return g.select("k", F.explode(F.array(*(F.struct(F.lit(j).alias("lag"), (F.col(f"s{j}") / F.col("v")).alias("acf")) for j in range(1, lags + 1)))).alias("e")).select("k", "e.lag", "e.acf")
 
 
+def cross_correlation(s: DataFrame, lags: int) -> DataFrame:
+    """Correlation of x at i with y at i - lag, for 0 .. lags; both are centred over the series (k, i, x, y)."""
+    w = Window.partitionBy("k").orderBy("i")
+    m = Window.partitionBy("k")
+    c = s.select("k", "i", (F.col("x") - F.avg("x").over(m)).alias("x"), (F.col("y") - F.avg("y").over(m)).alias("y"))
+    c = c.select("k", "x", "y", *(F.lag("y", j).over(w).alias(f"l{j}") for j in range(lags + 1)))
+    g = c.groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))).alias("v"), *(F.sum(F.col("x") * F.col(f"l{j}")).alias(f"s{j}") for j in range(lags + 1)))
+    return g.select("k", F.explode(F.array(*(F.struct(F.lit(j).alias("lag"), (F.col(f"s{j}") / F.col("v")).alias("ccf")) for j in range(lags + 1)))).alias("e")).select("k", "e.lag", "e.ccf")
+
+
+def labelled(s: DataFrame, size: int) -> DataFrame:
+    """``size`` consecutive values and the one after them."""
+    w = Window.partitionBy("k").orderBy("i")
+    x = s.select("k", "i", *(F.lead("x", j).over(w).alias(f"x{j}") for j in range(size)), F.lead("x", size).over(w).alias("y"))
+    return x.where("y is not null")
+
+
+def running_stats(s: DataFrame) -> DataFrame:
+    w = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return s.select("k", "i", F.count("*").over(w).alias("n"), F.avg("x").over(w).alias("mean"), F.stddev_samp("x").over(w).alias("sd"))
+
+
 def seasonal(s: DataFrame, period: int) -> DataFrame:
     """Centred moving average as trend, mean of what is left by phase as season."""
     h = period // 2

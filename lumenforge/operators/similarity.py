@@ -85,6 +85,32 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     return p.select("k1", "k2", (F.col("c") / (F.col("n1") + F.col("n2") - F.col("c"))).alias("jaccard"))
 
 
+def class_weighted(neighbours: DataFrame, posterior: DataFrame) -> DataFrame:
+    """Neighbours with the probability of their own class: posterior is key, cls, p."""
+    return neighbours.join(posterior.select(F.col("key").alias("dst"), "cls", "p"), ["dst", "cls"])
+
+
+def term_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
+    """k1, k2, cosine of term counts (k, term, n), over pairs that share a term."""
+    norm = lambda d, k: d.groupBy(F.col("k").alias(k)).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"norm_{k}"))
+    p = a.select(F.col("k").alias("k1"), "term", F.col("n").alias("n1")).join(b.select(F.col("k").alias("k2"), "term", F.col("n").alias("n2")), "term")
+    p = p.groupBy("k1", "k2").agg(F.sum(F.col("n1") * F.col("n2")).alias("dot"))
+    return p.join(norm(a, "k1"), "k1").join(norm(b, "k2"), "k2").select("k1", "k2", (F.col("dot") / (F.col("norm_k1") * F.col("norm_k2"))).alias("cosine"))
+
+
+def kernel(dist: Column, kind: str, width: float = 1.0) -> Column:
+    """Weight of a neighbour: none, linearMultiplicative, linearAdditive, gaussian, inverse."""
+    return {"none": F.lit(1.0), "linearMultiplicative": 1 / F.greatest(dist, F.lit(1e-9)), "linearAdditive": F.greatest(F.lit(0.0), width - dist), "gaussian": F.exp(-dist * dist / (2 * width * width)), "inverse": 1 / (1 + dist)}[kind]
+
+
+def regress(neighbours: DataFrame, y: str, how: str = "average") -> DataFrame:
+    """Prediction of each source from its neighbours: average, median, or a line of y over distance at 0."""
+    g = neighbours.groupBy("src")
+    if how == "linear":
+        return g.agg(F.coalesce(F.regr_intercept(F.col(y), F.col("dist")), F.avg(y)).alias("prediction"))
+    return g.agg({"average": F.avg, "median": F.median}[how](y).alias("prediction"))
+
+
 def relief(neighbours: DataFrame, rows: DataFrame, key: str, cls: str, cols: list[str]) -> DataFrame:
     """Relevance of each column: mean distance to misses less that to hits."""
     n = neighbours.join(rows.alias("a"), F.col("src") == F.col(f"a.{key}")).join(rows.alias("b"), F.col("dst") == F.col(f"b.{key}"))

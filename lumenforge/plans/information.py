@@ -103,7 +103,7 @@ def _scores(algorithm):
     return f
 
 
-for _a in ("mifs", "jmi", "disr", "mrmr"):
+for _a in ("mifs", "jmi", "disr", "mrmr", "cmim", "icap"):
     query(name=f"{_a}_scores")(_scores(_a))
 
 SPLIT = """WITH g AS (SELECT (l_quantity>25)::INT s, count(*)::DOUBLE n, count_if(l_returnflag='R')::DOUBLE p FROM lineitem GROUP BY 1), x AS (SELECT *, sum(n) OVER () t, sum(p) OVER () tp FROM g),
