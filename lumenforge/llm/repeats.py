@@ -3,12 +3,13 @@
 Used by the two substring operators.  A document is a sequence of symbols (bytes,
 or 64-bit names of words).  Four steps, each bounded in memory:
 
-1. *Anchors.*  Rounds of pair naming give each run of ``gram`` symbols a 64-bit name
-   (names of runs of 1, 2, 4, ... symbols, a pair of names named in turn).  The anchor
-   of a window is its run of least name, the first of equals.  It depends on the window's
-   symbols alone, so equal windows have equal anchors in every document, and neighbouring
-   windows share one.  Each batch of documents sends each anchor name once, 8 bytes,
-   with a bit that tells whether two of its documents have it.
+1. *Anchors.*  The caller's function finds for each window an anchor, which depends on the
+   window's symbols alone: equal windows have equal anchors in every document, and
+   neighbouring windows share one.  ``segments`` takes the window's run of ``gram`` symbols of
+   least name (names of runs of 1, 2, 4, ... symbols, a pair of names named in turn);
+   ``recompression.anchored`` takes a symbol of a locally consistent parse.  Each batch of
+   documents sends each anchor name once, 8 bytes, with a bit that tells whether two of
+   its documents have it.
 2. *Shared anchors.*  Names met in two batches, or twice in one, go back to the batches.
 3. *Segments.*  Each stretch of windows about one shared anchor is sent, as symbols, to
    the task that owns the anchor; equal stretches of one batch are sent once, with the
@@ -170,11 +171,12 @@ def _packed(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
 
-def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, gram: int, finish: Callable, out_ddl: str, batch_bytes: int = 4 << 20, slot_bytes: int = 8 << 20) -> DataFrame:
+def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, anchors: Callable, finish: Callable, out_ddl: str, batch_bytes: int = 4 << 20, slot_bytes: int = 8 << 20) -> DataFrame:
     """For each document, finish(ids, texts, bounds, cover): cover marks the symbols to remove.
 
     docs: doc_id, text.  symbols(texts) gives the symbols of all texts, joined, and the
-    bounds.  A window counts as seen if it starts in a document of smaller doc_id too.
+    bounds; anchors(symbols, bounds) gives start, number of windows and anchor name of each stretch of
+    windows with one anchor.  A window counts as seen if it starts in a document of smaller doc_id too.
     """
     total = text_bytes(docs)
     batches, slots = max(4, -(-total // batch_bytes)), max(4, -(-total // slot_bytes))
@@ -193,7 +195,7 @@ def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, gram: i
     def find(key, table):
         _, texts, num = batch_of(table)
         sym, bounds = symbols(texts)
-        p0, _, g = segments(sym, bounds, window, gram)
+        p0, _, g = anchors(sym, bounds)
         if not len(g):
             return _packed([])
         doc = num[np.searchsorted(bounds, p0, "right") - 1]
@@ -229,7 +231,7 @@ def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, gram: i
         batch = key[0].as_py()
         _, texts, num = batch_of(table)
         sym, bounds = symbols(texts)
-        p0, count, g = segments(sym, bounds, window, gram)
+        p0, count, g = anchors(sym, bounds)
         g &= ~ONE
         shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in marks.column("a").to_pylist()]))
         at = np.searchsorted(shared, g)
@@ -348,8 +350,8 @@ def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, gram: i
         return finish(ids, texts, bounds, np.cumsum(diff[:-1]) > 0)
 
     groups = dealt.groupBy("batch")
-    anchors = groups.applyInArrow(find, PACKED)
-    marks = anchors.groupBy("slot").applyInArrow(share, PACKED)
+    came = groups.applyInArrow(find, PACKED)
+    marks = came.groupBy("slot").applyInArrow(share, PACKED)
     sent = groups.cogroup(marks.groupBy("batch")).applyInArrow(send, PACKED)
     found = sent.groupBy("slot").applyInArrow(resolve, PACKED)
     return groups.cogroup(found.groupBy("batch")).applyInArrow(cover, out_ddl)

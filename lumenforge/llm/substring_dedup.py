@@ -1,10 +1,9 @@
-"""Substring dedup by naming rounds: removes words that an earlier document already has.
+"""Substring dedup by recompression: removes words that an earlier document already has.
 
-Rounds of naming replace words, then pairs of names, by symbols that depend on the words
-alone; equal windows hold equal interior symbols, the least of which anchors the window.
-Shared anchors reveal long repeats, which are then verified name by name (see
-``repeats``).  Names are a 64-bit hash, which every task computes alike, in place of a
-table of names dealt out by a shuffle each round.
+Rounds name runs of words and pairs of neighbours (see ``recompression``), so that equal
+substrings hold equal interior symbols.  The interior symbol of least name anchors a window of
+words; anchors that two documents share reveal long repeats, which are then verified word by
+word (see ``repeats``).  Names are 64-bit hashes, which every task computes alike.
 
 Defined cases: null text counts as empty (0 words, hash of the empty string); a document
 shorter than the window loses nothing; rows with the same doc_id don't count as earlier
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import parts
+from .recompression import anchored
 from .repeats import arrow_schema, windows_seen_before
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -40,7 +40,7 @@ def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(got, np.uint64), np.array(bounds, np.int64)
 
 
-def drop_repeated_words(docs: DataFrame, window: int = 13, gram: int = 4, with_text: bool = False, **options) -> DataFrame:
+def drop_repeated_words(docs: DataFrame, window: int = 13, rounds: int = 2, with_text: bool = False, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay, if with_text).
 
     A word goes if a window of ``window`` consecutive words that covers it also starts in
@@ -61,4 +61,4 @@ def drop_repeated_words(docs: DataFrame, window: int = 13, gram: int = 4, with_t
         cols = [pa.array(ids, pa.int64()), n, gone, sha] + [kept] * with_text
         return pa.table(cols, schema=arrow_schema(ddl))
 
-    return windows_seen_before(parts(docs), word_symbols, window, gram, finish, ddl, **options)
+    return windows_seen_before(parts(docs), word_symbols, window, lambda sym, bounds: anchored(sym, bounds, window, rounds), finish, ddl, **options)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import parts
-from .repeats import arrow_schema, windows_seen_before
+from .repeats import arrow_schema, segments, windows_seen_before
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 OUT_SPANS = OUT + ", spans string"
@@ -55,4 +55,4 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 24, with_
         cols = [pa.array(ids, pa.int64()), n, gone, runs, sha] + [spans] * with_spans
         return pa.table(cols, schema=arrow_schema(ddl))
 
-    return windows_seen_before(parts(docs), byte_symbols, length, gram, finish, ddl, **options)
+    return windows_seen_before(parts(docs), byte_symbols, length, lambda sym, bounds: segments(sym, bounds, length, gram), finish, ddl, **options)

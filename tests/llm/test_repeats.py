@@ -100,3 +100,26 @@ def test_names_depend_on_the_run_alone():
         for i in range(len(h)):
             assert by.setdefault(x[i : i + n].tobytes(), h[i]) == h[i]
         assert len(set(by.values())) == len(by)
+
+
+@pytest.mark.parametrize("letters,seed", [(2, 1), (3, 2), (50, 3)])
+def test_equal_windows_have_equal_anchors(monkeypatch, letters, seed):
+    """Whatever lies around them, and wherever a chunk ends; and every window has one."""
+    from lumenforge.llm import recompression
+
+    r = np.random.default_rng(seed)
+    parts = [r.integers(0, letters, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in (40, 300, 13, 5, 200)]
+    parts += [np.concatenate([p[3:], parts[1][20:90], p[:7]]) for p in parts] + [np.repeat(parts[0][:3], 20)]
+    sym, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    for chunk in (1 << 19, 64):
+        monkeypatch.setattr(recompression, "CHUNK", chunk)
+        start, count, name = recompression.anchored(sym, bounds, 13)
+        at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+        key = np.repeat(name, count)
+        want = [i for a, b in zip(bounds[:-1], bounds[1:]) for i in range(a, b - 12)]
+        assert at.tolist() == want
+        seen = {}
+        for i, k in zip(at.tolist(), key.tolist()):
+            assert seen.setdefault(sym[i : i + 13].tobytes(), k) == k
+        if letters == 50:
+            assert count.mean() > 2
