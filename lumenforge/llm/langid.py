@@ -3,7 +3,7 @@
 Each language has a codeword of bits.  For each bit a binary classifier over byte trigrams
 (a linear model: smoothed log-odds of the languages whose bit is 1 against the others) gives
 a margin; the language whose codeword has the least weighted loss wins.  A bit's weight is
-its accuracy on the training rows.  A decision whose loss is close to the second's is flagged.
+how far its accuracy on the training rows exceeds chance.  A decision whose loss is close to the second's is flagged.
 
 Training counts trigrams on at most ``sample`` documents of each language (chosen by a hash of
 doc_id, so the same at any partitioning); whole texts are counted there and in prediction.
@@ -111,9 +111,26 @@ def train(docs: DataFrame, use: Column, sample: int = 1500) -> Codes:
         yield pa.record_batch([pa.array(list(got), pa.string()), pa.array([c.tobytes() for c in got.values()], pa.binary())], names=["lang", "counts"])
 
     total: dict[str, np.ndarray] = {}
-    for r in rows.where(keep).repartition(6).mapInArrow(count, "lang string, counts binary").collect():  # 6 rows a language at most
+    picked = rows.where(keep).repartition(6)
+    for r in picked.mapInArrow(count, "lang string, counts binary").collect():  # 6 rows a language at most
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
-    return Codes(total)
+    model = Codes(total)
+
+    def judge(batches):
+        right, n = np.zeros(len(model.bit_weight)), 0
+        for b in batches:
+            for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if t and LETTER.search(t):
+                    m, _ = model.margins(t)
+                    right += (m > 0) == (model.codes[model.langs.index(lang)] == 1)
+                    n += 1
+        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([right.tobytes()], pa.binary())], names=["n", "right"])
+
+    got = picked.mapInArrow(judge, "n long, right binary").collect()  # a row for each of 6 tasks
+    n = sum(r["n"] for r in got)
+    if n and len(total) > 1:  # a bit no better than chance counts nearly nothing
+        model.bit_weight = np.maximum(0.02, 2 * sum(np.frombuffer(r["right"], float) for r in got) / n - 1)
+    return model
 
 
 def predict(docs: DataFrame, model: Codes) -> DataFrame:
