@@ -122,5 +122,6 @@ def exact_duplicates(docs: DataFrame, bits: int = 12, capacity: int = 8 << 20) -
     cls = owners(index, del_bits, capacity)
     rows = index.select("doc_id", "text_sha256", "leader").join(cls, "leader")
     rows = stored(rows.select("doc_id", "text_sha256", "class"), "classes")
-    groups = rows.groupBy("class").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # stored: the join is then dealt anew, so that a class with a third of all rows can be split
+    groups = stored(rows.groupBy("class").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, "class").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
