@@ -152,10 +152,15 @@ class Latent:
 
         df = _added(docs.mapInArrow(run, SUMS), np.int64).get(0, np.zeros(size + 1, np.int64))
         n = max(1, int(df[-1]))
-        idf = np.log((n + 1) / (df[:-1] + 1.0))
-        idf[df[:-1] > self.common * n] = 0 if n > 50 else 0.1
+        full = np.maximum(np.log((n + 1) / (df[:-1] + 1.0)), 0.1)
+        idf = np.where(df[:-1] > self.common * n, 0 if n > 50 else 0.1, full)
+        for _, piece, _ in self.items.pieces:  # a piece of common words keeps the rarest half of them
+            left = -(-len(piece) // 2) - int(np.count_nonzero(idf[piece]))
+            if left > 0:
+                zero = sorted({w for w in piece if not idf[w]}, key=lambda w: (-full[w], w))[:left]
+                idf[zero] = full[zero]
         idf[0] = np.log(n + 1.0)  # words the benchmark does not have
-        self.idf = np.maximum(idf, 0)
+        self.idf = idf
 
     def fit(self, docs: DataFrame) -> None:
         size, dims, bucket, sign = self.items.size, self.dims, self.bucket, self.sign
