@@ -52,7 +52,8 @@ def bucketed(field: Field) -> Column:
 
 
 def write_delimited(df: DataFrame, path: str, delim: str = ",") -> None:
-    df.write.option("sep", delim).csv(path)
+    """Text without header or quoting; a null is an empty field."""
+    df.select(F.concat_ws(delim, *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)).alias("value")).write.text(path)
 
 
 def write_by_length(df: DataFrame, path: str, column: str = "itemset_len") -> None:
