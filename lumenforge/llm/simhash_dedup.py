@@ -14,9 +14,12 @@ share of T (l of m segments: at most T * l / m), not one segment alone.
   segments without a difference (20 bits, 128 keys).  A pair at 0.8 has 4.8 such chains
   on average.  A pair then links at 110 or fewer differing bits of 640.
 
-Keys cross the network as packed arrays.  The owner of a slot links the fingerprints of a
-key by search from one to all not yet reached: a group of near copies costs about its size,
-and it gives at most one link a member.  Equal fingerprints are merged before.
+Each batch of fingerprints first sends its distinct keys alone; the owner of a slot of
+keys marks those that two fingerprints have, and fingerprints follow for these only.  The
+owner then links the fingerprints of a key by search from one to all not yet reached: a
+group of near copies costs about its size, and it gives at most one link a member.  Equal
+fingerprints are merged before.  More documents take longer keys and longer
+fingerprints (see ``design``), so that a key's chance members stay few.
 
 Defined cases: null text counts as empty; no words: fingerprint zero, linked as any other
 in exact mode; in similarity mode texts without words stay alone; a null doc_id is not
@@ -32,11 +35,23 @@ from pyspark.sql import functions as F
 
 from ._common import parts, stored
 from .components import components
-from .repeats import arrow_schema
+from .repeats import arrow_schema, opened, squeezed
 
-MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1) for i in range(16)]
+MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1) for i in range(256)]
 LINKS = "a long, b long"
-KEYS = "slot long, keys binary, ids binary, prints binary"
+KEYS = "slot long, batch long, keys binary, ids binary, prints binary"
+
+
+def design(n: int) -> tuple[int, int, int]:
+    """Words, chain and limit of similarity mode for n documents.
+
+    A chain of c segments agrees by chance in 1 of 32^c pairs; one is added for each 32 times as many
+    documents beyond two million.  At 15.1 % of bits different (a similarity of 0.8) a chain more agrees
+    2.27 times as seldom, so fingerprints grow as much.
+    """
+    more = max(0, -(-((max(1, n) - 1) >> 21).bit_length() // 5))
+    words = -(-10 * 227**more // 100**more)
+    return words, 4 + more, words * 11
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -85,7 +100,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
     return parts(docs).mapInArrow(run, "doc_id long, print binary")
 
 
-def ring_keys(p: np.ndarray) -> list[np.ndarray]:
+def ring_keys(p: np.ndarray, chain: int = 4) -> list[np.ndarray]:
     """Index keys of fingerprints (n x words): for each kind of key, one for each fingerprint."""
     out = []
     if p.shape[1] == 1:
@@ -97,11 +112,11 @@ def ring_keys(p: np.ndarray) -> list[np.ndarray]:
         return out
     bits = np.unpackbits(p.view(np.uint8).reshape(len(p), -1), axis=1, bitorder="little")
     n = bits.shape[1] // 5
-    seg = bits.reshape(len(p), n, 5) @ np.array([1, 2, 4, 8, 16], np.uint64)
+    seg = (bits[:, : 5 * n].reshape(len(p), n, 5) @ np.array([1, 2, 4, 8, 16], np.uint8)).astype(np.uint64)
     for i in range(n):
         k = np.full(len(p), i, np.uint64)
-        for j in range(4):
-            k = (k << np.uint64(5)) | seg[:, (i + j) % n].astype(np.uint64)
+        for j in range(chain):
+            k = (k << np.uint64(5)) | seg[:, (i + j) % n]
         out.append(k)
     return out
 
@@ -137,27 +152,71 @@ def link_group(ids: np.ndarray, p: np.ndarray, limit: int, start: int | None) ->
     return out
 
 
-def links(prints: DataFrame, words: int, limit: int, slots: int) -> DataFrame:
+def _rows(rows: list[tuple]) -> pa.Table:
+    schema = arrow_schema(KEYS)
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.table([pa.array(list(c), t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+
+
+def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of prints(id, print)."""
 
-    def keyed(batches):
-        for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            if not len(ids):
-                continue
-            p = np.frombuffer(b"".join(b.column("print").to_pylist()), np.uint64).reshape(-1, words)
-            rows = ([], [], [], [])
-            for k in ring_keys(p):
-                s = ((k * MIX[0]) >> np.uint64(40)) % np.uint64(slots)
-                order = np.argsort(s, kind="stable")
-                for i in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
-                    for c, x in zip(rows, (int(s[i[0]]), k[i].tobytes(), ids[i].tobytes(), p[i].tobytes()), strict=True):
-                        c.append(x)
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(rows, arrow_schema(KEYS), strict=True)], schema=arrow_schema(KEYS))
+    def by_slot(table):
+        """Ids, fingerprints, and by slot: sorted keys and the places of their fingerprints."""
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        p = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(-1, words)
+        ids, p = ids[order], p[order]
+        k = np.concatenate(ring_keys(p, chain))
+        at = np.tile(np.arange(len(ids)), len(k) // max(1, len(ids)))
+        s = ((k * MIX[0]) >> np.uint64(40)) % np.uint64(slots)
+        order = np.lexsort((k, s))
+        k, at, s = k[order], at[order], s[order]
+        cut = np.flatnonzero(np.diff(s)) + 1
+        return ids, p, [(int(s[a]), k[a:b], at[a:b]) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(s)], strict=True) if b > a]
+
+    def find(key, table):
+        out = []
+        for slot, k, _ in by_slot(table)[2]:
+            own, times = np.unique(k, return_counts=True)
+            out.append((slot, key[0].as_py(), squeezed(np.diff(own, prepend=np.uint64(0))), squeezed(np.packbits(times > 1)), None))
+        return _rows(out)
+
+    def share(key, table):
+        came = [np.cumsum(opened(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        twice = [np.unpackbits(opened(x, np.uint8), count=len(k)) for x, k in zip(table.column("ids").to_pylist(), came, strict=True)]
+        k, often = np.concatenate(came), np.concatenate(twice).astype(bool)
+        order = np.argsort(k, kind="stable")
+        new = np.r_[True, k[order][1:] != k[order][:-1]]
+        head = np.flatnonzero(new)
+        shared = (np.diff(np.append(head, len(k))) > 1) | np.logical_or.reduceat(often[order], head)
+        flag = np.empty(len(k), bool)
+        flag[order] = shared[np.cumsum(new) - 1]
+        out, at = [], 0
+        for b, x in zip(table.column("batch").to_pylist(), came, strict=True):
+            on = flag[at : at + len(x)]
+            at += len(x)
+            if on.any():
+                out.append((key[0].as_py(), b, squeezed(np.packbits(on)), None, None))
+        return _rows(out)
+
+    def send(_, table, marks):
+        if not table.num_rows or not marks.num_rows:
+            return _rows([])
+        ids, p, dealt = by_slot(table)
+        mark = dict(zip(marks.column("slot").to_pylist(), marks.column("keys").to_pylist(), strict=True))
+        out = []
+        for slot, k, at in dealt:
+            if slot in mark:
+                own, which = np.unique(k, return_inverse=True)
+                on = np.unpackbits(opened(mark[slot], np.uint8), count=len(own)).astype(bool)[which]
+                out.append((slot, 0, squeezed(np.diff(k[on], prepend=np.uint64(0))), squeezed(ids[at[on]]), p[at[on]].tobytes()))
+        return _rows(out)
 
     def owner(table):
-        k, ids, p = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("prints", np.uint64)))
-        p = p.reshape(-1, words)
+        k = np.concatenate([np.cumsum(opened(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()])
+        ids = np.concatenate([opened(x, np.int64) for x in table.column("ids").to_pylist()])
+        p = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64).reshape(-1, words)
         order = np.lexsort((ids, k))
         out: set[tuple[int, int]] = set()
         cut = np.flatnonzero(np.r_[True, k[order][1:] != k[order][:-1], True])
@@ -168,15 +227,21 @@ def links(prints: DataFrame, words: int, limit: int, slots: int) -> DataFrame:
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return prints.repartition(max(1, slots // 4), "id").mapInArrow(keyed, KEYS).groupBy("slot").applyInArrow(owner, LINKS)
+    batches = prints.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(slots))).groupBy("batch")
+    marks = batches.applyInArrow(find, KEYS).groupBy("slot").applyInArrow(share, KEYS)
+    sent = batches.cogroup(marks.groupBy("batch")).applyInArrow(send, KEYS)
+    return sent.groupBy("slot").applyInArrow(owner, LINKS)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 10, limit: int = 110) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, words: int | None = None, limit: int | None = None) -> DataFrame:
     """doc_id, print, component_id: the least doc_id reachable over links, itself included.
 
     The defaults link at a Jaccard similarity of five-word shingles of 0.8 or more, as the
     fingerprints estimate it.  shingle=3, words=1, limit=3 is the exact mode.
     """
+    chain = 4
+    if words is None:
+        words, chain, limit = design(docs.count())
     prints = stored(fingerprints(docs, shingle, words), "prints")
     distinct = prints.where("doc_id is not null and print is not null").groupBy("print").agg(F.min("doc_id").alias("id"))
     n = distinct.count()
@@ -184,7 +249,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int = 10, limit: i
     h = F.xxhash64("print")
     twice = prints.where("doc_id is not null and print is not null").groupBy("doc_id").agg(F.min(h).alias("h1"), F.max(h).alias("h2")).where("h1 <> h2").select("doc_id")
     same_id = prints.join(twice, "doc_id").join(distinct, "print").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = components(links(distinct, words, limit, slots).unionAll(same_id))
+    found = components(links(distinct, words, limit, slots, chain).unionAll(same_id))
     classes = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("c"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return prints.join(classes, "print", "left").select("doc_id", "print", own.alias("component_id"))
