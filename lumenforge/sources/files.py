@@ -68,3 +68,57 @@ def predict_with(df: DataFrame, f, ddl: str) -> DataFrame:
             yield f(b)
 
     return df.mapInPandas(run, ddl)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """name, text: each file of a folder whole."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("text"))
+
+
+def options_from_properties(text: str, defaults: dict) -> dict:
+    """``key=value`` lines over defaults, each value read as the default's type; a key whose default is None must be there."""
+    given = dict(line.split("=", 1) for line in map(str.strip, text.splitlines()) if line and not line.startswith("#"))
+    given = {k.strip(): v.strip() for k, v in given.items()}
+    unknown = set(given) - set(defaults)
+    if unknown:
+        raise ValueError(f"unknown keys {sorted(unknown)}")
+    missing = [k for k, v in defaults.items() if v is None and k not in given]
+    if missing:
+        raise ValueError(f"missing keys {missing}")
+
+    def read(k: str, d):
+        v = given.get(k)
+        if v is None or v == "_":
+            return d
+        if isinstance(d, bool):
+            return v.lower() == "true"
+        if isinstance(d, list):
+            return [type(d[0])(x) if d else x for x in v.split(",")]
+        return v if d is None else type(d)(v)
+
+    return {k: read(k, d) for k, d in defaults.items()}
+
+
+def write_paths(paths: list[dict], spark: SparkSession, path: str) -> None:
+    """Decision paths (see ``models.grow_tree``) as JSON lines in one folder."""
+    spark.createDataFrame([(json.dumps(p, sort_keys=True),) for p in paths], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_paths(spark: SparkSession, path: str) -> list[dict]:
+    """A tree's paths: as many as the tree has leaves."""
+    return [json.loads(r["value"]) for r in spark.read.text(path).collect()]
+
+
+def predict_paths(paths: list[dict], otherwise: float | None = None) -> Column:
+    """Class probability of the first path whose predicates all hold."""
+    out = F.lit(otherwise).cast("double")
+    for p in reversed(paths):
+        out = F.when(F.expr(p["path"]) if p["path"] else F.lit(True), F.lit(float(p["prob"]))).otherwise(out)
+    return out
+
+
+def stream(spark: SparkSession, kind: str, **options: str) -> DataFrame:
+    """A stream by its format's name: rate, socket, kafka (its package given to the session), or files with a schema."""
+    schema = options.pop("schema", None)
+    r = spark.readStream.format(kind).options(**options)
+    return (r.schema(schema) if schema else r).load()

@@ -37,3 +37,29 @@ def test_streams_equal_batches(spark, tmp_path):
     out = bandit.run_once(spark, bandit.learner(stream, "user_id", "event_type", "value"), "update", str(tmp_path / "ck"))
     last = out.groupBy("grp").agg(F.max_by("arm", "n").alias("arm"), F.max("n").alias("n"))
     assert {(r.grp, r.arm, r.n) for r in last.collect()} == {(1, "b", 3), (2, "a", 2)}
+
+
+def test_paths_round_trip(spark, tmp_path):
+    from lumenforge.operators import models
+
+    d = spark.createDataFrame([(float(x), float(x % 3), x > 5) for x in range(12)], "a double, b double, y boolean")
+    paths = models.grow_tree(d, F.col("y"), {"a": [2, 5, 8], "b": [0, 1]}, 2)
+    files.write_paths(paths, spark, str(tmp_path / "m"))
+    again = files.read_paths(spark, str(tmp_path / "m"))
+    assert again == paths
+    got = d.select("y", files.predict_paths(again).alias("p")).collect()
+    assert all((r.p > 0.5) == r.y for r in got)
+
+
+def test_properties_and_documents(spark, tmp_path):
+    o = files.options_from_properties("# x\nn = 3\nflag=true\nnames=a,b\nrate=0.5\nkey=k", {"n": 1, "flag": False, "names": [""], "rate": 1.0, "key": None, "other": 7})
+    assert o == {"n": 3, "flag": True, "names": ["a", "b"], "rate": 0.5, "key": "k", "other": 7}
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.txt").write_text("a\nb")
+    r = files.read_documents(spark, str(tmp_path / "d")).first()
+    assert r.text == "a\nb" and r.name.endswith("one.txt")
+
+
+def test_rate_stream(spark):
+    s = files.stream(spark, "rate", rowsPerSecond="5")
+    assert s.isStreaming and s.columns == ["timestamp", "value"]
