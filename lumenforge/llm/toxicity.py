@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Token weights are log-odds between toxic and clean documents under a Dirichlet prior
-(prior weight in proportion to a token's count in both), kept where |z| is large.  Other
-tokens cost a small drift.  Counts are of documents, so a text that repeats one token counts
-once; a token without a weight of its own takes that of its first five letters.  One linear scan finds all maximal segments of positive score.
+(prior weight in proportion to a token's count in both), kept where |z| is large or where so
+many toxic documents can't be chance.  Other tokens cost a small drift.  Counts are of documents, so a text that repeats one token counts
+once, and tokens that follow one and the same token in most toxic documents (copies of a text)
+are left out; a token without a weight of its own takes that of its first five letters.  One linear scan finds all maximal segments of positive score.
 Under clean text the best score S of n tokens follows an extreme-value law with
 P(best >= S) = 1 - exp(-K n exp(-lambda S)); lambda solves sum p exp(lambda s) = 1 over
 the clean tokens, K comes from clean documents kept apart.  A passage is significant if its
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -130,27 +132,34 @@ def labelled(docs: DataFrame, labels: DataFrame, use: Column, sample: int) -> tu
     return rows, n.get(1, 0), n.get(0, 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = 6000, z_least: float = 3.5, prior: float = 0.05, drift: float = 0.05, vocabulary: int = 50_000) -> Segments:
+def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = 6000, z_least: float = 3.5, prior: float = 0.05, drift: float = 0.05, vocabulary: int = 50_000, chance: float = 8.0) -> Segments:
     rows, toxic, clean = labelled(docs, labels, use, sample)
 
     def tally(batches):
         from collections import Counter
 
-        c, often = (Counter(), Counter()), Counter()
+        c, often, before = (Counter(), Counter()), Counter(), {}
         for b in batches:
             for t, y, apart in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("apart").to_pylist(), strict=True):
                 if not apart:
                     tokens = TOKEN.findall((t or "").lower())
                     c[y].update(features_of(set(tokens)))
-                    if not y:
+                    if y:
+                        first: dict[str, str] = {}
+                        for w, x in zip(tokens, ["", *tokens], strict=False):
+                            for f in features_of({w}) - first.keys():
+                                first[f] = x
+                        for f, x in first.items():
+                            before[f] = before.get(f, 0) | 1 << zlib.crc32(x.encode()) % 63
+                    else:
                         often.update(tokens)
                         often.update(x[:5] + "*" for x in tokens if len(x) > 5)
         keys = list(c[0] | c[1])
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([c[1][k] for k in keys], pa.int64()), pa.array([c[0][k] for k in keys], pa.int64()), pa.array([often[k] for k in keys], pa.int64())], names=["token", "t", "c", "o"])
+        yield pa.record_batch([pa.array(keys, pa.string()), pa.array([c[1][k] for k in keys], pa.int64()), pa.array([c[0][k] for k in keys], pa.int64()), pa.array([often[k] for k in keys], pa.int64()), pa.array([before.get(k, 0) for k in keys], pa.int64())], names=["token", "t", "c", "o", "b"])
 
-    counts = rows.mapInArrow(tally, "token string, t long, c long, o long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("o").alias("o"))
+    counts = rows.mapInArrow(tally, "token string, t long, c long, o long, b long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("o").alias("o"), F.bit_count(F.bit_or("b")).alias("contexts"))
     counts = counts.persist()
-    nt, nc, no = (x or 0 for x in counts.agg(F.sum("t"), F.sum("c"), F.sum(F.when(~F.col("token").endswith("*"), F.col("o")))).first())
+    nt, nc, no, size = (x or 0 for x in counts.agg(F.sum("t"), F.sum("c"), F.sum(F.when(~F.col("token").endswith("*"), F.col("o"))), F.count("*")).first())
     model = Segments({}, drift, np.array([1.0]), np.array([-drift]))
     model.prior = toxic / (toxic + clean) if toxic + clean else 0.5
     if not nt or not nc:
@@ -160,7 +169,13 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = 6000, z
     prior *= nt + nc
     odds = F.log((F.col("t") + a) / (nt + prior - F.col("t") - a)) - F.log((F.col("c") + a) / (nc + prior - F.col("c") - a))
     z = odds / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    kept = counts.select("token", "o", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= z_least).orderBy(F.desc(F.abs("z")), "token").limit(vocabulary).collect()
+    # a rare token's z is small even if all its documents are toxic: the bound on its binomial tail says whether that is chance
+    seen, base = F.col("t") + F.col("c"), nt / (nt + nc)
+    gap = lambda k, p: F.when(k > 0, k * F.log(k / (seen * p))).otherwise(0.0)
+    telling = (F.col("t") > seen * base) & (gap(F.col("t"), base) + gap(F.col("c"), 1 - base) > math.log(max(2, size)) + chance)
+    # in copies of one text a token always follows the same one; such documents are not so many witnesses
+    varied = (odds <= 0) | (F.col("contexts") >= 0.4 * F.least("t", F.lit(20)))
+    kept = counts.where(varied).select("token", "o", odds.alias("odds"), z.alias("z"), telling.alias("telling")).where((F.abs("z") >= z_least) | F.col("telling")).orderBy(F.desc(F.abs("z")), "token").limit(vocabulary).collect()
     weights = {r["token"]: max(-2.0, min(6.0, r["odds"])) for r in kept}
     counts.unpersist()
     scores = np.array([*(weights[r["token"]] for r in kept), -drift])

@@ -133,3 +133,32 @@ def test_components(spark):
     lone = {a for a, b in e if a == b}
     assert {k: v for k, v in want.items() if k in got} == got and set(want) - set(got) <= lone
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similarity_mode_recall_at_the_threshold():
+    """Pairs at a Jaccard similarity of five-word shingles of 0.8 or more share a key and link, nine of ten at least; at 0.6 or less, none."""
+    r = random.Random(3)
+
+    def jaccard(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        return len(x & y) / len(x | y)
+
+    words, chain, limit = sd.design(1000)
+    near, far = [], []
+    for t in range(160):
+        w = [f"w{r.randrange(5000)}" for _ in range(300)]
+        v, goal = list(w), r.choice([0.8, 0.85, 0.9, 0.58])
+        while jaccard(w, v) > goal + 0.02:
+            v[r.randrange(300)] = f"z{r.randrange(9999)}"
+        p = np.array([sd.fingerprint(sd.shingle_hashes(" ".join(x).encode(), 5), words) for x in (w, v)])
+        linked = any(k[0] == k[1] for k in sd.ring_keys(p, chain)) and sd.distance(p[0], p[1:])[0] <= limit
+        j = jaccard(w, v)
+        (near if j >= 0.8 else far if j <= 0.6 else []).append(bool(linked))
+    assert len(near) > 60 and sum(near) / len(near) >= 0.9
+    assert len(far) > 20 and sum(far) == 0
+
+
+def test_design_grows_with_the_corpus():
+    got = [sd.design(n) for n in (0, 2**21, 2**26, 2**31)]
+    assert got[0] == got[1] == (10, 4, 110) and [c for _, c, _ in got] == [4, 4, 5, 6]
+    assert all(a[0] <= b[0] for a, b in zip(got, got[1:]))
