@@ -20,9 +20,16 @@ def nb_predict(df: DataFrame, key: list[str], dist: DataFrame, features: dict[st
     lp = dom.select("feature", "value", "cls", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("t") + F.col("v"))).alias("lp"))
     one = per.where(F.col("feature") == next(iter(features)))
     prior = one.crossJoin(F.broadcast(one.agg(F.sum("t").alias("all_t")))).select("cls", F.log(F.col("t") / F.col("all_t")).alias("prior"))
-    long = df.select(*key, F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), c.cast("string").alias("value")) for k, c in features.items()))).alias("f")).select(*key, "f.*")
-    s = long.join(F.broadcast(lp), ["feature", "value"]).groupBy(*key, "cls").agg(F.sum("lp").alias("s")).join(F.broadcast(prior), "cls")
-    return s.groupBy(*key).agg(F.max(F.struct(F.round(F.col("s") + F.col("prior"), 9).alias("score"), F.col("cls"))).alias("x")).select(*key, F.col("x.cls").alias("cls"), F.col("x.score").alias("score"))
+    # a map from class to score for each value: rows meet the model by broadcast and are never shuffled
+    table = lp.groupBy("feature", "value").agg(F.map_from_entries(F.collect_list(F.struct("cls", "lp"))).alias("s"))
+    out = df.select(*key, *(c.cast("string").alias(f"_v{i}") for i, c in enumerate(features.values())))
+    for i, k in enumerate(features):
+        mine = table.where(F.col("feature") == k).select(F.col("value").alias(f"_k{i}"), F.col("s").alias(f"_s{i}"))
+        out = out.join(F.broadcast(mine), F.col(f"_v{i}") == F.col(f"_k{i}"), "left")
+    out = out.crossJoin(F.broadcast(prior.agg(F.collect_list(F.struct("cls", "prior")).alias("_p"))))  # one row
+    total = lambda p: sum((F.coalesce(F.col(f"_s{i}")[p["cls"]], F.lit(0.0)) for i in range(len(features))), p["prior"])
+    best = F.array_max(F.transform("_p", lambda p: F.struct(F.round(total(p), 9).alias("score"), p["cls"].alias("cls"))))
+    return out.select(*key, best.alias("x")).select(*key, F.col("x.cls").alias("cls"), F.col("x.score").alias("score"))
 
 
 def best_split(df: DataFrame, feature: str, positive: Column, points: list[float]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST, MOST, ROWS = 24, 1024, 500_000
+LEAST, MOST, ROWS = 24, 256, 1_000_000
 
 
 def bucket_of(df: DataFrame, col: str, least: int = LEAST, most: int = MOST, rows: int = ROWS) -> Column:

@@ -6,6 +6,8 @@ join exists only against a query set that the caller bounds.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,77 @@ def against(queries: DataFrame, rows: DataFrame, key: str, dist: Column, only: C
     return a.join(b, cond).select(F.col(f"a.{key}").alias("src"), F.col(f"b.{key}").alias("dst"), dist.alias("dist"))
 
 
+NEAR = "src long, dst long, dist double"
+
+
+def _best(qk: np.ndarray, qv: np.ndarray, qg: list, rk: np.ndarray, rv: np.ndarray, rg: list, k: int, mean: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its k nearest rows (of its group, not itself), ties by key; rows so many at a time."""
+    held_d, held_k = np.full((len(qk), k), np.inf), np.full((len(qk), k), np.iinfo(np.int64).max)
+    step = max(1, (1 << 22) // max(1, len(qk)))
+    codes = {g: i for i, g in enumerate(dict.fromkeys([*qg, *rg]))}
+    qc, rc = np.array([codes[g] for g in qg], np.int64), np.array([codes[g] for g in rg], np.int64)
+    for at in range(0, len(rk), step):
+        part, keys = rv[at : at + step], rk[at : at + step]
+        d = np.zeros((len(qk), len(keys)))
+        for c in range(qv.shape[1]):
+            gap = qv[:, c, None] - part[None, :, c]
+            d += gap * gap
+        d = np.sqrt(d / qv.shape[1] if mean else d)
+        d[(qk[:, None] == keys[None]) | (qc[:, None] != rc[None, at : at + step])] = np.inf
+        all_d, all_k = np.hstack([held_d, d]), np.hstack([held_k, np.broadcast_to(keys, d.shape)])
+        if all_d.shape[1] > 4 * k:  # what lies beyond the k-th distance can't stay
+            cut = np.partition(all_d, k - 1, axis=1)[:, k - 1]
+            few = int((all_d <= cut[:, None]).sum(1).max())
+            near = np.argpartition(all_d, min(few, all_d.shape[1]) - 1, axis=1)[:, :few]
+            all_d, all_k = np.take_along_axis(all_d, near, 1), np.take_along_axis(all_k, near, 1)
+        order = np.lexsort((all_k, all_d), axis=1)[:, :k]
+        held_d, held_k = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_k, order, 1)
+    q, j = np.nonzero(np.isfinite(held_d))
+    return qk[q], held_k[q, j], held_d[q, j]
+
+
+def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, mean: bool = True, block: int = 4096) -> DataFrame:
+    """src, dst, dist, rank: the k nearest rows of each query, both (key long, v array of double, group).
+
+    Each task keeps the k best of its rows for each query, so k rows a query and task are shuffled, not
+    all distances.  A query set of at most ``block`` rows goes along with the function; a greater one is cut
+    into blocks, as are the rows, and each pair of blocks meets in one task.  Only rows of a query's group
+    count (null: one group).  mean: distances are root mean squares, else Euclidean.
+    """
+    cols = [F.col("key").cast("long").alias("key"), F.col("v").cast("array<double>").alias("v"), F.col("group").cast("string").alias("group")]
+    queries, rows = queries.select(*cols), rows.select(*cols)
+    blocks = -(-queries.count() // block)
+
+    def arrays(table):
+        v = table.column("v").to_pylist()
+        return table.column("key").to_numpy(), np.array(v, float).reshape(len(v), -1), table.column("group").to_pylist()
+
+    def found(q, r):
+        s, t, d = _best(*q, *r, k, mean)
+        return pa.table([pa.array(s, pa.int64()), pa.array(t, pa.int64()), pa.array(d, pa.float64())], names=["src", "dst", "dist"])
+
+    if blocks <= 1:
+        got = queries.collect()  # at most ``block`` rows
+        if not got:
+            return queries.sparkSession.createDataFrame([], NEAR + ", rank int")
+        q = np.array([r["key"] for r in got], np.int64), np.array([r["v"] for r in got], float), [r["group"] for r in got]
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield from found(q, arrays(pa.Table.from_batches([b]))).to_batches()
+
+        part = rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism), "key").mapInArrow(run, NEAR)
+    else:
+        own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        a = queries.select("*", own.alias("_q"), each.alias("_r")).groupBy("_q", "_r")
+        b = rows.select("*", own.alias("_r"), each.alias("_q")).groupBy("_q", "_r")
+        none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["src", "dst", "dist"])
+        part = a.cogroup(b).applyInArrow(lambda x, y: found(arrays(x), arrays(y)) if x.num_rows and y.num_rows else none, NEAR)
+    return nearest(part, k)
+
+
 def neighbours_in_order(df: DataFrame, key: str, by: list[str], order: str, k: int) -> DataFrame:
     """Each row with the k rows that follow it in an order within its block: candidate neighbours by one sort."""
     w = Window.partitionBy(*by).orderBy(order, key)

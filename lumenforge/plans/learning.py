@@ -7,7 +7,7 @@ from ..operators import text as t
 from ..operators.contingency import rounded
 from . import query
 from .models import KEY, _l, pos
-from .similarity import EM, PC, PS, Q, _pairs, _parts, _vec
+from .similarity import EM, PC, PS, Q, _near, _parts, _vec
 
 COLS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -124,7 +124,7 @@ def conditional_expectation(read):
 @query(f"WITH {PS}, {Q} SELECT src, round(avg((gb='PROMO')::INT),6) AS accuracy FROM nn WHERE rn<=5 GROUP BY 1")
 def local_accuracy(read):
     hits = read("part").select(F.col("p_partkey").alias("key"), (F.col("p_type") == "PROMO").alias("right"))
-    return rounded(m.local_accuracy(s.nearest(_pairs(read), 5), hits))
+    return rounded(m.local_accuracy(_near(read, 5), hits))
 
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey c, l_suppkey s FROM orders JOIN lineitem ON o_orderkey=l_orderkey), n AS (SELECT s, c_acctbal x FROM e JOIN customer ON c=c_custkey UNION ALL SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey IN (SELECT s FROM e))

@@ -73,7 +73,7 @@ def nb_features():
     return {"status": F.col("l_linestatus"), "line": F.col("l_linenumber"), "quantity": F.least(F.floor(F.col("l_quantity") / 10), F.lit(4))}
 
 
-NB = "u AS (SELECT l_orderkey, l_linenumber, l_returnflag cls, unnest(['status','line','quantity']) feature, unnest([l_linestatus, l_linenumber::VARCHAR, (least(floor(l_quantity/10),4))::INT::VARCHAR]) v FROM lineitem), d AS (SELECT feature, v, cls, count(*) n FROM u GROUP BY 1,2,3)"
+NB = "u AS (SELECT rid, l_orderkey, l_linenumber, l_returnflag cls, unnest(['status','line','quantity']) feature, unnest([l_linestatus, l_linenumber::VARCHAR, (least(floor(l_quantity/10),4))::INT::VARCHAR]) v FROM (SELECT *, row_number() OVER () rid FROM lineitem)), d AS (SELECT feature, v, cls, count(*) n FROM u GROUP BY 1,2,3)"
 
 
 @query(f"WITH {NB} SELECT feature, v AS value, cls, n FROM d")
@@ -82,8 +82,8 @@ def nb_distribution(read):
 
 
 @query(f"""WITH {NB}, t AS (SELECT feature, cls, sum(n) t FROM d GROUP BY 1,2), k AS (SELECT feature, count(DISTINCT v) k FROM d GROUP BY 1), p AS (SELECT cls, ln(t/sum(t) OVER ()) p FROM t WHERE feature='status'),
-s AS (SELECT u.l_orderkey, u.l_linenumber, t.cls, sum(ln((coalesce(d.n,0)+1)/(t+k))) s FROM u JOIN t ON u.feature=t.feature JOIN k ON u.feature=k.feature LEFT JOIN d ON d.feature=u.feature AND d.v=u.v AND d.cls=t.cls GROUP BY 1,2,3),
-q AS (SELECT l_orderkey, l_linenumber, s.cls, round(s+p,9) score FROM s JOIN p ON s.cls=p.cls), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, cls DESC) rn FROM q)
+s AS (SELECT u.rid, any_value(u.l_orderkey) l_orderkey, any_value(u.l_linenumber) l_linenumber, t.cls, sum(ln((coalesce(d.n,0)+1)/(t+k))) s FROM u JOIN t ON u.feature=t.feature JOIN k ON u.feature=k.feature LEFT JOIN d ON d.feature=u.feature AND d.v=u.v AND d.cls=t.cls GROUP BY u.rid, t.cls),
+q AS (SELECT rid, l_orderkey, l_linenumber, s.cls, round(s+p,9) score FROM s JOIN p ON s.cls=p.cls), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, cls DESC) rn FROM q)
 SELECT l_orderkey, l_linenumber, cls FROM r WHERE rn=1""")
 def nb_predict(read):
     d = m.nb_distribution(_l(read), "l_returnflag", nb_features())

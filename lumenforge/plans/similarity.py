@@ -20,6 +20,12 @@ def _pairs(read):
     return s.against(p.where("p_partkey % 20 = 0"), p, "p_partkey", s.euclid("a", "b", PC))
 
 
+def _near(read, k, group=None):
+    """The k nearest parts of those whose key is divisible by 20."""
+    p = _parts(read).select(F.col("p_partkey").alias("key"), F.array(*PC).alias("v"), (F.col(group) if group else F.lit(None)).cast("string").alias("group"))
+    return s.nearest_rows(p.where("key % 20 = 0"), p, k)
+
+
 @query(f"WITH {PS}, {Q} SELECT src, dst, round(d,8) AS dist FROM pr")
 def pair_distance(read):
     return rounded(_pairs(read), 8)
@@ -32,7 +38,7 @@ def grouped_pair_distance(read):
 
 @query(f"WITH {PS}, {Q} SELECT src, dst, round(d,8) AS dist, rn::INT AS rank FROM nn WHERE rn<=5")
 def nearest_by_count(read):
-    return rounded(s.nearest(_pairs(read), 5), 8)
+    return rounded(_near(read, 5), 8)
 
 
 @query(f"WITH {PS}, {Q} SELECT src, dst, round(d,8) AS dist FROM pr WHERE d < 0.05")
@@ -42,9 +48,7 @@ def nearest_by_dist(read):
 
 @query(f"WITH {PS}, {Q}, m AS (SELECT src, dst, d, row_number() OVER (PARTITION BY src ORDER BY d, dst) rn FROM pr WHERE ga=gb) SELECT src, dst, round(d,8) AS dist, rn::INT AS rank FROM m WHERE rn<=3")
 def top_matches_class(read):
-    p = _parts(read)
-    same = s.against(p.where("p_partkey % 20 = 0"), p, "p_partkey", s.euclid("a", "b", PC), F.col("a.p_type") == F.col("b.p_type"))
-    return rounded(s.nearest(same, 3), 8)
+    return rounded(_near(read, 3, "p_type"), 8)
 
 
 EM = "v AS (SELECT vec_id k, label l, embedding::DOUBLE[] e FROM embeddings), pr AS (SELECT a.k src, b.k dst, b.l cls, sqrt(list_sum(list_transform(range(1,len(a.e)+1), lambda i: (a.e[i]-b.e[i])*(a.e[i]-b.e[i])))) d FROM v a JOIN v b ON a.k<>b.k WHERE a.k%20=0), nn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) rn FROM pr)"
@@ -53,8 +57,8 @@ EM = "v AS (SELECT vec_id k, label l, embedding::DOUBLE[] e FROM embeddings), pr
 def _vec(read, k=7):
     """The k nearest vectors of each whose id is divisible by 20, with their labels."""
     e = read("embeddings")
-    p = s.against(e.where("vec_id % 20 = 0").select("vec_id", "embedding"), e.select("vec_id", "embedding"), "vec_id", s.l2(F.col("a.embedding"), F.col("b.embedding")))
-    return s.nearest(p, k).join(e.select(F.col("vec_id").alias("dst"), F.col("label").alias("cls")), "dst")
+    v = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"), F.lit(None).cast("string").alias("group"))
+    return s.nearest_rows(v.where("key % 20 = 0"), v, k, mean=False).join(e.select(F.col("vec_id").alias("dst"), F.col("label").alias("cls")), "dst")
 
 
 @query(f"WITH {EM}, c AS (SELECT src, cls, count(*) c FROM nn WHERE rn<=7 GROUP BY 1,2) SELECT src, arg_max(cls, c*1000-cls) AS cls FROM c GROUP BY 1")
@@ -74,7 +78,7 @@ def knn_regress(read):
 
 @query(f"WITH {PS}, {Q}, z AS (SELECT CASE WHEN ga=gb THEN -1 ELSE 1 END s, abs(a.x-b.x) dx, abs(a.y-b.y) dy FROM nn JOIN p a ON a.k=src JOIN p b ON b.k=dst WHERE rn<=5) SELECT 'p_size' AS feature, round(sum(s*dx)/count(*),8) AS relevance FROM z UNION ALL SELECT 'p_retailprice', round(sum(s*dy)/count(*),8) FROM z")
 def relief(read):
-    return rounded(s.relief(s.nearest(_pairs(read), 5), _parts(read), "p_partkey", "p_type", PC), 8)
+    return rounded(s.relief(_near(read, 5), _parts(read), "p_partkey", "p_type", PC), 8)
 
 
 @query("""WITH b AS (SELECT item_id k, list_distinct(list_filter(regexp_split_to_array(lower(text),'[^a-z]+'), lambda x: x<>'')) w FROM benchmark WHERE item_id%20=0), c AS (SELECT item_id k, list_distinct(list_filter(regexp_split_to_array(lower(text),'[^a-z]+'), lambda x: x<>'')) w FROM benchmark),

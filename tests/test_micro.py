@@ -189,3 +189,19 @@ def test_search_in_blocks_matches_whole(spark):
 def test_vectors(spark):
     d = spark.createDataFrame([(3.0, 4.0)], "a double, b double").select(*encoding.distances([F.col("a"), F.col("b")], [F.lit(0.0), F.lit(1.0)])).first()
     assert (round(d.euclidean, 6), d.manhattan, d.chebyshev, round(d.cosine, 6)) == (4.242641, 6.0, 3.0, 0.2)
+
+
+def test_nearest_rows_match_sorting(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(a), float(b)], "xy"[i % 2]) for i, (a, b) in enumerate(r.integers(0, 6, (90, 2)))]
+    d = spark.createDataFrame(rows, "key long, v array<double>, group string")
+    q = d.where("key % 4 = 0")
+    want = {}
+    for i, v, g in rows:
+        if i % 4 == 0:
+            near = sorted((math.sqrt(((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2) / 2), j) for j, w, h in rows if j != i and h == g)[:3]
+            want |= {(i, j): (k + 1, round(x, 9)) for k, (x, j) in enumerate(near)}
+    for block in (4096, 5):
+        got = {(x.src, x.dst): (x["rank"], round(x.dist, 9)) for x in similarity.nearest_rows(q, d, 3, block=block).collect()}
+        assert got == want
+    assert similarity.nearest_rows(q.where("key < 0"), d, 3).count() == 0
