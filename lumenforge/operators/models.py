@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,21 +16,20 @@ def nb_distribution(df: DataFrame, cls: str, features: dict[str, Column]) -> Dat
 
 def nb_predict(df: DataFrame, key: list[str], dist: DataFrame, features: dict[str, Column]) -> DataFrame:
     """Class of the greatest log posterior, add-one smoothing; dist has a row for each value and class."""
-    per = dist.groupBy("feature", "cls").agg(F.sum("n").alias("t"))
-    card = dist.groupBy("feature").agg(F.countDistinct("value").alias("v"))
-    dom = dist.select("feature", "value").distinct().join(per, "feature").join(card, "feature").join(dist, ["feature", "value", "cls"], "left")
-    lp = dom.select("feature", "value", "cls", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("t") + F.col("v"))).alias("lp"))
-    one = per.where(F.col("feature") == next(iter(features)))
-    prior = one.crossJoin(F.broadcast(one.agg(F.sum("t").alias("all_t")))).select("cls", F.log(F.col("t") / F.col("all_t")).alias("prior"))
-    # a map from class to score for each value: rows meet the model by broadcast and are never shuffled
-    table = lp.groupBy("feature", "value").agg(F.map_from_entries(F.collect_list(F.struct("cls", "lp"))).alias("s"))
+    # a column of scores for each class: rows meet the model by broadcast and are never shuffled
+    totals = {(r["feature"], r["cls"]): r["t"] for r in dist.groupBy("feature", "cls").agg(F.sum("n").alias("t")).collect()}  # a row for each feature and class
+    first = next(iter(features))
+    every = sum(t for (f, _), t in totals.items() if f == first) or 1
+    classes = {c: math.log(t / every) for (f, c), t in sorted(totals.items(), key=lambda x: str(x[0])) if f == first}
+    counts = dist.groupBy("feature", "value").agg(*(F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).alias(f"n{n}") for n, c in enumerate(classes)))
+    counts = counts.withColumn("v", F.count("*").over(Window.partitionBy("feature")))  # a row for each value
     out = df.select(*key, *(c.cast("string").alias(f"_v{i}") for i, c in enumerate(features.values())))
     for i, k in enumerate(features):
-        mine = table.where(F.col("feature") == k).select(F.col("value").alias(f"_k{i}"), F.col("s").alias(f"_s{i}"))
+        lp = [F.log((F.col(f"n{n}") + 1) / (F.lit(totals.get((k, c), 0)) + F.col("v"))).alias(f"_s{i}_{n}") for n, c in enumerate(classes)]
+        mine = counts.where(F.col("feature") == k).select(F.col("value").alias(f"_k{i}"), *lp)
         out = out.join(F.broadcast(mine), F.col(f"_v{i}") == F.col(f"_k{i}"), "left")
-    out = out.crossJoin(F.broadcast(prior.agg(F.collect_list(F.struct("cls", "prior")).alias("_p"))))  # one row
-    total = lambda p: sum((F.coalesce(F.col(f"_s{i}")[p["cls"]], F.lit(0.0)) for i in range(len(features))), p["prior"])
-    best = F.array_max(F.transform("_p", lambda p: F.struct(F.round(total(p), 9).alias("score"), p["cls"].alias("cls"))))
+    scores = [F.struct(F.round(sum((F.coalesce(F.col(f"_s{i}_{n}"), F.lit(0.0)) for i in range(len(features))), F.lit(p)), 9).alias("score"), F.lit(c).alias("cls")) for n, (c, p) in enumerate(classes.items())]
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     return out.select(*key, best.alias("x")).select(*key, F.col("x.cls").alias("cls"), F.col("x.score").alias("score"))
 
 
@@ -75,10 +76,8 @@ def grow_tree(df: DataFrame, cls: Column, candidates: dict[str, list[float]], de
 
 
 def _gain(N, P, n, p):
-    from math import log2
-
     def ent(a, b):
-        return 0.0 if not b or a in (0, b) else -(a / b * log2(a / b) + (1 - a / b) * log2(1 - a / b))
+        return 0.0 if not b or a in (0, b) else -(a / b * math.log2(a / b) + (1 - a / b) * math.log2(1 - a / b))
 
     return ent(P, N) - (n / N * ent(p, n) + (N - n) / N * ent(P - p, N - n))
 
