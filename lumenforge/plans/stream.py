@@ -20,3 +20,9 @@ def stream_windows(read):
 @query("WITH m AS (SELECT user_id, event_type, round(sum(value)/count(*),9) m FROM events GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY m DESC, event_type) rn FROM m), c AS (SELECT user_id, count(*) n FROM events GROUP BY 1) SELECT r.user_id AS grp, event_type AS arm, n FROM r JOIN c ON r.user_id=c.user_id WHERE rn=1")
 def stream_bandit(read):
     return b.run_once(read.spark, b.learner(_stream(read), "user_id", "event_type", "value"), "update")
+
+
+@query("WITH t AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) src, event_type dst FROM events) SELECT src, dst, count(*) AS n FROM t WHERE src IS NOT NULL GROUP BY 1,2")
+def stream_transition_counts(read):
+    out = b.run_once(read.spark, b.transitions(_stream(read), "user_id", ["ts", "event_id"], "event_type"), "append")
+    return out.groupBy("src", "dst").agg(F.sum("n").alias("n"))

@@ -49,3 +49,17 @@ def learner(stream: DataFrame, group: str, arm: str, reward: str) -> DataFrame:
         yield pd.DataFrame({"grp": [key[0]], "arm": [best], "n": [int(sum(v[0] for v in arms.values()))]})
 
     return stream.select(group, arm, reward).groupBy(group).applyInPandasWithState(step, "grp long, arm string, n long", "arms array<string>, stats array<string>", "update", "NoTimeout")
+
+
+def transitions(stream: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
+    """src, dst, n as they come: each key's last state is kept from batch to batch (rows of a batch are put in order)."""
+
+    def step(k, batches, held: GroupState):
+        pdf = pd.concat(list(batches)).sort_values(order)
+        last = held.get[0] if held.exists else None
+        seen = [last, *pdf[state]] if last is not None else list(pdf[state])
+        held.update((seen[-1],))
+        pairs = pd.DataFrame({"src": seen[:-1], "dst": seen[1:]})
+        yield pairs.groupby(["src", "dst"], as_index=False).size().rename(columns={"size": "n"}).astype({"n": "int64"}) if len(pairs) else pd.DataFrame({"src": pd.Series([], dtype=str), "dst": pd.Series([], dtype=str), "n": pd.Series([], dtype="int64")})
+
+    return stream.select(key, *order, state).groupBy(key).applyInPandasWithState(step, "src string, dst string, n long", "last string", "append", "NoTimeout")

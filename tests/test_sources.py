@@ -63,3 +63,14 @@ def test_properties_and_documents(spark, tmp_path):
 def test_rate_stream(spark):
     s = files.stream(spark, "rate", rowsPerSecond="5")
     assert s.isStreaming and s.columns == ["timestamp", "value"]
+
+
+def test_transitions_across_batches(spark, tmp_path):
+    src = str(tmp_path / "s")
+    rows = [(1, 0, "a"), (2, 0, "b"), (1, 1, "b"), (1, 2, "a"), (2, 1, "b"), (1, 3, "b")]
+    d = spark.createDataFrame(rows, "u long, i long, s string")
+    for part in range(4):
+        d.where(F.col("i") == part).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src)
+    out = bandit.run_once(spark, bandit.transitions(stream, "u", ["i"], "s"), "append", str(tmp_path / "ck"))
+    assert {(r.src, r.dst): r.n for r in out.groupBy("src", "dst").agg(F.sum("n").alias("n")).collect()} == {("a", "b"): 2, ("b", "a"): 1, ("b", "b"): 1}
