@@ -12,13 +12,15 @@ share of T (l of m segments: at most T * l / m), not one segment alone.
   the bits differ, which no index of 64 bits finds.  Ten fingerprints of the shingles' mixed
   hashes form a ring of 640 bits in 128 segments of 5; a key is a chain of four consecutive
   segments without a difference (20 bits, 128 keys).  A pair at 0.8 has 4.8 such chains
-  on average.  A pair then links at 110 or fewer differing bits of 640.
+  on average.  A pair within the limit of differing bits is a candidate only.  The members of
+  each group that candidates connect bring their sets of distinct shingles together, and a
+  pair links if the Jaccard similarity of the two sets is 0.8 or more.
 
 Each batch of fingerprints first sends its distinct keys alone; the owner of a slot of
 keys marks those that two fingerprints have, and fingerprints follow for these only.  The
 owner then links the fingerprints of a key by search from one to all not yet reached: a
 group of near copies costs about its size, and it gives at most one link a member.  Equal
-fingerprints are merged before.  More documents take longer keys and longer
+fingerprints (in similarity mode equal sets of shingles) are merged before.  More documents take longer keys and longer
 fingerprints (see ``design``), so that a key's chance members stay few.
 
 Defined cases: null text counts as empty; no words: fingerprint zero, linked as any other
@@ -39,6 +41,7 @@ from .repeats import arrow_schema, opened, squeezed
 
 MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1) for i in range(256)]
 LINKS = "a long, b long"
+LOOSE = 14  # bits of 64 in which candidates may differ: 22 %, where a pair at 0.8 differs in 15 %
 KEYS = "slot long, batch long, keys binary, ids binary, prints binary"
 
 
@@ -87,17 +90,27 @@ def fingerprint(h: np.ndarray, words: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id and print, the fingerprint's 8 * words bytes (null in similarity mode if there is no word)."""
+    """doc_id, print, the fingerprint's 8 * words bytes (null in similarity mode if there is no word), and same,
+    a digest of what is merged: the print, in similarity mode the set of shingles, each of which counts once there.
+    """
 
     def run(batches):
+        import xxhash
+
         for b in batches:
-            got = []
+            got, same = [], []
             for t in b.column("text").to_pylist():
                 h = shingle_hashes((t or "").encode(), shingle)
+                if words > 1:
+                    h = np.unique(h)
+                    same.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 got.append(None if words > 1 and not len(h) else fingerprint(h, words).tobytes())
-            yield pa.record_batch([b.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "print"])
+            cols = [b.column("doc_id"), pa.array(got, pa.binary())]
+            yield pa.record_batch([*cols, pa.array(same, pa.binary())] if words > 1 else cols, names=["doc_id", "print", "same"][: 2 + (words > 1)])
 
-    return parts(docs).mapInArrow(run, "doc_id long, print binary")
+    if words > 1:
+        return parts(docs).mapInArrow(run, "doc_id long, print binary, same binary")
+    return parts(docs).mapInArrow(run, "doc_id long, print binary").withColumn("same", F.col("print"))
 
 
 def ring_keys(p: np.ndarray, chain: int = 4) -> list[np.ndarray]:
@@ -152,6 +165,56 @@ def link_group(ids: np.ndarray, p: np.ndarray, limit: int, start: int | None) ->
     return out
 
 
+def similar(ids: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that connect the sets as all pairs with a Jaccard similarity of ``least`` or more do: one a set at most."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    off = np.append(0, np.cumsum(size))
+    _, sym = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.repeat(np.arange(n), size)[np.argsort(sym, kind="stable")]  # the sets that have each shingle, one shingle after another
+    count = np.bincount(sym)
+    head = np.cumsum(count) - count
+    left, rest, out = np.ones(n, bool), n, []
+    for seed in range(n):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        rest -= 1
+        todo = [seed]
+        while todo and rest:
+            i = todo.pop()
+            own = sym[off[i] : off[i + 1]]
+            c = count[own]
+            at = np.arange(int(c.sum())) + np.repeat(head[own] - (np.cumsum(c) - c), c)
+            both = np.bincount(has[at], minlength=n)
+            got = np.flatnonzero(left & (both >= least * (size[i] + size - both) - 1e-9))
+            left[got] = False
+            rest -= len(got)
+            out += [(int(ids[i]), int(ids[j])) for j in got.tolist()]
+            todo += got.tolist()
+    return out
+
+
+def verified(docs: DataFrame, candidates: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) between documents that candidates(a, b) connect and whose sets of shingles are similar."""
+    groups = components(candidates)
+    texts = parts(docs).join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes((t or "").encode(), shingle)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("component"), b.column("doc_id"), pa.array(sets, pa.binary())], names=["component", "id", "shingles"])
+
+    def check(table):
+        seen: dict[tuple[int, bytes], None] = dict.fromkeys(zip(table.column("id").to_pylist(), table.column("shingles").to_pylist(), strict=True))
+        rows = [(i, x) for i, x in sorted(seen) if x]
+        out = similar(np.array([i for i, _ in rows]), [np.frombuffer(x, np.uint64) for _, x in rows], least) if rows else []
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return texts.mapInArrow(run, "component long, id long, shingles binary").groupBy("component").applyInArrow(check, LINKS)
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
     schema = arrow_schema(KEYS)
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
@@ -233,23 +296,25 @@ def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4)
     return sent.groupBy("slot").applyInArrow(owner, LINKS)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, words: int | None = None, limit: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, words: int | None = None, limit: int | None = None, similarity: float = 0.8) -> DataFrame:
     """doc_id, print, component_id: the least doc_id reachable over links, itself included.
 
-    The defaults link at a Jaccard similarity of five-word shingles of 0.8 or more, as the
-    fingerprints estimate it.  shingle=3, words=1, limit=3 is the exact mode.
+    The defaults link at a Jaccard similarity of the sets of five-word shingles of 0.8 or more; fingerprints
+    find the candidates.  shingle=3, words=1, limit=3 is the exact mode, which links by the distance alone.
     """
-    chain = 4
+    chain, check = 4, words is None
     if words is None:
-        words, chain, limit = design(docs.count())
+        words, chain, _ = design(docs.count())
+        limit = words * LOOSE
     prints = stored(fingerprints(docs, shingle, words), "prints")
-    distinct = prints.where("doc_id is not null and print is not null").groupBy("print").agg(F.min("doc_id").alias("id"))
+    distinct = prints.where("doc_id is not null and print is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.min("print").alias("print"))
     n = distinct.count()
     slots = max(8, n * words // (40_000 if words == 1 else 25_000))
-    h = F.xxhash64("print")
+    h = F.xxhash64("same")
     twice = prints.where("doc_id is not null and print is not null").groupBy("doc_id").agg(F.min(h).alias("h1"), F.max(h).alias("h2")).where("h1 <> h2").select("doc_id")
-    same_id = prints.join(twice, "doc_id").join(distinct, "print").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = components(links(distinct, words, limit, slots, chain).unionAll(same_id))
-    classes = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("print", F.coalesce("component", "id").alias("c"))
+    same_id = prints.join(twice, "doc_id").join(distinct.select("same", "id"), "same").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    near = links(distinct.select("id", "print"), words, limit, slots, chain)
+    found = components((verified(docs, near, shingle, similarity) if check else near).unionAll(same_id))
+    classes = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("c"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return prints.join(classes, "print", "left").select("doc_id", "print", own.alias("component_id"))
+    return prints.join(classes, "same", "left").select("doc_id", "print", own.alias("component_id"))

@@ -162,3 +162,41 @@ def test_design_grows_with_the_corpus():
     got = [sd.design(n) for n in (0, 2**21, 2**26, 2**31)]
     assert got[0] == got[1] == (10, 4, 110) and [c for _, c, _ in got] == [4, 4, 5, 6]
     assert all(a[0] <= b[0] for a, b in zip(got, got[1:]))
+
+
+def shingle_jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similarity_mode_verifies_candidates_by_their_shingle_sets(spark):
+    """A phrase repeated in two texts is one shingle set's share; pairs below 0.8 stay apart, pairs from 0.8 on link."""
+    r = random.Random(21)
+    rand = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    line = " ".join(["all rights are reserved here"] * 60)
+    docs = [(i, f"{' '.join(rand(300))} {line}", "", 1) for i in range(20)]
+    goals = [0.72, 0.76, 0.78, 0.85, 0.9]
+    for i in range(60):
+        w = rand(300)
+        v, goal = list(w), goals[i % 5]
+        while shingle_jaccard(" ".join(w), " ".join(v)) > goal:
+            v[r.randrange(300)] = f"z{r.randrange(9999)}"
+        docs += [(1000 + 2 * i, " ".join(w), "", 1), (1001 + 2 * i, " ".join(v), "", 1)]
+    text = {i: t for i, t, *_ in docs}
+    got = {x.doc_id: x.component_id for x in sd.near_duplicates(spark.createDataFrame(docs, DDL)).collect()}
+    assert all(got[i] == i for i in range(20))
+    pairs = [(1000 + 2 * i, 1001 + 2 * i) for i in range(60)]
+    high = [p for p in pairs if shingle_jaccard(text[p[0]], text[p[1]]) >= 0.8]
+    assert 20 <= len(high) < 60 and sum(got[b] == a for a, b in high) >= 0.95 * len(high)
+    assert all(got[b] == b for a, b in pairs if (a, b) not in high)
+
+
+def test_links_of_similar_sets_match_brute_force():
+    r = random.Random(5)
+    base = [r.sample(range(200), 40) for _ in range(6)]
+    sets = [np.unique(np.array([x if r.random() > 0.08 else r.randrange(200) for x in base[k % 6]], np.uint64)) for k in range(60)]
+    jac = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    got = set(sd.similar(np.arange(60), sets, 0.8))
+    want = classes(list(range(60)), lambda a, b: jac(a, b) >= 0.8)
+    assert all(jac(a, b) >= 0.8 for a, b in got) and len(got) < 60
+    assert classes(list(range(60)), lambda a, b: (a, b) in got or (b, a) in got) == want
