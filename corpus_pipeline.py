@@ -14,14 +14,19 @@ from lumenforge.llm._common import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: null texts and texts without a letter."""
+    """Documents whose language can't be told go: null texts and texts without a letter.
+
+    The decoder itself rejects a text with letters only if the training rows name a language `und` and it
+    predicts that.  Where no row has a language to learn from, all texts with letters stay.
+    """
     model = langid.train(docs, F.lit(True))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield b.filter(pa.array([model.decode(t)[0] != "und" for t in b.column("text").to_pylist()], pa.bool_()))
+            keep = [model.decode(t)[0] != "und" if model.langs else bool(t and langid.LETTER.search(t)) for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -8,6 +8,8 @@
    SVD of the sum gives the latent basis and scale.
 3. *Candidates.*  Every window of three blocks of 20 words (two blocks for short items) is
    projected, and compared by cosine with every item of a benchmark block; none is capped.
+   Beside it, pieces that stand in a text word by word are looked up at their rarest word, whatever
+   their cosine; for items of fewer than ``least`` words this is the only search.
 4. *Checks.*  A bound that loses nothing (words of the window that the item has, and rare ones
    among them) goes first.  The longest common subsequence of words covers enough of the item, and of its
    answer (the words of its last sentence, its last quarter at least).
@@ -131,6 +133,7 @@ class Latent:
         rng = np.random.default_rng(seed)
         self.bucket, self.sign = rng.integers(0, dims, items.size), rng.choice([-1.0, 1.0], items.size)
         self.idf, self.basis = np.zeros(items.size), np.zeros((items.size, dims))
+        self.rarity = np.zeros(items.size)
 
     def count(self, docs: DataFrame) -> None:
         size = self.items.size
@@ -153,6 +156,7 @@ class Latent:
         df = _added(docs.mapInArrow(run, SUMS), np.int64).get(0, np.zeros(size + 1, np.int64))
         n = max(1, int(df[-1]))
         full = np.maximum(np.log((n + 1) / (df[:-1] + 1.0)), 0.1)
+        self.rarity = full
         idf = np.where(df[:-1] > self.common * n, 0 if n > 50 else 0.1, full)
         for _, piece, _ in self.items.pieces:  # a piece of common words keeps the rarest half of them
             left = -(-len(piece) // 2) - int(np.count_nonzero(idf[piece]))
@@ -203,7 +207,16 @@ class Latent:
         self.query = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         n = np.array([len(p) for _, p, _ in self.items.pieces])
         self.length = n
-        self.short, self.wide = np.flatnonzero(n < BLOCK), np.flatnonzero(n >= BLOCK)
+        self.short, self.wide = np.flatnonzero((n < BLOCK) & (n >= least)), np.flatnonzero((n >= BLOCK) & (n >= least))
+        self.whole = np.full((len(n), PIECE), -2, np.int32)
+        anchor, self.before = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)  # a piece's rarest word, and the words before it
+        for k, (_, p, _) in enumerate(self.items.pieces):
+            self.whole[k, : len(p)] = p
+            self.before[k] = int(np.argmax(self.rarity[p]))
+            anchor[k] = p[self.before[k]]
+        self.by_anchor = np.argsort(anchor, kind="stable")
+        self.anchored = np.append(np.bincount(anchor, minlength=self.items.size), 0)  # -1 is the last
+        self.anchor_head = np.cumsum(self.anchored) - self.anchored
         self.member = np.zeros((len(n), self.items.size + 1), np.int8)  # 1: a word of the piece; 2 more if it is rare
         rare = self.idf > 0
         self.common_words = np.zeros(len(n), np.int64)
@@ -223,6 +236,7 @@ class Latent:
             np.cumsum(z, axis=0, out=z)
             text = np.repeat(np.arange(len(first) - 1), np.diff(first))
             stop = first[text + 1]
+            self._verbatim(ids, z, row0, text, first, stop, best)
             for group, width in ((self.wide, WIDE), (self.short, 2)):
                 if not len(group):
                     continue
@@ -237,12 +251,38 @@ class Latent:
                         self._check(ids, a[c0 : c0 + 20_000], end, k[c0 : c0 + 20_000], near[c0 : c0 + 20_000], width, row0, text, first, best)
         return [(r, item, c, s, a, -w) for (r, item), (s, c, a, w) in sorted(best.items())]
 
+    def _verbatim(self, ids, z, row0, text, first, stop, best) -> None:
+        """Adds the pieces that stand in a text word by word."""
+        flat = ids.ravel()
+        at = np.flatnonzero(self.anchored[flat])
+        for c0 in range(0, len(at), 20_000):
+            pos = at[c0 : c0 + 20_000]
+            c = self.anchored[flat[pos]]
+            k = self.by_anchor[np.arange(int(c.sum())) + np.repeat(self.anchor_head[flat[pos]] - (np.cumsum(c) - c), c)]
+            start = np.repeat(pos, c) - self.before[k]
+            end = start + self.length[k]
+            ok = (start >= 0) & (end <= len(flat))
+            ok[ok] = text[start[ok] // BLOCK] == text[(end[ok] - 1) // BLOCK]
+            start, k = start[ok], k[ok]
+            for j in range(PIECE):
+                if not len(k):
+                    break
+                ok = (self.length[k] <= j) | (flat[np.minimum(start + j, len(flat) - 1)] == self.whole[k, j])
+                start, k = start[ok], k[ok]
+            for x, y in zip(start.tolist(), k.tolist(), strict=True):
+                i = x // BLOCK
+                win = z[min(i + (WIDE if self.length[y] >= BLOCK else 2), int(stop[i]))] - z[i]
+                near = float(win @ self.query[y]) / max(float(np.linalg.norm(win)), 1e-6)
+                key, got = (row0 + int(text[i]), self.items.pieces[y][0]), (1.0, near, 1.0, -(i - int(first[text[i]])) * BLOCK)
+                if key not in best or got > best[key]:
+                    best[key] = got
+
     def _check(self, ids, a, end, k, near, width, row0, text, first, best) -> None:
         at = a[:, None] + np.arange(width)
         words = ids[np.minimum(at, len(ids) - 1)]
         words = np.where((at < end[a][:, None])[:, :, None], words, -1).reshape(len(a), -1)
         has = self.member[k[:, None], words]  # -1 is the last column, which is 0
-        need = np.where(self.length[k] < self.least, self.length[k], np.ceil(self.overlap * self.length[k] - 1e-9))
+        need = np.ceil(self.overlap * self.length[k] - 1e-9)
         ok = np.count_nonzero(has, axis=1) >= need
         ok &= np.count_nonzero(has == 3, axis=1) >= need - self.common_words[k]
         for j in np.flatnonzero(ok).tolist():
@@ -250,9 +290,7 @@ class Latent:
             item, piece, answer = self.items.pieces[k[j]]
             seq = np.maximum(words[j], 0).tolist()
             share = lcs(piece, seq) / len(piece)
-            if share < (self.overlap if len(piece) >= self.least else 1.0):
-                continue
-            if len(piece) < self.least and not any(seq[x : x + len(piece)] == piece for x in range(len(seq))):
+            if share < self.overlap:
                 continue
             ans = lcs(answer, seq) / len(answer)
             if ans < self.answer:

@@ -8,11 +8,12 @@ share of T (l of m segments: at most T * l / m), not one segment alone.
   segment is equal and the second differs in at most one bit, so one of its halves is equal:
   24 bits of an index key, 8 keys a fingerprint, and no pair is missed.  Chains of two and
   three segments are checked before the full Hamming distance.
-* Similarity mode (``words`` = 10): at a Jaccard similarity of 0.8 a tenth to a sixth of
-  the bits differ, which no index of 64 bits finds.  Ten fingerprints of the shingles' mixed
-  hashes form a ring of 640 bits in 128 segments of 5; a key is a chain of four consecutive
-  segments without a difference (20 bits, 128 keys).  A pair at 0.8 has 4.8 such chains
-  on average.  A pair within the limit of differing bits is a candidate only.  The members of
+* Similarity mode (``words`` = 23): at a Jaccard similarity of 0.8 a tenth to a sixth of
+  the bits differ, which no index of 64 bits finds.  23 fingerprints of the shingles' mixed
+  hashes form a ring of 1,472 bits in 294 segments of 5; a key is a chain of five consecutive
+  segments without a difference (25 bits, 294 keys).  A pair at 0.8 has 4.9 such chains
+  on average.  Keys are followed by the first four fingerprints only; a pair within the
+  limit of differing bits in these is a candidate, no more.  The members of
   each group that candidates connect bring their sets of distinct shingles together, and a
   pair links if the Jaccard similarity of the two sets is 0.8 or more.
 
@@ -20,8 +21,9 @@ Each batch of fingerprints first sends its distinct keys alone; the owner of a s
 keys marks those that two fingerprints have, and fingerprints follow for these only.  The
 owner then links the fingerprints of a key by search from one to all not yet reached: a
 group of near copies costs about its size, and it gives at most one link a member.  Equal
-fingerprints (in similarity mode equal sets of shingles) are merged before.  More documents take longer keys and longer
-fingerprints (see ``design``), so that a key's chance members stay few.
+fingerprints (in similarity mode equal sets of shingles) are merged before.  More documents need longer keys and longer
+fingerprints (see ``design``), so that a key's chance members stay few; every table gets
+those of 16 million documents, so a pair is judged alike in a small and a large one.
 
 Defined cases: null text counts as empty; no words: fingerprint zero, linked as any other
 in exact mode; in similarity mode texts without words stay alone; a null doc_id is not
@@ -41,6 +43,8 @@ from .repeats import arrow_schema, opened, squeezed
 
 MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1) for i in range(256)]
 LINKS = "a long, b long"
+SIZED = 1 << 24  # documents that similarity mode is designed for, at every size
+SENT = 4  # words of a fingerprint that follow a key in similarity mode
 LOOSE = 14  # bits of 64 in which candidates may differ: 22 %, where a pair at 0.8 differs in 15 %
 KEYS = "slot long, batch long, keys binary, ids binary, prints binary"
 
@@ -221,8 +225,9 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
 
-def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of prints(id, print)."""
+def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4, sent: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of prints(id, print), by the distance of the first ``sent`` words (all)."""
+    sent = sent or words
 
     def by_slot(table):
         """Ids, fingerprints, and by slot: sorted keys and the places of their fingerprints."""
@@ -273,13 +278,13 @@ def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4)
             if slot in mark:
                 own, which = np.unique(k, return_inverse=True)
                 on = np.unpackbits(opened(mark[slot], np.uint8), count=len(own)).astype(bool)[which]
-                out.append((slot, 0, squeezed(np.diff(k[on], prepend=np.uint64(0))), squeezed(ids[at[on]]), p[at[on]].tobytes()))
+                out.append((slot, 0, squeezed(np.diff(k[on], prepend=np.uint64(0))), squeezed(ids[at[on]]), p[at[on], :sent].tobytes()))
         return _rows(out)
 
     def owner(table):
         k = np.concatenate([np.cumsum(opened(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()])
         ids = np.concatenate([opened(x, np.int64) for x in table.column("ids").to_pylist()])
-        p = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64).reshape(-1, words)
+        p = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64).reshape(-1, sent)
         order = np.lexsort((ids, k))
         out: set[tuple[int, int]] = set()
         cut = np.flatnonzero(np.r_[True, k[order][1:] != k[order][:-1], True])
@@ -292,8 +297,8 @@ def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4)
 
     batches = prints.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(slots))).groupBy("batch")
     marks = batches.applyInArrow(find, KEYS).groupBy("slot").applyInArrow(share, KEYS)
-    sent = batches.cogroup(marks.groupBy("batch")).applyInArrow(send, KEYS)
-    return sent.groupBy("slot").applyInArrow(owner, LINKS)
+    shared = batches.cogroup(marks.groupBy("batch")).applyInArrow(send, KEYS)
+    return shared.groupBy("slot").applyInArrow(owner, LINKS)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, words: int | None = None, limit: int | None = None, similarity: float = 0.8) -> DataFrame:
@@ -302,10 +307,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int | None = None,
     The defaults link at a Jaccard similarity of the sets of five-word shingles of 0.8 or more; fingerprints
     find the candidates.  shingle=3, words=1, limit=3 is the exact mode, which links by the distance alone.
     """
-    chain, check = 4, words is None
+    chain, check, sent = 4, words is None, words
     if words is None:
-        words, chain, _ = design(docs.count())
-        limit = words * LOOSE
+        words, chain, _ = design(SIZED)
+        sent, limit = SENT, SENT * LOOSE
     prints = stored(fingerprints(docs, shingle, words), "prints")
     distinct = prints.where("doc_id is not null and print is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.min("print").alias("print"))
     n = distinct.count()
@@ -313,7 +318,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, words: int | None = None,
     h = F.xxhash64("same")
     twice = prints.where("doc_id is not null and print is not null").groupBy("doc_id").agg(F.min(h).alias("h1"), F.max(h).alias("h2")).where("h1 <> h2").select("doc_id")
     same_id = prints.join(twice, "doc_id").join(distinct.select("same", "id"), "same").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    near = links(distinct.select("id", "print"), words, limit, slots, chain)
+    near = links(distinct.select("id", "print"), words, limit, slots, chain, sent)
     found = components((verified(docs, near, shingle, similarity) if check else near).unionAll(same_id))
     classes = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("c"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))

@@ -72,3 +72,33 @@ def test_short_items_must_occur_word_by_word(spark):
     b = spark.createDataFrame([(0, "alpha beta gamma delta")], "item_id long, text string")
     d = spark.createDataFrame([(1, "x alpha beta gamma delta y", 0, ""), (2, "alpha x beta gamma x delta", 0, ""), (3, "delta gamma beta alpha", 0, "")], DDL)
     assert [x.doc_id for x in dc.contaminated(d, b).collect()] == [1]
+
+
+def test_verbatim_items_are_found_whatever_their_cosine(spark):
+    """Short items amid words of other items, which outweigh them in every window; words in another order don't count."""
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    plain = ["of", "in", "to", "and", "or", "at", "by", "on", "so"]
+    items = [(i, " ".join(say(30))) for i in range(40)]
+    items += [(100 + i, " ".join(r.sample(plain, n))) for i, n in enumerate([4, 5, 6, 7, 4, 5, 6, 7])]
+    items += [(200, " ".join(r.sample(plain, 9))), (201, "single")]
+    docs, want = [], set()
+    for i in range(300):
+        w = say(r.randrange(60, 200))
+        for _ in range(len(w) // 6):  # plain words are common
+            w[r.randrange(len(w))] = r.choice(plain)
+        if i % 3 == 0:
+            at = r.randrange(len(w))
+            w[at:at] = items[40 + i // 3 % 10][1].split()
+        docs.append((i, " ".join(w), 0, ""))
+    docs += [(900, " ".join(["x"] * 18 + ["of", "in"]), 0, ""), (901, "to and", 0, "")]
+    items += [(300, "of in to and")]  # ends of one text and head of the next don't make it
+    short = [(k, f" {t} ") for k, t in items if len(t.split()) < 10]
+    want = {(i, k) for i, t, *_ in docs for k, s in short if s in f" {t} "}
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, DDL).coalesce(1)
+    got = {(x.doc_id, x.item_id) for x in dc.contaminated(d, b).collect()}
+    exact = {k for k, s in short if len(s.split()) < 8}
+    assert len(want) >= 100 and want <= got
+    assert {x for x in got if x[1] in exact} == {x for x in want if x[1] in exact}

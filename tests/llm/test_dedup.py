@@ -200,3 +200,9 @@ def test_links_of_similar_sets_match_brute_force():
     want = classes(list(range(60)), lambda a, b: jac(a, b) >= 0.8)
     assert all(jac(a, b) >= 0.8 for a, b in got) and len(got) < 60
     assert classes(list(range(60)), lambda a, b: (a, b) in got or (b, a) in got) == want
+
+
+def test_similarity_mode_has_one_design_at_every_size(spark):
+    """A small table gets the fingerprints of 16 million documents."""
+    got = sd.near_duplicates(spark.createDataFrame([(1, "a b c d e f g", "", 1)], DDL)).first()
+    assert len(got.print) == 8 * sd.design(1 << 24)[0] and got.component_id == 1

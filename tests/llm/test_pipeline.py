@@ -69,3 +69,18 @@ def test_stages_of_an_empty_table(spark, tmp_path):
 
 def test_order_and_names():
     assert [n for n, _ in cp.STAGES] == ["language ID", "exact dedup", "SimHash near-dedup", "benchmark decontamination", "mixing"]
+
+
+def test_language_stage_rejects_what_it_says(spark):
+    """Without a language to learn from, texts with letters stay; of lettered texts only a language named und goes."""
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    r = random.Random(6)
+    say = lambda k: " ".join(r.choice(WORDS[k]) for _ in range(30))
+    bare = [(900, None, None, "a", 0), (901, "", None, "a", 0), (902, "12 --", None, "a", 0)]
+    none = [(i, say("en"), None, "a", 0) for i in range(5)] + bare
+    assert {x.doc_id for x in cp.language(spark, spark.createDataFrame(none, ddl), "").collect()} == set(range(5))
+    rows = [(i, say("de" if i % 2 else "en"), "und" if i % 2 else "en", "a", 0) for i in range(60)] + [(100, say("fr"), None, "a", 0), *bare]
+    got = {x.doc_id for x in cp.language(spark, spark.createDataFrame(rows, ddl), "").collect()}
+    assert got - {100} == set(range(0, 60, 2))
+    rows = [(i, t, "de" if lang == "und" else lang, s, n) for i, t, lang, s, n in rows]
+    assert {x.doc_id for x in cp.language(spark, spark.createDataFrame(rows, ddl), "").collect()} == {*range(60), 100}
