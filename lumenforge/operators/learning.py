@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .bandits import uniform
+from .components import components
 from .models import kmeans_step, logistic_gradient
 
 CLASSIFIERS = ("svm", "random_forest", "boosted_trees", "logistic", "tree", "network", "naive_bayes")
@@ -57,7 +59,7 @@ def folds(df: DataFrame, key: str, k: int = 3, seed: int = 1) -> DataFrame:
 
 def search(df: DataFrame, key: str, kind: str, cols: list[str], label: Column, grid: list[dict], k: int = 3) -> list[tuple[dict, float]]:
     """Each set of parameters with its mean accuracy over k folds, best first.  The grid is a list the caller bounds."""
-    d = folds(df, key, k).withColumn("label", label.cast("double")).persist()
+    d = stored(folds(df.select(key, *cols, label.cast("double").alias("label")), key, k), "folds")
     out = []
     for options in grid:
         hits = []
@@ -66,7 +68,6 @@ def search(df: DataFrame, key: str, kind: str, cols: list[str], label: Column, g
             r = m.transform(assembled(d.where(F.col("fold") == i), cols)).agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("a")).first()
             hits.append(r["a"] or 0.0)
         out.append((options, float(np.mean(hits))))
-    d.unpersist()
     return sorted(out, key=lambda x: -x[1])
 
 
@@ -144,22 +145,9 @@ def edge_clusters(edges: DataFrame, threshold: float) -> DataFrame:
     return edges.groupBy("component").applyInPandas(run, f"node {kind}, cluster {kind}")
 
 
-def linked_clusters(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) of links (a, b): labels fall to the least of their neighbours', two steps a round."""
-    e = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    label = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("c")).select("node", F.least("node", "c").alias("c"))
-    settle = (lambda d: d.checkpoint()) if links.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    last = None
-    for _ in range(rounds):
-        near = e.join(label.withColumnsRenamed({"node": "b", "c": "cb"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m"))
-        step = label.join(near, "node").select("node", F.least("c", "m").alias("c"))
-        jump = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        label = settle(step.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("c")))
-        now = label.agg(F.sum(F.col("c").cast("decimal(38,0)")).alias("s")).first()["s"]
-        if now == last:
-            break
-        last = now
-    return label.withColumnRenamed("c", "component")
+def linked_clusters(links: DataFrame) -> DataFrame:
+    """(node, component) of links (a, b); component is the least node (see ``components``)."""
+    return components(links)
 
 
 def dbscan(pairs: DataFrame, radius: float, least: int) -> DataFrame:

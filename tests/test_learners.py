@@ -75,3 +75,22 @@ def test_clusters(spark):
 def test_surrogate_finds_the_weights():
     w = learning.local_surrogate({"x": 1.0, "y": 2.0}, lambda m: 3 * m[:, 0] - m[:, 1], {"x": 1.0, "y": 1.0})
     assert w["x"] == pytest.approx(3) and w["y"] == pytest.approx(-1)
+
+
+def test_components_of_shuffled_chains(spark):
+    """Long chains whose numbers are in no order settle, for numbers and for strings; AQE on."""
+    import random
+
+    r = random.Random(3)
+    for make in (int, "n{:05d}".format):
+        want, links = {}, []
+        for n, base in ((9, 0), (53, 1000), (301, 5000)):
+            ids = [make(base + i) for i in range(n)]
+            r.shuffle(ids)
+            links += list(zip(ids, ids[1:]))
+            want |= dict.fromkeys(ids, min(ids))
+        links += [(make(9000), make(9000)), (None, make(1)), (make(2), None)]
+        kind = "long" if make is int else "string"
+        got = {x.node: x.component for x in learning.linked_clusters(spark.createDataFrame(links, f"a {kind}, b {kind}")).collect()}
+        assert got == want
+    assert learning.linked_clusters(spark.createDataFrame([], "a long, b long")).count() == 0
