@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
+from ..sources.shared import stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests) a folder made here."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        held = spark.sparkContext.getCheckpointDir()
-        if not held:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenforge"))
-            held = spark.sparkContext.getCheckpointDir()
-        got = held
-    return got
+__all__ = ["ascii_lower", "crc_mod", "parts", "stored", "text_bytes"]
 
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, so that its lineage ends in a file."""
-    path = f"{shared_dir(df.sparkSession)}/lumenforge/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(c: Column) -> Column:

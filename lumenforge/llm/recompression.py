@@ -1,35 +1,38 @@
-"""Recompression of symbol sequences: locally consistent names of runs and pairs.
+"""Recompression of symbol sequences: locally consistent names of runs and pairs, in rounds over the whole corpus.
 
 A round names each maximal run of one symbol, then each adjacent pair whose left symbol is of
 class 0 and whose right one is of class 1; the class is a bit of the symbol's name.  All else is
 carried on.  What a round makes of a symbol hangs on its neighbours alone, so equal substrings get
-equal interior symbols wherever they stand.  Names are 64-bit hashes of what they stand for: every
-task computes them alike, which a table of names dealt out by a shuffle each round would do too.
+equal interior symbols wherever they stand.  The names of a round are gathered over all documents before the next
+begins: a name that one document alone has joins nothing any more, and a window that holds it is no repeat.
+A name is a 64-bit hash of what it stands for, alike in every task; what comes back from a round is whether it is shared.
 
 With each symbol goes the stretch of tokens that settles it: its own, and those of the
-neighbours that decided how it was made.  A symbol whose stretch lies inside a window is found
-in every copy of the window; the one of least name anchors it.  A window without one
-(about 1 of 170, and those inside long runs) is anchored by its own name.
+neighbours that decided how it was made.  A symbol whose stretch lies inside a window is an interior symbol of it,
+found in every copy of the window.  A window all of whose interior symbols are shared may repeat; of those of the highest
+round the one of least name brings its copies together.  A window without any (about 1 of 170, and those
+inside long runs) is brought together by its own name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .repeats import CHUNK, pair_names
+from .repeats import CHUNK, Method, member, names, pair_names
 
 FAR = np.int64(1) << 40
-MIX, BACK = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+MIX = np.uint64(0xD6E8FEB86659FD93)
 RUN, ANCHOR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+TOP = np.uint64(1 << 63)
 
 
 class Level:
-    """Symbols in order: name, document, first token, and the stretch [lo, hi) that settles each."""
+    """Symbols in order: name, document, the stretch [lo, hi) that settles each, and whether a round named it."""
 
-    __slots__ = ("name", "doc", "lo", "hi")
+    __slots__ = ("name", "doc", "lo", "hi", "made")
 
-    def __init__(self, name, doc, lo, hi):
-        self.name, self.doc, self.lo, self.hi = name, doc, lo, hi
+    def __init__(self, name, doc, lo, hi, made):
+        self.name, self.doc, self.lo, self.hi, self.made = name, doc, lo, hi, made
 
     def beside(self) -> tuple[np.ndarray, np.ndarray]:
         """Where the stretch of the neighbour before begins and that of the one after ends; far off at a document's edge."""
@@ -53,15 +56,15 @@ def runs(s: Level) -> tuple[Level, np.ndarray]:
     new = length > 1
     name = np.where(new, pair_names(s.name[first], length.astype(np.uint64) * RUN), s.name[first])
     lo, hi = (np.minimum.reduceat(s.lo, first), np.maximum.reduceat(s.hi, first)) if n else (s.lo, s.hi)
-    return Level(name, s.doc[first], np.minimum(lo, before[first]), np.maximum(hi, after[last])), new
+    return Level(name, s.doc[first], np.minimum(lo, before[first]), np.maximum(hi, after[last]), s.made[first] | new), new
 
 
-def pairs(s: Level, turn: int) -> tuple[Level, np.ndarray]:
-    """Pairs of class 0 and class 1 as one symbol each, and which are new names."""
+def pairs(s: Level, turn: int, joinable: np.ndarray) -> tuple[Level, np.ndarray]:
+    """Pairs of joinable symbols of class 0 and class 1 as one symbol each, and which are new names."""
     side = ((s.name * MIX) >> np.uint64(40 + turn)) & np.uint64(1)
     n = len(side)
     joins = np.zeros(n, bool)  # with the symbol after it
-    joins[:-1] = (side[:-1] == 0) & (side[1:] == 1) & (s.doc[1:] == s.doc[:-1])
+    joins[:-1] = (side[:-1] == 0) & (side[1:] == 1) & (s.doc[1:] == s.doc[:-1]) & joinable[:-1] & joinable[1:]
     gone = np.zeros(n, bool)
     gone[1:] = joins[:-1]
     left = np.flatnonzero(~gone)
@@ -73,84 +76,191 @@ def pairs(s: Level, turn: int) -> tuple[Level, np.ndarray]:
     hi = np.where(new, np.maximum(s.hi[left], s.hi[mate]), np.where(side[left] == 0, np.maximum(s.hi[left], after[left]), s.hi[left]))
     lo = np.where(new, np.minimum(lo, s.lo[mate]), lo)
     name = np.where(new, pair_names(s.name[left], s.name[mate] ^ np.uint64(turn)), s.name[left])
-    return Level(name, s.doc[left], lo, hi), new
-
-
-def interior_symbols(sym: np.ndarray, doc: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """lo, hi and name of the named runs and pairs whose stretch fits a window, by lo, hi and name."""
-    at = np.arange(len(sym), dtype=np.int64)
-    s, found = Level(sym, doc, at, at + 1), []
-    for r in range(rounds):
-        s, new = runs(s)
-        found.append((s, new))
-        s, new = pairs(s, r)
-        found.append((s, new))
-    lo, hi, name = (np.concatenate([getattr(s, k)[new] for s, new in found]) for k in ("lo", "hi", "name"))
-    fits = hi - lo <= window
-    lo, hi, name = lo[fits], hi[fits], name[fits]
-    order = np.lexsort((name, hi, lo))
-    return lo[order], hi[order], name[order]
-
-
-def stretch_names(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A name of the tokens in each stretch, from sums of tokens times powers that are scaled back."""
-    x = pair_names(sym, np.full(len(sym), RUN))
-    down = np.full(len(sym) + 1, BACK)
-    down[0] = 1
-    down = np.cumprod(down)
-    up = np.full(len(sym) + 1, MIX)
-    up[0] = 1
-    up = np.cumprod(up)
-    total = np.zeros(len(sym) + 1, np.uint64)
-    np.cumsum(x * down[:-1], out=total[1:])
-    return pair_names((total[hi] - total[lo]) * up[lo], (hi - lo).astype(np.uint64))
-
-
-def anchored(sym: np.ndarray, bounds: np.ndarray, window: int, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number of windows and anchor name of each stretch of windows with one anchor.
-
-    bounds: starts of the documents in sym, and its length.  Works on CHUNK tokens at a time; which
-    symbols a window holds does not hang on what lies around it.
+    return Level(name, s.doc[left], lo, hi, s.made[left] | new), new
+
+
+def one_round(s: Level, turn: int, shared: np.ndarray | None) -> tuple[Level, list[tuple]]:
+    """The next level, and lo, hi and name of its new symbols.  shared: the shared names of the round before."""
+    s, new = runs(s)
+    found = [(s.lo[new], s.hi[new], s.name[new])]
+    s, new = pairs(s, turn, np.ones(len(s.name), bool) if shared is None else ~s.made | member(s.name, shared))
+    found.append((s.lo[new], s.hi[new], s.name[new]))
+    return s, found
+
+
+class View:
+    """Windows and interior symbols of a piece of the text, up to the round after ``shared``'s or to ``rounds``.
+
+    whole: windows within one document.  alive: whole windows without an interior symbol that is known not to be shared.  bare:
+    windows without an interior symbol.
     """
-    out: tuple[list, list, list] = ([], [], [])
-    n = len(sym)
-    low = np.uint64(4 * CHUNK - 1)
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for at in range(0, max(0, n - window + 1), CHUNK):
-        part = sym[at : at + CHUNK + window - 1]
-        doc = np.searchsorted(bounds, np.arange(at, at + len(part)), "right")
-        m = len(part) - window + 1
-        whole = doc[:m] == doc[window - 1 :]
-        lo, hi, name = interior_symbols(part, doc, window, rounds)
-        packed = pair_names(name, np.full(len(name), ANCHOR)) & ~low | np.arange(len(name), dtype=np.uint64)
-        best = np.full(m, none)
-        for size in range(2, window + 1):
-            mine = np.flatnonzero(hi - lo == size)
-            mine = mine[np.lexsort((packed[mine], lo[mine]))]
-            mine = mine[np.diff(lo[mine], prepend=-1) > 0]  # of equal stretches the least
-            at_lo, value = lo[mine], packed[mine]
-            for off in range(window - size + 1):
-                w = at_lo - off
-                ok = (w >= 0) & (w < m)
-                w, v = w[ok], value[ok]
-                best[w] = np.minimum(best[w], v)
-        have = best != none
-        which = np.where(have, (best & low).astype(np.int64), -1 - np.arange(m))
-        head = np.empty(m, bool)
-        head[:1] = True
-        head[1:] = (which[1:] != which[:-1]) | (whole[1:] != whole[:-1])
-        starts = np.flatnonzero(head)
-        lengths = np.diff(np.append(starts, m))
-        keep = whole[starts]
-        starts, lengths = starts[keep], lengths[keep]
-        sure = have[starts]
-        a = np.where(sure, which[starts], 0)
-        b = np.where(sure, lo[a] if len(lo) else 0, starts)
-        e = np.where(sure, hi[a] if len(hi) else 0, starts + window)
-        key = stretch_names(part, b, e)
-        out[0].append(starts + at)
-        out[1].append(lengths)
-        out[2].append(np.where(sure, pair_names(key, name[a] if len(name) else key), key))
-    if not out[0]:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in out)
+
+    def __init__(self, sym: np.ndarray, doc: np.ndarray, window: int, shared: list[np.ndarray], rounds: int):
+        self.window, self.m = window, len(sym) - window + 1
+        at = np.arange(len(sym), dtype=np.int64)
+        s, self.found = Level(sym, doc, at, at + 1, np.zeros(len(sym), bool)), []
+        self.whole = doc[: self.m] == doc[window - 1 :]
+        dead, covered = np.zeros(self.m + 1, np.int64), np.zeros(self.m + 1, np.int64)
+        for r in range(rounds):
+            s, got = one_round(s, r, shared[r - 1] if r else None)
+            lo, hi, name = (np.concatenate(x) for x in zip(*got, strict=True))
+            fits = hi - lo <= window
+            order = np.lexsort((hi[fits], lo[fits]))
+            lo, hi, name = (x[fits][order] for x in (lo, hi, name))
+            a, b = np.maximum(hi - window, 0), np.minimum(lo, self.m - 1)  # the first and last window that hold it
+            ok = a <= b
+            a, b, lo, name = a[ok], b[ok], lo[ok], name[ok]
+            self._mark(covered, a, b)
+            if r < len(shared):
+                off = ~member(name, shared[r])
+                self._mark(dead, a[off], b[off])
+            self.found.append((a, b, lo, name))
+        self.alive = self.whole & (np.cumsum(dead[:-1]) == 0)
+        self.bare = np.cumsum(covered[:-1]) == 0
+
+    def _mark(self, diff: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        diff += np.bincount(a, minlength=self.m + 1) - np.bincount(b + 1, minlength=self.m + 1)
+
+    def useful(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names and places of the last round's symbols that a live window holds."""
+        a, b, lo, name = self.found[-1]
+        live = np.concatenate([[0], np.cumsum(self.alive)])
+        on = live[b + 1] > live[a]
+        return name[on], lo[on]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each window the symbol (a number, -1 for none) that brings its copies together, and the symbols' names."""
+        names_of = np.concatenate([f[3] for f in self.found])
+        low = np.uint64((1 << max(1, len(names_of).bit_length())) - 1)
+        none = np.uint64(0xFFFFFFFFFFFFFFFF)
+        steps = [np.full(self.m, none) for _ in range(self.window.bit_length())]
+        base = 0
+        for r, (a, b, _, name) in enumerate(self.found):
+            value = (pair_names(name, np.full(len(name), ANCHOR)) >> np.uint64(1)) & ~low | np.arange(base, base + len(name), dtype=np.uint64)
+            if r < len(self.found) - 1:
+                value |= TOP  # the highest round first
+            base += len(name)
+            k = np.log2(b - a + 1).astype(np.int64)
+            for i in range(len(steps)):
+                on = np.flatnonzero(k == i)
+                np.minimum.at(steps[i], a[on], value[on])
+                np.minimum.at(steps[i], b[on] - (1 << i) + 1, value[on])
+        for i in range(len(steps) - 1, 0, -1):  # a least value of 2^i windows is one of both halves
+            half = 1 << (i - 1)
+            steps[i - 1] = np.minimum(steps[i - 1], steps[i])
+            if half < self.m:
+                steps[i - 1][half:] = np.minimum(steps[i - 1][half:], steps[i][:-half])
+        return np.where(steps[0] == none, -1, (steps[0] & low).astype(np.int64)), names_of
+
+
+class Words:
+    """Words of a batch: names, and the text with one space between words."""
+
+    def __init__(self, texts: list[bytes]):
+        import xxhash
+
+        words: list[bytes] = []
+        bounds = [0]
+        for t in texts:
+            words += t.split()
+            bounds.append(len(words))
+        index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        name = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+        self.sym = name[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
+        self.text, self.bounds = b" ".join(words), np.array(bounds, np.int64)
+        self.off = np.cumsum([0, *map(len, words)], dtype=np.int64) + np.arange(len(words) + 1)
+
+
+class Recompression(Method):
+    def __init__(self, window: int, rounds: int):
+        self.window, self.rounds = window, rounds
+
+    def prepare(self, texts):
+        return Words(texts)
+
+    def _views(self, own, shared, rounds):
+        """Works on CHUNK tokens at a time; which symbols a window holds does not hang on what lies around it."""
+        for at in range(0, max(0, len(own.sym) - self.window + 1), CHUNK):
+            part = own.sym[at : at + CHUNK + self.window - 1]
+            doc = np.searchsorted(own.bounds, np.arange(at, at + len(part)), "right")
+            yield at, part, View(part, doc, self.window, shared, rounds)
+
+    def propose(self, own, shared):
+        out: tuple[list, list] = ([], [])
+        for at, part, v in self._views(own, shared, len(shared) + 1):
+            name, place = v.useful()
+            if len(shared) == self.rounds - 1:
+                bare = np.flatnonzero(v.alive & v.bare)
+                name, place = np.concatenate([name, self._own(part, bare)]), np.concatenate([place, bare])
+            out[0].append(name)
+            out[1].append(place + at)
+        return (np.concatenate(out[0]), np.concatenate(out[1])) if out[0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def _own(self, part: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return pair_names(names(part, self.window)[at], np.full(len(at), RUN)) if len(at) else np.zeros(0, np.uint64)
+
+    def segments(self, own, shared):
+        out: tuple[list, list, list] = ([], [], [])
+        for at, part, v in self._views(own, shared, self.rounds):
+            which, name = v.anchors()
+            bare = np.flatnonzero(v.alive & v.bare)
+            alone = self._own(part, bare)
+            live = v.alive & ~v.bare
+            on = member(alone, shared[-1])
+            live[bare[on]] = True
+            which[bare] = -2 - np.arange(len(bare))  # each by itself
+            head = np.empty(v.m, bool)
+            head[:1] = True
+            head[1:] = (which[1:] != which[:-1]) | (live[1:] != live[:-1])
+            first = np.flatnonzero(head)
+            size = np.diff(np.append(first, v.m))
+            keep = live[first]
+            first, size = first[keep], size[keep]
+            w = which[first]
+            out[0].append(first + at)
+            out[1].append(size)
+            got = np.zeros(len(w), np.uint64)
+            got[w >= 0], got[w < 0] = name[w[w >= 0]], alone[-2 - w[w < 0]]
+            out[2].append(got)
+        if not out[0]:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.concatenate(x) for x in out)
+
+    def cut(self, own, at, size):
+        return own.text[own.off[at] : own.off[at + size] - 1]
+
+    def joined(self, pieces):
+        return b"\n".join(pieces)
+
+    def parted(self, blob, sizes):
+        return blob.split(b"\n")
+
+    def load(self, pieces):
+        """Numbers of the words, one for each distinct word: they are equal where the words are."""
+        words = b" ".join(pieces).split()
+        index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        return np.fromiter(map(index.__getitem__, words), np.uint64, len(words))
+
+    def order(self, symbols, at):
+        """By names of the windows; those that fall together are compared word by word."""
+        h = names(symbols, self.window)[at]
+        low = max(1, (len(at) - 1).bit_length())
+        mask = np.uint64((1 << low) - 1)
+        packed = (h & ~mask) | np.arange(len(at), dtype=np.uint64)
+        packed.sort()
+        order = (packed & mask).astype(np.int64)
+        packed >>= np.uint64(low)
+        new = np.r_[True, packed[1:] != packed[:-1]]
+        x, again = at[order], np.flatnonzero(~new)
+        bad = np.zeros(len(again), bool)
+        for off in range(self.window):
+            bad |= symbols[x[again] + off] != symbols[x[again - 1] + off]
+        if bad.any():  # one name for two sequences: their windows are put in the order of their words
+            group = np.cumsum(new) - 1
+            for g in np.unique(group[again[bad]]).tolist():
+                lo, hi = np.searchsorted(group, [g, g + 1])
+                rows = symbols[x[lo:hi, None] + np.arange(self.window)]
+                by = np.lexsort(rows.T[::-1])
+                order[lo:hi] = order[lo:hi][by]
+                new[lo + 1 : hi] = (rows[by][1:] != rows[by][:-1]).any(axis=1)
+        return order, new

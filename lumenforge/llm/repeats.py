@@ -1,21 +1,19 @@
-"""Exact search for windows of W symbols that repeat across documents.
-
-Used by the two substring operators.  A document is a sequence of symbols (bytes,
-or 64-bit names of words).  Four steps, each bounded in memory:
-
-1. *Anchors.*  The caller's function finds for each window an anchor, which depends on the
-   window's symbols alone: equal windows have equal anchors in every document, and
-   neighbouring windows share one.  ``segments`` takes the window's run of ``gram`` symbols of
-   least name (names of runs of 1, 2, 4, ... symbols, a pair of names named in turn);
-   ``recompression.anchored`` takes a symbol of a locally consistent parse.  Each batch of
-   documents sends each anchor name once, 8 bytes, with a bit that tells whether two of
-   its documents have it.
-2. *Shared anchors.*  Names met in two batches, or twice in one, go back to the batches.
-3. *Segments.*  Each stretch of windows about one shared anchor is sent, as symbols, to
-   the task that owns the anchor; equal stretches of one batch are sent once, with the
-   least and the greatest doc_id.  The owner sorts the windows of one slot at a time,
-   compares the symbols of the windows that fall together, and finds for each class of
-   equal windows the least doc_id.
+"""Exact search for windows of symbols that repeat across documents.
+
+Used by the two substring operators.  A document is a sequence of symbols (bytes or
+words); a ``Method`` says how windows are named and how an owner puts them in order.  Steps, each bounded in
+memory:
+
+1. *Rounds of names.*  In each of the method's rounds a batch of documents sends the distinct
+   names that it proposes, 8 bytes each before packing, with a bit that tells whether two of its documents have
+   the name.  Equal windows propose equal names in every document.  The task that owns a name's slot marks
+   the names met in two batches, or twice in one, and sends one bit a name back; the next round names what
+   stands between shared names alone.
+2. *Segments.*  Each stretch of windows about one shared name is sent, as the symbols
+   themselves, to the owner of the name; equal stretches of one batch are sent once, with the
+   least and the greatest doc_id.
+3. *Owners.*  Equal stretches of several batches are merged.  The owner puts the windows of its slot in
+   order, by the symbols themselves, so that equal ones stand together, and finds for each class the least doc_id.
 4. *Cover.*  Each batch gets the runs of windows with an earlier owner, and marks the
    symbols they cover.
 
@@ -41,7 +39,8 @@ CHUNK = 1 << 19
 PACKED = "slot long, batch long, kind int, a binary, b binary, c binary, d binary"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-S1, S2, ONE = np.uint64(31), np.uint64(29), np.uint64(1)
+S1, S2 = np.uint64(31), np.uint64(29)
+DATA, OWN, ECHO = 0, 1, 2  # kinds of rows; the last two pass through a slot of their batch's own
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -83,8 +82,46 @@ def names(sym: np.ndarray, length: int) -> np.ndarray:
         size *= 2
 
 
+def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of x are among a sorted array."""
+    if not len(among):
+        return np.zeros(len(x), bool)
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - starts_of(size), size)
+
+
+class Method:
+    """How windows of ``window`` symbols are named and put in order.
+
+    prepare(texts): an object with ``bounds``, the first symbol of each text and their number.
+    propose(own, shared): names and their symbols' places in the round after those whose shared names (sorted) are
+    given.  segments(own, shared): start, number of windows and name of each stretch to send.  cut(own, at, size):
+    the symbols there, as bytes; joined and parted put such pieces together and take them apart.
+    load(pieces): symbols of all pieces.  order(symbols, at): the windows at ``at`` in an order in which equal ones
+    stand together, and whether each differs from the one before it.
+    """
+
+    window: int
+    rounds: int
+
+    def joined(self, pieces: list[bytes]) -> bytes:
+        return b"".join(pieces)
+
+    def parted(self, blob: bytes, sizes: np.ndarray) -> list[bytes]:
+        return [blob[a : a + n] for a, n in zip(starts_of(sizes).tolist(), sizes.tolist(), strict=True)]
+
+
 def segments(sym: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number of windows and anchor name of each stretch of windows with one anchor.
+    """Start, number of windows and anchor name of each stretch of windows with one anchor: the window's run of
+    ``gram`` symbols of least name.
 
     bounds: starts of the documents in sym, and its length.
     """
@@ -171,79 +208,96 @@ def _packed(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
 
-def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, anchors: Callable, finish: Callable, out_ddl: str, batch_bytes: int = 4 << 20, slot_bytes: int = 8 << 20) -> DataFrame:
+def windows_seen_before(docs: DataFrame, method: Method, finish: Callable, out_ddl: str, batch_bytes: int = 4 << 20, slot_bytes: int = 4 << 20) -> DataFrame:
     """For each document, finish(ids, texts, bounds, cover): cover marks the symbols to remove.
 
-    docs: doc_id, text.  symbols(texts) gives the symbols of all texts, joined, and the
-    bounds; anchors(symbols, bounds) gives start, number of windows and anchor name of each stretch of
-    windows with one anchor.  A window counts as seen if it starts in a document of smaller doc_id too.
+    docs: doc_id, text.  A window counts as seen if it starts in a document of smaller doc_id too.
     """
-    total = text_bytes(docs)
+    window, total = method.window, text_bytes(docs)
     batches, slots = max(4, -(-total // batch_bytes)), max(4, -(-total // slot_bytes))
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches))).mapInArrow(bundles, "batch long, bundle binary")
 
-    def slot_of(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(8)) % np.uint64(slots)).astype(np.int64)
-
     def by_slot(h: np.ndarray):
-        s = slot_of(h)
+        s = ((h >> np.uint64(8)) % np.uint64(slots)).astype(np.int64)
         order = np.argsort(s, kind="stable")
         cut = np.flatnonzero(np.diff(s[order])) + 1
         for part in np.split(order, cut) if len(order) else []:
             yield int(s[part[0]]), part
 
-    def find(key, table):
-        _, texts, num = batch_of(table)
-        sym, bounds = symbols(texts)
-        p0, _, g = anchors(sym, bounds)
+    def proposals(own, num, shared):
+        """Distinct names of a round, sorted, and whether two documents have each."""
+        g, at = method.propose(own, shared)
         if not len(g):
-            return _packed([])
-        doc = num[np.searchsorted(bounds, p0, "right") - 1]
-        g &= ~ONE
+            return g, np.zeros(0, bool)
+        doc = num[np.searchsorted(own.bounds, at, "right") - 1]
         order = np.argsort(g, kind="stable")
         g, doc = g[order], doc[order]
         head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        twice = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-        h = g[head] | twice.astype(np.uint64)
-        return _packed([(s, key[0].as_py(), 0, h[i].tobytes(), None, None, None) for s, i in by_slot(h & ~ONE)])
+        return g[head], np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
+
+    def shared_names(own, num, marks):
+        """Names of each round that are shared, by the bits that came back: of each round, of each slot."""
+        out = []
+        for bits in marks:
+            g, _ = proposals(own, num, out)
+            on = np.zeros(len(g), bool)
+            for s, part in by_slot(g):
+                if s in bits:
+                    on[part] = np.unpackbits(np.frombuffer(opened(bits[s]), np.uint8), count=len(part)).astype(bool)
+            out.append(g[on])
+        return out
+
+    def marks_of(table) -> list[dict[int, bytes]]:
+        """Bits of all rounds so far: earlier ones from the batch's echo, the last from the owners."""
+        rows = table.to_pylist()
+        out = next((pickle.loads(r["a"]) for r in rows if r["kind"] == ECHO), [])
+        return [*out, {r["slot"]: r["a"] for r in rows if r["kind"] == DATA}]
+
+    def find(key, table, *came):
+        if not table.num_rows or (came and not came[0].num_rows):
+            return _packed([])
+        batch, marks = key[0].as_py(), marks_of(came[0]) if came else []
+        _, texts, num = batch_of(table)
+        own = method.prepare(texts)
+        g, twice = proposals(own, num, shared_names(own, num, marks))
+        rows = [(s, batch, DATA, squeezed(np.diff(g[i], prepend=np.uint64(0))), squeezed(np.packbits(twice[i]).tobytes()), None, None) for s, i in by_slot(g)]
+        if marks and rows:
+            rows.append((slots + batch, batch, ECHO, pickle.dumps(marks), None, None, None))
+        return _packed(rows)
 
     def share(key, table):
-        came = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
+        if key[0].as_py() >= slots:
+            return table
+        came = [np.cumsum(opened(x, np.uint64), dtype=np.uint64) for x in table.column("a").to_pylist()]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(opened(x), np.uint8), count=len(k)) for x, k in zip(table.column("b").to_pylist(), came, strict=True)]).astype(bool)
         h = np.concatenate(came)
         order = np.argsort(h, kind="stable")
-        s = h[order] & ~ONE
-        new = np.r_[True, s[1:] != s[:-1]]
+        new = np.r_[True, h[order][1:] != h[order][:-1]]
         head = np.flatnonzero(new)
-        often = (np.diff(np.append(head, len(s))) > 1) | (np.maximum.reduceat(h[order] & ONE, head) > 0)
+        often = (np.diff(np.append(head, len(h))) > 1) | np.logical_or.reduceat(twice[order], head)
         flag = np.empty(len(h), bool)
         flag[order] = often[np.cumsum(new) - 1]
         rows, at = [], 0
         for b, x in zip(table.column("batch").to_pylist(), came, strict=True):
-            hit = x[flag[at : at + len(x)]] & ~ONE
+            on = flag[at : at + len(x)]
             at += len(x)
-            if len(hit):
-                rows.append((key[0].as_py(), b, 0, hit.tobytes(), None, None, None))
+            if on.any():
+                rows.append((key[0].as_py(), b, DATA, squeezed(np.packbits(on).tobytes()), None, None, None))
         return _packed(rows)
 
-    def send(key, table, marks):
-        if not table.num_rows or not marks.num_rows:
+    def send(key, table, came):
+        if not table.num_rows or not came.num_rows:
             return _packed([])
         batch = key[0].as_py()
         _, texts, num = batch_of(table)
-        sym, bounds = symbols(texts)
-        p0, count, g = anchors(sym, bounds)
-        g &= ~ONE
-        shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in marks.column("a").to_pylist()]))
-        at = np.searchsorted(shared, g)
-        hit = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == g)
-        p0, count, g = p0[hit], count[hit], g[hit]
-        row = np.searchsorted(bounds, p0, "right") - 1
+        own = method.prepare(texts)
+        p0, count, g = method.segments(own, shared_names(own, num, marks_of(came)))
+        row = np.searchsorted(own.bounds, p0, "right") - 1
         doc = num[row].tolist()
-        size, buf = sym.itemsize, sym.tobytes()
         known: dict[bytes, int] = {}
         which, least, most, first = np.empty(len(p0), np.int64), [], [], []
         for i, (p, c, d) in enumerate(zip(p0.tolist(), count.tolist(), doc, strict=True)):
-            k = known.setdefault(buf[p * size : (p + c + window - 1) * size], len(known))
+            k = known.setdefault(method.cut(own, p, c + window - 1), len(known))
             which[i] = k
             if k == len(least):
                 least.append(d)
@@ -261,88 +315,67 @@ def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, anchors
         rows = []
         for s, part in by_slot(g[head]):
             slot[part], index[part] = s, np.arange(len(part))
-            rows.append((s, batch, 0, squeezed(b"".join(contents[k] for k in part.tolist())), squeezed(count[head[part]].astype(np.uint32)), squeezed(least[part]), squeezed(most[part] - least[part])))
+            rows.append((s, batch, DATA, squeezed(method.joined([contents[k] for k in part.tolist()])), squeezed(count[head[part]].astype(np.uint32)), squeezed(least[part]), squeezed(most[part] - least[part])))
         place = (slot << 32 | index)[which]
-        rows.append((slots + batch, batch, 1, squeezed(place), squeezed(np.diff(p0, prepend=0)), squeezed(row.astype(np.int64)), None))
+        rows.append((slots + batch, batch, OWN, squeezed(place), squeezed(np.diff(p0, prepend=0)), squeezed(row.astype(np.int64)), None))
         return _packed(rows)
 
     def resolve(key, table):
-        kinds = table.column("kind").to_pylist()
-        if 1 in kinds:
+        if key[0].as_py() >= slots:
             return table
+        slot = key[0].as_py()
         a, b, c, d = (table.column(n).to_pylist() for n in "abcd")
-        sym = np.frombuffer(b"".join(map(opened, a)), symbols([])[0].dtype)
         counts = [opened(x, np.uint32).astype(np.int64) for x in b]
         count = np.concatenate(counts)
         least = np.concatenate([opened(x, np.int64) for x in c])
         most = least + np.concatenate([opened(x, np.int64) for x in d])
-        del a, b
-        starts = np.cumsum(count + window - 1) - (count + window - 1)
-        seg = np.repeat(np.arange(len(count)), count)
-        inside = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-        at = starts[seg] + inside
-        h = np.empty(len(at), np.uint64)
-        ends = np.cumsum(count)
-        lo = 0
-        while lo < len(count):  # names of whole segments, so many at a time
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CHUNK, "right")) - 1)
-            base, stop = int(starts[lo]), int(starts[hi]) if hi < len(count) else len(sym)
-            w0, w1 = int(ends[lo] - count[lo]), int(ends[hi - 1])
-            h[w0:w1] = names(sym[base:stop], window)[at[w0:w1] - base]
-            lo = hi
-        order = np.argsort(h, kind="stable")
-        new = np.r_[True, h[order][1:] != h[order][:-1]]
-        x = at[order]
-        wide, step = _wide(sym)
-        again = np.flatnonzero(~new)
-        bad = np.zeros(len(again), bool)
-        for off in [*range(0, window - step + 1, step), window - step]:
-            bad |= wide[x[again] + off] != wide[x[again - 1] + off]
-        cls = np.cumsum(new) - 1
-        if bad.any():  # one name for two strings: their windows are told apart by their symbols
-            size, seen = sym.itemsize, {}
-            nxt = int(cls[-1]) + 1
-            for q in np.flatnonzero(np.isin(cls, cls[again[bad]])).tolist():
-                k = sym[x[q] : x[q] + window].tobytes()
-                if k not in seen:
-                    seen[k] = nxt
-                    nxt += 1
-                cls[q] = seen[k]
-            del size
-        owner = np.full(int(cls.max()) + 1, NONE)
-        np.minimum.at(owner, cls, least[seg[order]]) if bad.any() else owner.__setitem__(slice(None), np.minimum.reduceat(least[seg[order]], np.flatnonzero(new)))
-        before = np.empty(len(at), np.int64)
-        before[order] = owner[cls]
-        turn = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (seg[1:] != seg[:-1])])
-        length = np.diff(np.append(turn, len(at)))
-        useful = before[turn] < most[seg[turn]]
-        turn, length = turn[useful], length[useful]
-        rows, s0, slot = [], 0, key[0].as_py()
-        edges = np.searchsorted(seg[turn], np.cumsum([0, *(len(k) for k in counts)]))
-        for i, batch in enumerate(table.column("batch").to_pylist()):
-            t, n = turn[edges[i] : edges[i + 1]], length[edges[i] : edges[i + 1]]
+        known: dict[bytes, int] = {}
+        which = np.fromiter((known.setdefault(p, len(known)) for x, n in zip(a, counts, strict=True) for p in method.parted(opened(x), n + window - 1)), np.int64, len(count))
+        del a, b, c, d
+        least_of, own = np.full(len(known), NONE), np.empty(len(known), np.int64)  # of each distinct stretch
+        np.minimum.at(least_of, which, least)
+        own[which] = count
+        sym = method.load(list(known))
+        del known
+        at = spread(starts_of(own + window - 1), own)
+        order, new = method.order(sym, at)
+        del sym, at
+        stretch = np.repeat(np.arange(len(own)), own)
+        head = np.flatnonzero(new)
+        before = np.empty(len(order), np.int64)
+        before[order] = np.repeat(np.minimum.reduceat(least_of[stretch[order]], head), np.diff(np.append(head, len(order))))
+        turn = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (stretch[1:] != stretch[:-1])])
+        length, begin = np.diff(np.append(turn, len(before))), starts_of(own)
+        low = np.searchsorted(stretch[turn], np.arange(len(own) + 1))
+        rows, s0 = [], 0
+        for batch, n in zip(table.column("batch").to_pylist(), map(len, counts), strict=True):
+            u = which[s0 : s0 + n]
+            many = (low[1:] - low[:-1])[u]
+            t, seg = spread(low[u], many), np.repeat(np.arange(n), many)
+            ok = before[turn[t]] < most[s0 + seg]
+            t, seg = t[ok], seg[ok]
             if len(t):
-                rows.append((slot, batch, 0, squeezed((slot << 32 | (seg[t] - s0)).astype(np.int64)), squeezed(inside[t].astype(np.int64)), squeezed(n.astype(np.int64)), squeezed(before[t])))
-            s0 += len(counts[i])
+                rows.append((slot, batch, DATA, squeezed((slot << 32 | seg).astype(np.int64)), squeezed((turn[t] - begin[u[seg]]).astype(np.int64)), squeezed(length[t].astype(np.int64)), squeezed(before[turn[t]])))
+            s0 += n
         return _packed(rows)
 
     def cover(_, table, found):
         ids, texts, num = batch_of(table)
-        sym, bounds = symbols(texts)
-        diff = np.zeros(len(sym) + 1, np.int32)
+        own = method.prepare(texts)
+        bounds = own.bounds
+        diff = np.zeros(int(bounds[-1]) + 1, np.int32)
         kind = found.column("kind").to_pylist() if found.num_rows else []
-        if 0 in kind and 1 in kind:
+        if DATA in kind and OWN in kind:
             rows = found.to_pylist()
-            own = next(r for r in rows if r["kind"] == 1)
-            place, p0, row = (opened(own[k], np.int64) for k in "abc")
+            mine = next(r for r in rows if r["kind"] == OWN)
+            place, p0, row = (opened(mine[k], np.int64) for k in "abc")
             p0 = np.cumsum(p0)
-            key, skip, run, before = (np.concatenate([opened(r[k], np.int64) for r in rows if r["kind"] == 0]) for k in "abcd")
+            key, skip, run, before = (np.concatenate([opened(r[k], np.int64) for r in rows if r["kind"] == DATA]) for k in "abcd")
             order = np.argsort(key, kind="stable")
             key, skip, run, before = key[order], skip[order], run[order], before[order]
             lo, hi = np.searchsorted(key, place, "left"), np.searchsorted(key, place, "right")
             times = hi - lo
-            occ = np.repeat(np.arange(len(place)), times)
-            r = np.arange(len(occ)) - np.repeat(np.cumsum(times) - times, times) + lo[occ]
+            occ, r = np.repeat(np.arange(len(place)), times), spread(lo, times)
             on = before[r] < num[row[occ]]
             begin = (p0[occ] + skip[r])[on]
             np.add.at(diff, begin, 1)
@@ -350,19 +383,9 @@ def windows_seen_before(docs: DataFrame, symbols: Callable, window: int, anchors
         return finish(ids, texts, bounds, np.cumsum(diff[:-1]) > 0)
 
     groups = dealt.groupBy("batch")
-    came = groups.applyInArrow(find, PACKED)
-    marks = came.groupBy("slot").applyInArrow(share, PACKED)
+    marks = groups.applyInArrow(lambda key, table: find(key, table), PACKED).groupBy("slot").applyInArrow(share, PACKED)
+    for _ in range(method.rounds - 1):
+        marks = groups.cogroup(marks.groupBy("batch")).applyInArrow(lambda key, table, came: find(key, table, came), PACKED).groupBy("slot").applyInArrow(share, PACKED)
     sent = groups.cogroup(marks.groupBy("batch")).applyInArrow(send, PACKED)
     found = sent.groupBy("slot").applyInArrow(resolve, PACKED)
     return groups.cogroup(found.groupBy("batch")).applyInArrow(cover, out_ddl)
-
-
-def _wide(sym: np.ndarray) -> tuple[np.ndarray, int]:
-    """Symbols for comparison, eight bytes in one where the symbols are bytes."""
-    if sym.dtype != np.uint8:
-        return sym, 1
-    w, n = sym.astype(np.uint64), 1
-    while n < 8:
-        w = (w[:-n] << np.uint64(8 * n)) | w[n:]
-        n *= 2
-    return w, 8

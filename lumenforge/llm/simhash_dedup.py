@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import parts, stored
-from .components import components
+from ..operators.components import components
 from .repeats import arrow_schema, opened, squeezed
 
 MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1) for i in range(256)]

@@ -1,9 +1,9 @@
 """Substring dedup by recompression: removes words that an earlier document already has.
 
-Rounds name runs of words and pairs of neighbours (see ``recompression``), so that equal
-substrings hold equal interior symbols.  The interior symbol of least name anchors a window of
-words; anchors that two documents share reveal long repeats, which are then verified word by
-word (see ``repeats``).  Names are 64-bit hashes, which every task computes alike.
+Two rounds over all documents name runs of words and pairs of neighbours (see ``recompression``), so that equal
+substrings hold equal interior symbols; each round's names are gathered in Spark, and tell the next which of them two
+documents share.  Windows all of whose interior symbols are shared are sent, as words, to the owner of their
+high-level symbol, who compares them word by word (see ``repeats``).
 
 Defined cases: null text counts as empty (0 words, hash of the empty string); a document
 shorter than the window loses nothing; rows with the same doc_id don't count as earlier
@@ -14,32 +14,17 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import parts
-from .recompression import anchored
+from .recompression import Recompression
 from .repeats import arrow_schema, windows_seen_before
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 OUT_TEXT = OUT + ", kept string"
 
 
-def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    import xxhash
-
-    name, known, got, bounds = xxhash.xxh64_intdigest, {}, [], [0]
-    for t in texts:
-        for w in t.split():
-            h = known.get(w)
-            if h is None:
-                h = known[w] = name(w)
-            got.append(h)
-        bounds.append(len(got))
-    return np.array(got, np.uint64), np.array(bounds, np.int64)
-
-
 def drop_repeated_words(docs: DataFrame, window: int = 13, rounds: int = 2, with_text: bool = False, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay, if with_text).
 
@@ -61,4 +46,4 @@ def drop_repeated_words(docs: DataFrame, window: int = 13, rounds: int = 2, with
         cols = [pa.array(ids, pa.int64()), n, gone, sha] + [kept] * with_text
         return pa.table(cols, schema=arrow_schema(ddl))
 
-    return windows_seen_before(parts(docs), word_symbols, window, lambda sym, bounds: anchored(sym, bounds, window, rounds), finish, ddl, **options)
+    return windows_seen_before(parts(docs), Recompression(window, rounds), finish, ddl, **options)

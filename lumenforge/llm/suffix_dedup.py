@@ -1,12 +1,12 @@
 """Suffix-array dedup: removes bytes of strings that an earlier document already has.
 
-Suffixes are sorted one bucket at a time.  The precomputed sample that settles long ties
-is chosen by content, not by position modulo a period: of the windows' 24-byte runs, those
-of least name.  Two suffixes that agree on 50 bytes reach the same sample at the same
-distance, which a cover of positions modulo v gives only for one joined text and at the
-cost of 4 of 13 or 6 of 31 positions; this sample is about 1 of 14.  A bucket holds the
-suffixes next to the same samples; those whose sample has no partner are never sorted.
-Ties are compared byte by byte.  See ``repeats`` for the steps.
+Strings that may repeat are brought together by content (of each 50 bytes the 24-byte run of least name, where two
+documents have it; see ``repeats``).  The task that owns a slot joins its distinct stretches to a text and sorts the
+suffixes that start a string blockwise (see ``suffix_order``): one bucket of first bytes at a time, long ties
+resolved by ranks of a difference cover sample computed before.  Neighbours that agree in 50 bytes are one class;
+its least doc_id decides.  The cover is taken of each slot's text: one of the whole corpus would let two
+suffixes meet at an offset that differs from pair to pair, so each window would go to several owners (see the
+README for figures).
 
 Defined cases: null text counts as empty; a text shorter than the string length loses
 nothing; rows with the same doc_id don't count as earlier than each other; a null doc_id
@@ -22,14 +22,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import parts
-from .repeats import arrow_schema, segments, windows_seen_before
+from .repeats import Method, arrow_schema, member, segments, windows_seen_before
+from .suffix_order import suffix_order
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 OUT_SPANS = OUT + ", spans string"
 
 
-def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)], dtype=np.int64)
+class Joined:
+    def __init__(self, texts: list[bytes]):
+        self.whole = b"".join(texts)
+        self.sym, self.bounds = np.frombuffer(self.whole, np.uint8), np.cumsum([0, *map(len, texts)], dtype=np.int64)
+
+
+class Suffixes(Method):
+    rounds = 1
+
+    def __init__(self, length: int, gram: int):
+        self.window, self.gram = length, gram
+
+    def prepare(self, texts):
+        return Joined(texts)
+
+    def propose(self, own, shared):
+        at, _, name = segments(own.sym, own.bounds, self.window, self.gram)
+        return name, at
+
+    def segments(self, own, shared):
+        at, count, name = segments(own.sym, own.bounds, self.window, self.gram)
+        on = member(name, shared[0])
+        return at[on], count[on], name[on]
+
+    def cut(self, own, at, size):
+        return own.whole[at : at + size]
+
+    def load(self, pieces):
+        return np.frombuffer(b"".join(pieces), np.uint8)
+
+    def order(self, symbols, at):
+        return suffix_order(symbols, at, self.window)
 
 
 def drop_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 24, with_spans: bool = False, **options) -> DataFrame:
@@ -55,4 +86,4 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 24, with_
         cols = [pa.array(ids, pa.int64()), n, gone, runs, sha] + [spans] * with_spans
         return pa.table(cols, schema=arrow_schema(ddl))
 
-    return windows_seen_before(parts(docs), byte_symbols, length, lambda sym, bounds: segments(sym, bounds, length, gram), finish, ddl, **options)
+    return windows_seen_before(parts(docs), Suffixes(length, gram), finish, ddl, **options)

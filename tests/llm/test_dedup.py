@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from lumenforge.llm import exact_dedup, simhash_dedup as sd
-from lumenforge.llm.components import components
+from lumenforge.operators.components import components
 
 DDL = "doc_id long, text string, keep_id string, hash int"
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from lumenforge.llm import repeats
+from lumenforge.llm import recompression, repeats, suffix_order
 from lumenforge.llm.substring_dedup import drop_repeated_words
 from lumenforge.llm.suffix_dedup import drop_repeated_bytes
 
@@ -70,21 +70,36 @@ def test_bytes_match_brute_force(spark, seed):
 
 
 def test_equal_names_are_told_apart(spark, monkeypatch):
-    """With names that collide, symbols decide."""
+    """With names that collide, bytes and words decide."""
     docs = corpus(3)
     real = repeats.names
 
     def weak(sym, length):
-        return real(sym, length) & np.uint64(0xF00) if length == 50 else real(sym, length)
+        return real(sym, length) & np.uint64(0xF00)
 
     monkeypatch.setattr(repeats, "names", weak)
-    got = {r.doc_id: r.n_removed for r in drop_repeated_bytes(spark.createDataFrame(docs, DDL)).collect() if r.doc_id not in (3, None)}
-    assert got == {i: sum(g) for i, _, g in brute(docs, lambda t: (t or "").encode(), 50) if i not in (3, None)}
+    monkeypatch.setattr(recompression, "names", weak)
+    for f, units, n in ((drop_repeated_bytes, lambda t: (t or "").encode(), 50), (drop_repeated_words, lambda t: (t or "").encode().split(), 13)):
+        got = {r.doc_id: r.n_removed for r in f(spark.createDataFrame(docs, DDL)).collect() if r.doc_id not in (3, None)}
+        assert got == {i: sum(g) for i, _, g in brute(docs, units, n) if i not in (3, None)}
+
+
+def test_order_of_windows_with_one_name(monkeypatch):
+    monkeypatch.setattr(recompression, "names", lambda sym, n: np.zeros(len(sym) - n + 1, np.uint64))
+    m = recompression.Recompression(3, 2)
+    sym = m.load([b"a b c a b c a b", b"b c a x"])
+    at = np.array([0, 1, 2, 3, 4, 5, 8, 9])
+    order, new = m.order(sym, at)
+    rows = [tuple(sym[at[i] : at[i] + 3].tolist()) for i in order]
+    assert new.tolist() == [True] + [x != y for x, y in zip(rows, rows[1:])] and sum(new) == len(set(rows))
 
 
 def test_chunks_and_empty(spark, monkeypatch):
     docs = corpus(4)
     monkeypatch.setattr(repeats, "CHUNK", 128)
+    monkeypatch.setattr(recompression, "CHUNK", 64)
+    got = {r.doc_id: r.n_removed for r in drop_repeated_words(spark.createDataFrame(docs, DDL)).collect() if r.doc_id not in (3, None)}
+    assert got == {i: sum(g) for i, _, g in brute(docs, lambda t: (t or "").encode().split(), 13) if i not in (3, None)}
     got = {r.doc_id: r.n_removed for r in drop_repeated_bytes(spark.createDataFrame(docs, DDL)).collect() if r.doc_id not in (3, None)}
     assert got == {i: sum(g) for i, _, g in brute(docs, lambda t: (t or "").encode(), 50) if i not in (3, None)}
     assert drop_repeated_words(spark.createDataFrame([], DDL)).count() == 0
@@ -103,23 +118,47 @@ def test_names_depend_on_the_run_alone():
 
 
 @pytest.mark.parametrize("letters,seed", [(2, 1), (3, 2), (50, 3)])
-def test_equal_windows_have_equal_anchors(monkeypatch, letters, seed):
-    """Whatever lies around them, and wherever a chunk ends; and every window has one."""
-    from lumenforge.llm import recompression
-
+def test_equal_windows_stay_together(monkeypatch, letters, seed):
+    """Windows that two documents have survive every round, under one name wherever they stand and wherever a chunk ends."""
     r = np.random.default_rng(seed)
-    parts = [r.integers(0, letters, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in (40, 300, 13, 5, 200)]
+    parts = [r.integers(0, letters, k) for k in (40, 300, 13, 5, 200)]
     parts += [np.concatenate([p[3:], parts[1][20:90], p[:7]]) for p in parts] + [np.repeat(parts[0][:3], 20)]
-    sym, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    texts = [b" ".join(b"w%d" % x for x in p.tolist()) for p in parts]
+    where = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 12):
+            where.setdefault(tuple(w[i : i + 13]), set()).add(d)
     for chunk in (1 << 19, 64):
         monkeypatch.setattr(recompression, "CHUNK", chunk)
-        start, count, name = recompression.anchored(sym, bounds, 13)
-        at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+        m = recompression.Recompression(13, 2)
+        own, shared = m.prepare(texts), []
+        for _ in range(m.rounds):
+            g, at = m.propose(own, shared)
+            doc = np.searchsorted(own.bounds, at, "right")
+            shared.append(np.array(sorted(x for x in set(g.tolist()) if len(set(doc[g == np.uint64(x)].tolist())) > 1), np.uint64))
+        start, count, name = m.segments(own, shared)
+        at = repeats.spread(start, count)
         key = np.repeat(name, count)
-        want = [i for a, b in zip(bounds[:-1], bounds[1:]) for i in range(a, b - 12)]
-        assert at.tolist() == want
-        seen = {}
+        words, seen = own.text.split(), {}
         for i, k in zip(at.tolist(), key.tolist()):
-            assert seen.setdefault(sym[i : i + 13].tobytes(), k) == k
-        if letters == 50:
-            assert count.mean() > 2
+            assert seen.setdefault(tuple(words[i : i + 13]), k) == k
+            assert m.cut(own, i, 13).split() == words[i : i + 13]
+        assert {w for w, d in where.items() if len(d) > 1} <= set(seen)
+        assert len(set(at.tolist())) == len(at)
+
+
+@pytest.mark.parametrize("bucket", [1 << 20, 16])
+def test_suffixes_stand_in_order(monkeypatch, bucket):
+    """Against plain sorting, over few and many letters, repeated stretches and buckets of any size."""
+    monkeypatch.setattr(suffix_order, "BUCKET", bucket)
+    r = np.random.default_rng(7)
+    for trial in range(30):
+        t = r.integers(0, int(r.choice([1, 2, 3, 30])), int(r.integers(60, 700))).astype(np.uint8)
+        if trial % 2:
+            t = np.concatenate([t, t[10:200], t[:55], t[3:]])
+        at = np.sort(r.choice(len(t) - 49, size=int(r.integers(1, len(t) - 48)), replace=False))
+        order, new = suffix_order.suffix_order(t, at, 50)
+        s = [t[i : i + 50].tobytes() for i in at[order]]
+        assert sorted(order.tolist()) == list(range(len(at))) and s == sorted(s)
+        assert new.tolist() == [True] + [a != b for a, b in zip(s, s[1:])]
