@@ -157,7 +157,7 @@ class Latent:
         n = max(1, int(df[-1]))
         full = np.maximum(np.log((n + 1) / (df[:-1] + 1.0)), 0.1)
         self.rarity = full
-        idf = np.where(df[:-1] > self.common * n, 0 if n > 50 else 0.1, full)
+        idf = np.where(df[:-1] > self.common * n, 0, full)
         for _, piece, _ in self.items.pieces:  # a piece of common words keeps the rarest half of them
             left = -(-len(piece) // 2) - int(np.count_nonzero(idf[piece]))
             if left > 0:

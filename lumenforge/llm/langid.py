@@ -26,7 +26,7 @@ from ._common import crc_mod, parts
 
 BITS = 15
 SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 OUT = "doc_id long, lang_pred string, score double, ambiguous boolean"
 
 
@@ -38,6 +38,11 @@ def trigrams(text: str) -> np.ndarray:
     return ((x * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is of a letter category; digits in a ring or raised, and fractions, are not."""
+    return bool(text) and (ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def codewords(k: int, seed: int = 7) -> np.ndarray:
     """k rows of 0/1: all distinct splits for few classes, else random ones far apart."""
     if k <= 1:
@@ -49,7 +54,9 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     for _ in range(200):
         m = rng.integers(0, 2, (k, n), dtype=np.int8)
         m = m[:, (m.min(0) != m.max(0))]
-        d = min((m[a] != m[b]).sum() for a in range(k) for b in range(a)) if k < 200 else (m[0] != m[1:]).sum(1).min()
+        g = (2.0 * m - 1) @ (2.0 * m.T - 1)  # agreeing bits less differing ones
+        np.fill_diagonal(g, -m.shape[1])
+        d = (m.shape[1] - g.max()) / 2
         if best is None or d > best[0]:
             best = (d, m)
     return best[1]
@@ -79,7 +86,7 @@ class Codes:
         return s / max(1, len(x)), len(x)
 
     def decode(self, text: str | None, close: float = 0.02) -> tuple[str, float, bool]:
-        if not text or not self.langs or not LETTER.search(text):
+        if not self.langs or not has_letter(text):
             return "und", 0.0, True
         m, n = self.margins(text)
         signs = 2.0 * self.codes - 1
@@ -105,7 +112,7 @@ def train(docs: DataFrame, use: Column, sample: int = 1500) -> Codes:
         got: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if t and LETTER.search(t):
+                if has_letter(t):
                     c = got.setdefault(lang, np.zeros(1 << BITS, np.int64))
                     c += np.bincount(trigrams(t), minlength=1 << BITS)
         yield pa.record_batch([pa.array(list(got), pa.string()), pa.array([c.tobytes() for c in got.values()], pa.binary())], names=["lang", "counts"])
@@ -120,7 +127,7 @@ def train(docs: DataFrame, use: Column, sample: int = 1500) -> Codes:
         right, n = np.zeros(len(model.bit_weight)), 0
         for b in batches:
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if t and LETTER.search(t):
+                if has_letter(t):
                     m, _ = model.margins(t)
                     right += (m > 0) == (model.codes[model.langs.index(lang)] == 1)
                     n += 1

@@ -33,9 +33,9 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9]){15,63}", None),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
     "local_phone": (r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", None),
-    "secret": (r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,200}(?![A-Za-z0-9_/+-])", None),
+    "secret": (r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+", None),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])", None),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", None),
 }
 BASE = ("email", "ip", "card", "phone")
 CUES = {
@@ -48,6 +48,8 @@ CUES = {
     "ssn": "ssn|social|security",
     "iban": "iban|account|konto|bank",
 }
+#: fixed values: characters of an account number by country
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IT": 27, "NL": 18, "PL": 28}
 KEYS = ("strict", "gazetteer", "context", "edges")
 
 
@@ -66,6 +68,13 @@ def _luhn_digit(x: Column, i: Column) -> Column:
     return F.when(i % 2 == 1, x).otherwise(F.when(twice > 9, twice - 9).otherwise(twice))
 
 
+def mod97(s: Column) -> Column:
+    """Remainder of an account number by 97, its first four characters last and letters counting from 10; 1 if valid."""
+    turned = F.concat(F.substring(s, 5, 64), F.substring(s, 1, 4))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97))
+
+
 def _span(kind: str):
     return lambda z, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), z["m"].alias("span"), F.length(z["s"]).alias("skip"), F.right(z["s"], F.lit(40)).alias("before"), F.left(z["n"], F.lit(20)).alias("after"))
 
@@ -91,11 +100,12 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a chain of over 64 digits comes in pieces, of which none is a card
     joined = (F.col("kind") == "card") & F.coalesce((gap == 0) | ((gap == 1) & F.col("before").rlike("(?:^|[0-9])[ -]$")), F.lit(False))
     spans = spans.withColumn("joined", joined)
-    n = F.length(digits(F.col("span")))
+    n, bare = F.length(digits(F.col("span"))), F.regexp_replace("span", " ", "")
     ok = (
         F.when(F.col("kind") == "ip", F.col("span").rlike(rf"^(?:{BYTE}\.){{3}}{BYTE}$"))
         .when(F.col("kind") == "card", ~F.col("joined") & n.between(16, 19) & luhn(digits(F.col("span"))))
         .when(F.col("kind") == "phone", n.between(8, 15))
+        .when(F.col("kind") == "iban", F.length(bare).between(15, 34) & (mod97(bare) == 1))
         .otherwise(F.lit(True))
     )
     return base.select("row", "doc_id"), spans.where(ok).drop("i", "skip", "joined")
@@ -106,6 +116,7 @@ def votes(spans: DataFrame) -> DataFrame:
     k, s, before, after = F.col("kind"), F.col("span"), F.lower("before"), F.lower("after")
     one, none, less = F.lit(1), F.lit(0), F.lit(-1)
     n = F.length(digits(s))
+    bare = F.regexp_replace(s, " ", "")
     has_digit, has_alpha = s.rlike("[0-9]"), s.rlike("[A-Za-z]")
     strict = (
         F.when(k == "email", F.when(s.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}$"), one).otherwise(less))
@@ -115,8 +126,11 @@ def votes(spans: DataFrame) -> DataFrame:
         .when(k == "local_phone", F.when(digits(s).rlike("^[2-9]"), one).otherwise(less))
         .when(k == "secret", F.when(has_digit & has_alpha & s.rlike("^(?:[0-9a-f]{32,}|(?:sk|pk|ghp|AKIA|xox)[A-Za-z0-9_-]+)$"), one).when(has_digit & has_alpha, none).otherwise(less))
         .when(k == "ssn", F.when(s.rlike("^(?:000|666|9)|-00-|-0000$"), less).otherwise(one))
-        .otherwise(F.when(F.length(F.regexp_replace(s, " ", "")).between(15, 34), one).otherwise(less))
+        .otherwise(one)
     )
+    known_length = F.lit(0)
+    for country, size in IBAN_LENGTHS.items():
+        known_length = F.when(s.startswith(country), F.when(F.length(bare) == size, one).otherwise(less)).otherwise(known_length)
     gazetteer = (
         F.when(k == "email", F.when(s.rlike(r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info|biz)$"), one).otherwise(none))
         .when(k == "ip", F.when(s.rlike(r"^(?:10|127|192\.168|172)\."), one).otherwise(none))
@@ -124,7 +138,7 @@ def votes(spans: DataFrame) -> DataFrame:
         .when(k == "phone", F.when(s.rlike(r"^\+(?:1|3[0-9]|4[0-9])"), one).otherwise(none))
         .when(k == "local_phone", F.when(s.contains("555"), one).otherwise(none))
         .when(k == "secret", F.when(s.rlike("^(?:AKIA|ghp_|sk[-_]|pk[-_]|xox[bp]-|eyJ)"), one).otherwise(none))
-        .when(k == "iban", F.when(s.rlike("^(?:DE|FR|ES|GB|IT|NL|AT|CH|BE|PL)"), one).otherwise(less))
+        .when(k == "iban", known_length)
         .otherwise(none)
     )
     context = none

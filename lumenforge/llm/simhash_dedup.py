@@ -6,61 +6,51 @@ share of T (l of m segments: at most T * l / m), not one segment alone.
 
 * Exact mode (``words`` = 1): 64 bits, 4 segments, T = 3.  From that start the first
   segment is equal and the second differs in at most one bit, so one of its halves is equal:
-  24 bits of an index key, 8 keys a fingerprint, and no pair is missed.  Chains of two and
-  three segments are checked before the full Hamming distance.
-* Similarity mode (``words`` = 23): at a Jaccard similarity of 0.8 a tenth to a sixth of
+  24 bits of an index key, 8 keys a fingerprint, and no pair is missed.  Of three segments at most two bits
+  differ, of all four three: a third of the third segment, and a quarter of the fourth, are equal, which gives
+  keys of 29 and 33 bits for more documents (24 and 96 a fingerprint; the links are the same, chance members of a key
+  stay few).  Chains of two and three segments are checked before the full Hamming distance.
+* Similarity mode: at a Jaccard similarity of 0.8 a tenth to a sixth of
   the bits differ, which no index of 64 bits finds.  23 fingerprints of the shingles' mixed
   hashes form a ring of 1,472 bits in 294 segments of 5; a key is a chain of five consecutive
   segments without a difference (25 bits, 294 keys).  A pair at 0.8 has 4.9 such chains
   on average.  Keys are followed by the first four fingerprints only; a pair within the
   limit of differing bits in these is a candidate, no more.  The members of
   each group that candidates connect bring their sets of distinct shingles together, and a
-  pair links if the Jaccard similarity of the two sets is 0.8 or more.
+  pair links if the Jaccard similarity of the two sets is 0.8 or more.  One design serves every size.
 
 Each batch of fingerprints first sends its distinct keys alone; the owner of a slot of
 keys marks those that two fingerprints have, and fingerprints follow for these only.  The
 owner then links the fingerprints of a key by search from one to all not yet reached: a
 group of near copies costs about its size, and it gives at most one link a member.  Equal
-fingerprints (in similarity mode equal sets of shingles) are merged before.  More documents need longer keys and longer
-fingerprints (see ``design``), so that a key's chance members stay few; every table gets
-those of 16 million documents, so a pair is judged alike in a small and a large one.
+fingerprints (in similarity mode equal sets of shingles) are merged before: they are one node.
 
 Defined cases: null text counts as empty; no words: fingerprint zero, linked as any other
-in exact mode; in similarity mode texts without words stay alone; a null doc_id is not
-linked (its component is null); rows with one doc_id are one document and link each other.
+in exact mode; in similarity mode texts without words stay alone.  In ``near_duplicates`` a null doc_id is not
+linked (its component is null), and rows with one doc_id are one document and link each other.  In
+``without_near_duplicates`` each row stands for itself: of a group the row of least doc_id stays (null after all
+others; of one doc_id the text of least digest), and rows alike in doc_id and text stay or go together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts, stored
+from ._common import parts, stored, without_rows
 from ..operators.components import components
 from .repeats import arrow_schema, opened, squeezed
 
 MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1) for i in range(256)]
 LINKS = "a long, b long"
-SIZED = 1 << 24  # documents that similarity mode is designed for, at every size
+WORDS, CHAIN = 23, 5  # of similarity mode
 SENT = 4  # words of a fingerprint that follow a key in similarity mode
 LOOSE = 14  # bits of 64 in which candidates may differ: 22 %, where a pair at 0.8 differs in 15 %
 KEYS = "slot long, batch long, keys binary, ids binary, prints binary"
 
 
-def design(n: int) -> tuple[int, int, int]:
-    """Words, chain and limit of similarity mode for n documents.
-
-    A chain of c segments agrees by chance in 1 of 32^c pairs; one is added for each 32 times as many
-    documents beyond two million.  At 15.1 % of bits different (a similarity of 0.8) a chain more agrees
-    2.27 times as seldom, so fingerprints grow as much.
-    """
-    more = max(0, -(-((max(1, n) - 1) >> 21).bit_length() // 5))
-    words = -(-10 * 227**more // 100**more)
-    return words, 4 + more, words * 11
-
-
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 (seed 42) of every shingle of the lower-cased words, repeats included."""
     import xxhash
@@ -93,8 +83,13 @@ def fingerprint(h: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
+def digest(text: Column) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """doc_id, print, the fingerprint's 8 * words bytes (null in similarity mode if there is no word), and same,
+    """doc_id, key, print, the fingerprint's 8 * words bytes (null in similarity mode if there is no word), and same,
     a digest of what is merged: the print, in similarity mode the set of shingles, each of which counts once there.
     """
 
@@ -109,23 +104,31 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
                     h = np.unique(h)
                     same.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 got.append(None if words > 1 and not len(h) else fingerprint(h, words).tobytes())
-            cols = [b.column("doc_id"), pa.array(got, pa.binary())]
-            yield pa.record_batch([*cols, pa.array(same, pa.binary())] if words > 1 else cols, names=["doc_id", "print", "same"][: 2 + (words > 1)])
+            cols = [b.column("doc_id"), b.column("key"), pa.array(got, pa.binary())]
+            yield pa.record_batch([*cols, pa.array(same, pa.binary()) if words > 1 else cols[-1]], names=["doc_id", "key", "print", "same"])
+
+    key = digest(F.col("text")) if words > 1 else F.lit("")
+    return parts(docs).select("doc_id", "text", key.alias("key")).mapInArrow(run, "doc_id long, key string, print binary, same binary")
+
+
+START = np.uint64(60)  # where a key of exact mode holds its first segment's number
+THIRDS, QUARTERS = ((0, 6), (6, 5), (11, 5)), ((0, 4), (4, 4), (8, 4), (12, 4))
 
-    if words > 1:
-        return parts(docs).mapInArrow(run, "doc_id long, print binary, same binary")
-    return parts(docs).mapInArrow(run, "doc_id long, print binary").withColumn("same", F.col("print"))
 
+def ring_keys(p: np.ndarray, chain: int = 4, fine: int = 0) -> list[np.ndarray]:
+    """Index keys of fingerprints (n x words): for each kind of key, one for each fingerprint.
 
-def ring_keys(p: np.ndarray, chain: int = 4) -> list[np.ndarray]:
-    """Index keys of fingerprints (n x words): for each kind of key, one for each fingerprint."""
+    fine: in exact mode, how many segments beyond the second lend bits to the key.
+    """
     out = []
     if p.shape[1] == 1:
         seg = [(p[:, 0] >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(4)]
+        take = lambda x, at, n: (x >> np.uint64(at)) & np.uint64((1 << n) - 1)
         for i in range(4):
-            nxt = seg[(i + 1) % 4]
-            for half in range(2):
-                out.append((np.uint64(i * 2 + half) << np.uint64(24)) | (seg[i] << np.uint64(8)) | ((nxt >> np.uint64(8 * half)) & np.uint64(0xFF)))
+            own = [(seg[i] << np.uint64(8)) | take(seg[(i + 1) % 4], 8 * half, 8) for half in range(2)]
+            for step, cuts in ((2, THIRDS), (3, QUARTERS))[:fine]:
+                own = [(bits << np.uint64(6)) | take(seg[(i + step) % 4], at, n) for bits in own for at, n in cuts]
+            out += [np.uint64(i << 60 | kind << 48) | bits for kind, bits in enumerate(own)]
         return out
     bits = np.unpackbits(p.view(np.uint8).reshape(len(p), -1), axis=1, bitorder="little")
     n = bits.shape[1] // 5
@@ -199,10 +202,11 @@ def similar(ids: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple
     return out
 
 
-def verified(docs: DataFrame, candidates: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) between documents that candidates(a, b) connect and whose sets of shingles are similar."""
-    groups = components(candidates)
-    texts = parts(docs).join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+def verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) between nodes(node, rep: doc_id and key of a row) that candidates(a, b) connect and whose sets of shingles are similar."""
+    groups = components(candidates).join(nodes.select("node", "rep.*"), "node").select("node", "component", F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    d = parts(docs).withColumn("key", digest(F.col("text")))
+    texts = d.join(groups, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("component", F.col("node").alias("doc_id"), "text")
 
     def run(batches):
         for b in batches:
@@ -225,7 +229,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
 
-def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4, sent: int | None = None) -> DataFrame:
+def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4, sent: int | None = None, fine: int = 0) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of prints(id, print), by the distance of the first ``sent`` words (all)."""
     sent = sent or words
 
@@ -235,7 +239,7 @@ def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4,
         order = np.argsort(ids, kind="stable")
         p = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint64).reshape(-1, words)
         ids, p = ids[order], p[order]
-        k = np.concatenate(ring_keys(p, chain))
+        k = np.concatenate(ring_keys(p, chain, fine))
         at = np.tile(np.arange(len(ids)), len(k) // max(1, len(ids)))
         s = ((k * MIX[0]) >> np.uint64(40)) % np.uint64(slots)
         order = np.lexsort((k, s))
@@ -291,7 +295,7 @@ def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4,
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if hi - lo > 1:
                 i = order[lo:hi]
-                out.update(link_group(ids[i], p[i], limit, int(k[i[0]] >> np.uint64(25)) if words == 1 else None))
+                out.update(link_group(ids[i], p[i], limit, int(k[i[0]] >> START) if words == 1 else None))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -301,25 +305,60 @@ def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4,
     return shared.groupBy("slot").applyInArrow(owner, LINKS)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, words: int | None = None, limit: int | None = None, similarity: float = 0.8) -> DataFrame:
+def _nodes(prints: DataFrame) -> DataFrame:
+    """node, same, print and rep, the least (doc_id, key) of the rows merged, null after all others."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    rows = prints.where("print is not null").groupBy("same").agg(least.alias("rep"), F.min("print").alias("print"))
+    return stored(rows.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def _similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, similarity: float, more: DataFrame | None = None) -> DataFrame:
+    """node, same, rep, group of the nodes of prints in similarity mode."""
+    nodes = _nodes(prints)
+    slots = max(8, nodes.count() * WORDS // 25_000)
+    near = links(nodes.select(F.col("node").alias("id"), "print"), WORDS, SENT * LOOSE, slots, CHAIN, SENT)
+    return _grouped(nodes, verified(docs, nodes, near, shingle, similarity), more)
+
+
+def _grouped(nodes: DataFrame, found: DataFrame, prints: DataFrame | None) -> DataFrame:
+    """node, same, rep, group.  prints, if given: rows whose doc_id links them."""
+    if prints is not None:
+        own = prints.where("print is not null").select("doc_id", "same").distinct().join(nodes.select("same", "node"), "same")
+        first = own.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+        found = found.unionAll(own.join(first, "doc_id").select(F.col("node").alias("a"), "b"))
+    comp = components(found)
+    return nodes.select("node", "same", "rep").join(comp, "node", "left").select("node", "same", "rep", F.coalesce("component", "node").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, words: int | None = None, limit: int | None = None, similarity: float = 0.8, fine: int | None = None) -> DataFrame:
     """doc_id, print, component_id: the least doc_id reachable over links, itself included.
 
     The defaults link at a Jaccard similarity of the sets of five-word shingles of 0.8 or more; fingerprints
-    find the candidates.  shingle=3, words=1, limit=3 is the exact mode, which links by the distance alone.
+    find the candidates.  shingle=3, words=1, limit=3 is the exact mode, which links by the distance alone;
+    fine: see ``ring_keys`` (None: by the number of fingerprints; the links are the same).
     """
-    chain, check, sent = 4, words is None, words
+    prints = stored(fingerprints(docs, shingle, words or WORDS), "prints")
+    linked = prints.where("doc_id is not null")
     if words is None:
-        words, chain, _ = design(SIZED)
-        sent, limit = SENT, SENT * LOOSE
-    prints = stored(fingerprints(docs, shingle, words), "prints")
-    distinct = prints.where("doc_id is not null and print is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.min("print").alias("print"))
-    n = distinct.count()
-    slots = max(8, n * words // (40_000 if words == 1 else 25_000))
-    h = F.xxhash64("same")
-    twice = prints.where("doc_id is not null and print is not null").groupBy("doc_id").agg(F.min(h).alias("h1"), F.max(h).alias("h2")).where("h1 <> h2").select("doc_id")
-    same_id = prints.join(twice, "doc_id").join(distinct.select("same", "id"), "same").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    near = links(distinct.select("id", "print"), words, limit, slots, chain, sent)
-    found = components((verified(docs, near, shingle, similarity) if check else near).unionAll(same_id))
-    classes = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("c"))
+        groups = _similar_groups(docs, linked, shingle, similarity, linked)
+    else:
+        nodes = _nodes(linked)
+        n = nodes.count()
+        fine = (n > 1 << 24) + (n > 1 << 29) if fine is None else fine
+        slots = max(8, n * words * 3**fine // 40_000)
+        groups = _grouped(nodes, links(nodes.select(F.col("node").alias("id"), "print"), words, limit, slots, fine=fine), linked)
+    groups = stored(groups, "groups")
+    least = groups.groupBy("group").agg(F.min("rep.doc_id").alias("c"))
+    classes = groups.join(least, "group").select("same", "c")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return prints.join(classes, "same", "left").select("doc_id", "print", own.alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, less those whose group of near copies has another that stays."""
+    prints = stored(fingerprints(docs, shingle, WORDS), "prints")
+    groups = stored(_similar_groups(docs, prints, shingle, similarity), "groups")
+    stays = groups.groupBy("group").agg(F.min("rep").alias("stays"))
+    mine = prints.where("print is not null").select("doc_id", "key", "same").distinct().join(groups.join(stays, "group").select("same", "stays"), "same")
+    gone = mine.where(~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("key") == F.col("stays.key")))).select("doc_id", "key")
+    return without_rows(docs, gone, digest(F.col("text")))

@@ -2,9 +2,9 @@
 
 Token weights are log-odds between toxic and clean documents under a Dirichlet prior
 (prior weight in proportion to a token's count in both), kept where |z| is large or where so
-many toxic documents can't be chance.  Other tokens cost a small drift.  Counts are of documents, so a text that repeats one token counts
-once, and tokens that follow one and the same token in most toxic documents (copies of a text)
-are left out; a token without a weight of its own takes that of its first five letters.  One linear scan finds all maximal segments of positive score.
+many toxic documents can't be chance.  Other tokens cost a small drift.  Counts are of documents, so a text that repeats one token
+counts once, and equal texts of the sample count as one.  Where a token follows few distinct tokens in its toxic documents (copies
+of a text that differ elsewhere) these are fewer witnesses, and count so; a token without a weight of its own takes that of its first five letters.  One linear scan finds all maximal segments of positive score.
 Under clean text the best score S of n tokens follows an extreme-value law with
 P(best >= S) = 1 - exp(-K n exp(-lambda S)); lambda solves sum p exp(lambda s) = 1 over
 the clean tokens, K comes from clean documents kept apart.  A passage is significant if its
@@ -12,7 +12,8 @@ P is under 0.01.  A document's score is a logistic function, fitted on those doc
 its strongest passage and of the evidence of its significant passages together.
 
 Learning uses at most ``sample`` labelled rows of each class (chosen by a hash of doc_id),
-a quarter of them apart for calibration; scoring covers whole texts of all rows.
+a quarter of them apart for calibration; scoring covers whole texts of all rows.  The weights that come to the driver
+are those of tokens with evidence from several rows of that sample, and so bounded by it.
 
 Defined cases: null or empty text scores as one without passages; no labelled rows of a class:
 every score is the share of toxic labels (0.5 without labels); a document with several label
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, parts
+from ._common import crc_mod, parts, stored
 
 TOKEN = re.compile(r"[^\W_]+")
 OUT = "doc_id long, score double, n_tokens long, passages array<struct<start:long,end:long,score:double,p:double>>"
@@ -128,11 +129,12 @@ def labelled(docs: DataFrame, labels: DataFrame, use: Column, sample: int) -> tu
     for k, c in n.items():
         keep = keep | (((F.col("toxic") > 0).cast("int") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / c)) + 1))
     picked = F.broadcast(lab.where(keep))  # about 2 * sample rows of 12 bytes
-    rows = parts(docs).join(picked, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).alias("apart"))
+    rows = parts(docs).join(picked, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), (F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(4)) == 0).alias("apart"))
+    rows = stored(rows.groupBy("text", "apart").agg(F.max("toxic").alias("toxic")), "sample")
     return rows, n.get(1, 0), n.get(0, 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = 6000, z_least: float = 3.5, prior: float = 0.05, drift: float = 0.05, vocabulary: int = 50_000, chance: float = 8.0) -> Segments:
+def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = 6000, z_least: float = 3.5, prior: float = 0.05, drift: float = 0.05, chance: float = 8.0) -> Segments:
     rows, toxic, clean = labelled(docs, labels, use, sample)
 
     def tally(batches):
@@ -158,13 +160,15 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = 6000, z
         yield pa.record_batch([pa.array(keys, pa.string()), pa.array([c[1][k] for k in keys], pa.int64()), pa.array([c[0][k] for k in keys], pa.int64()), pa.array([often[k] for k in keys], pa.int64()), pa.array([before.get(k, 0) for k in keys], pa.int64())], names=["token", "t", "c", "o", "b"])
 
     counts = rows.mapInArrow(tally, "token string, t long, c long, o long, b long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("o").alias("o"), F.bit_count(F.bit_or("b")).alias("contexts"))
-    counts = counts.persist()
+    counts = stored(counts, "counts")
     nt, nc, no, size = (x or 0 for x in counts.agg(F.sum("t"), F.sum("c"), F.sum(F.when(~F.col("token").endswith("*"), F.col("o"))), F.count("*")).first())
     model = Segments({}, drift, np.array([1.0]), np.array([-drift]))
     model.prior = toxic / (toxic + clean) if toxic + clean else 0.5
     if not nt or not nc:
-        counts.unpersist()
         return model
+    # in copies of a text that differ elsewhere a token always follows the same one; such documents are fewer witnesses
+    varied = F.least(F.lit(1.0), F.col("contexts") / (0.4 * F.least("t", F.lit(20))))
+    counts = counts.withColumn("t", F.when(F.col("t") > 0, F.col("t") * varied).otherwise(0.0))
     a = F.lit(prior) * (F.col("t") + F.col("c"))
     prior *= nt + nc
     odds = F.log((F.col("t") + a) / (nt + prior - F.col("t") - a)) - F.log((F.col("c") + a) / (nc + prior - F.col("c") - a))
@@ -173,11 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = 6000, z
     seen, base = F.col("t") + F.col("c"), nt / (nt + nc)
     gap = lambda k, p: F.when(k > 0, k * F.log(k / (seen * p))).otherwise(0.0)
     telling = (F.col("t") > seen * base) & (gap(F.col("t"), base) + gap(F.col("c"), 1 - base) > math.log(max(2, size)) + chance)
-    # in copies of one text a token always follows the same one; such documents are not so many witnesses
-    varied = (odds <= 0) | (F.col("contexts") >= 0.4 * F.least("t", F.lit(20)))
-    kept = counts.where(varied).select("token", "o", odds.alias("odds"), z.alias("z"), telling.alias("telling")).where((F.abs("z") >= z_least) | F.col("telling")).orderBy(F.desc(F.abs("z")), "token").limit(vocabulary).collect()
+    kept = counts.select("token", "o", odds.alias("odds"), z.alias("z"), telling.alias("telling")).where((F.abs("z") >= z_least) | F.col("telling")).collect()
     weights = {r["token"]: max(-2.0, min(6.0, r["odds"])) for r in kept}
-    counts.unpersist()
     scores = np.array([*(weights[r["token"]] for r in kept), -drift])
     known = [float(r["o"]) for r in kept]
     model = Segments(weights, drift, np.array([*known, max(1.0, no - sum(known))]), scores)
@@ -187,22 +188,25 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, sample: int = 6000, z
 
 
 def _calibrate(model: Segments, rows: DataFrame, toxic: int, clean: int) -> None:
-    def scan(batches):
-        for b in batches:
-            got = [model.passages(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("toxic").cast(pa.int32()), pa.array([n for n, _ in got], pa.int64()), pa.array([[float(x[2]) for x in f] for _, f in got], pa.list_(pa.float64()))], names=["toxic", "n", "s"])
+    """Two passes over the rows kept apart; each sends three numbers a row."""
+
+    def numbers(f):
+        def scan(batches):
+            for b in batches:
+                got = [f(*model.passages(t)) for t in b.column("text").to_pylist()]
+                yield pa.record_batch([b.column("toxic").cast(pa.int32()), *(pa.array([x[i] for x in got], pa.float64()) for i in range(3))], names=["toxic", "x", "y", "z"])
+
+        return rows.mapInArrow(scan, "toxic int, x double, y double, z double").collect()
 
-    got = rows.mapInArrow(scan, "toxic int, n long, s array<double>").collect()  # bounded by the sample
-    best = [(r["n"], max(r["s"])) for r in got if not r["toxic"] and r["s"] and r["n"]]
+    got = numbers(lambda n, found: (float(n), max((f[2] for f in found), default=0.0), float(len(found))))
+    best = [(r["x"], r["y"]) for r in got if not r["toxic"] and r["z"] and r["x"]]
     if best:  # the mean of lambda * S - ln n is Euler's constant + ln K
         model.k = float(np.exp(np.clip(np.mean([model.lam * s - math.log(n) for n, s in best]) - 0.5772, -12, 2)))
+    got = numbers(model.features)
     y = np.array([r["toxic"] for r in got], float)
     if len(set(y.tolist())) < 2:
         return
-    x = []
-    for r in got:
-        found = [(0, 0, s, -math.expm1(-model.k * max(1, r["n"]) * math.exp(-min(700.0, model.lam * s)))) for s in r["s"]]
-        x.append(model.features(r["n"], found))
+    x = [(r["x"], r["y"], r["z"]) for r in got]
     x = np.array(x)
     w = np.where(y == 1, toxic / max(1.0, y.sum()), clean / max(1.0, (1 - y).sum()))  # back to the shares of all rows
     w *= len(y) / w.sum()

@@ -1,6 +1,7 @@
 """Language ID and toxicity: held-out accuracy, and the defined cases."""
 
 import random
+import zlib
 
 from lumenforge.llm import langid, toxicity
 from pyspark.sql import functions as F
@@ -26,14 +27,14 @@ DDL = "doc_id long, text string, lang string, lang_pred string, score int"
 
 def test_languages_of_held_out_rows(spark):
     rows = corpus(400)
-    edge = [(1000, None, "en", "", 0), (1001, "", "de", "", 0), (1002, "12 34 !!", "fr", "", 0), (1003, "und der die das nicht " * 20_000, None, "", 0), (None, "the and that with", "en", "", 0), (3, rows[3][1], rows[3][2], "", 0)]
+    edge = [(1000, None, "en", "", 0), (1001, "", "de", "", 0), (1002, "12 34 !!", "fr", "", 0), (1004, "²", "en", "", 0), (1005, "12 ½ 3 ①", None, "", 0), (1003, "und der die das nicht " * 20_000, None, "", 0), (None, "the and that with", "en", "", 0), (3, rows[3][1], rows[3][2], "", 0)]
     got = langid.identify(spark.createDataFrame(rows + edge, DDL)).collect()
     assert len(got) == len(rows) + len(edge)
     truth = {r[0]: r[2] for r in rows}
     out = [(x.lang_pred == truth[x.doc_id]) for x in got if x.held_out and x.doc_id in truth]
     assert len(out) > 50 and sum(out) / len(out) > 0.97
     by = {x.doc_id: x for x in got}
-    assert all(by[k].lang_pred == "und" and by[k].score == 0 and by[k].ambiguous for k in (1000, 1001, 1002))
+    assert all(by[k].lang_pred == "und" and by[k].score == 0 and by[k].ambiguous for k in (1000, 1001, 1002, 1004, 1005))
     assert by[1003].lang_pred == "de" and all(0 <= x.score <= 1 for x in got)
 
 
@@ -52,10 +53,25 @@ def test_no_training_rows_or_no_rows(spark):
     assert langid.identify(spark.createDataFrame([], DDL)).count() == 0
 
 
+def test_letters_are_letters():
+    assert all(langid.has_letter(x) for x in ("a", "12é", "日", "ª", "1 ж"))
+    assert not any(langid.has_letter(x) for x in (None, "", "12", "²", "½", "①", "_-", "😀", "٣"))
+
+
 def test_codewords_part_all_classes():
-    for k in (2, 3, 5, 12):
+    for k in (2, 3, 5, 12, 220):
         c = langid.codewords(k)
         assert len(c) == k and len({tuple(x) for x in c.tolist()}) == k
+    assert min((c[a] != c[b]).sum() for a in range(0, 220, 3) for b in range(a)) > c.shape[1] // 4
+
+
+def test_ties_between_languages_are_flagged(spark):
+    """Texts that two languages share decide nothing: one is chosen, alike on every run, and flagged."""
+    same = "la casa de la luna"
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:60]
+    rows = [(i, same, "it" if k % 2 else "es", "", 0) for k, i in enumerate(ids)] + [(1000, same, None, "", 0)]
+    got = [langid.identify(spark.createDataFrame(rows, DDL)).where("doc_id = 1000").first() for _ in range(2)]
+    assert got[0].ambiguous and got[0] == got[1] and got[0].lang_pred in ("es", "it")
 
 
 def test_weak_bits_count_less(spark):
@@ -113,6 +129,27 @@ def test_passages_are_found_where_they_stand(spark):
     assert (100, 106) in spans and (4106, 4112) in spans
 
 
+def test_words_of_copies_and_templates_count(spark):
+    """A slur that always follows one word, and the words of a text present as many copies, still tell; copies count once."""
+    r = random.Random(5)
+    say = lambda n: [r.choice(WORDS["en"]) for _ in range(n)]
+    docs = [(i, " ".join(say(60)), "en", "", 0) for i in range(600)]
+    labels = [(i, 1, 0) for i in range(600)]
+    for i in range(600, 900):
+        w = say(60)
+        w[30:30] = ["you", "zorgo"]
+        docs.append((i, " ".join(w), "en", "", 0))
+        labels.append((i, 1, 1))
+    copy = " ".join([*say(20), "vilest", "scummy", "trashy", *say(20)])
+    docs += [(i, copy, "en", "", 0) for i in range(900, 1000)]
+    labels += [(i, 1, 1) for i in range(900, 1000)]
+    got = toxicity.toxicity(spark.createDataFrame(docs, DDL), spark.createDataFrame(labels, LABELS)).collect()
+    held = [x for x in got if x.held_out]
+    slur = [x.predicted for x in held if 600 <= x.doc_id < 900]
+    assert len(slur) > 50 and sum(slur) / len(slur) > 0.95
+    assert sum(x.predicted for x in held if x.doc_id < 600) <= 2
+
+
 def test_no_labels_or_one_class(spark):
     d = spark.createDataFrame(corpus(10), DDL)
     assert {x.score for x in toxicity.toxicity(d, spark.createDataFrame([], LABELS)).collect()} == {0.5}
