@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import contingency, describe, information, normality, outliers, per_series, sampling, series, twosample
+from .operators import clusters, contingency, describe, information, normality, learning, models, outliers, per_series, sampling, series, similarity, twosample
+from .operators.ordered import quantiles
 
 KINDS = ("numeric", "categorical", "binary")
 
@@ -128,7 +129,7 @@ class Explorer:
         return describe.percentile_of(self.one(name, "numeric"), "x", value)
 
     def value_at(self, name: str, percent: float) -> DataFrame:
-        return self.one(name, "numeric").agg(F.percentile("x", percent / 100).alias("value"))
+        return quantiles(self.one(name, "numeric"), "x", {"value": percent / 100})
 
     def less_than(self, name: str, value: float) -> DataFrame:
         return self.one(name, "numeric").where(F.col("x") < value)
@@ -157,6 +158,21 @@ class Explorer:
         g = F.floor(F.col("y") / width) if width else F.col("y")
         return self.pair(name, by).groupBy(g.alias("g")).agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
 
+    def range_percentile(self, name: str, low: float, high: float) -> DataFrame:
+        """Share of values from low to high, in percent."""
+        d = self.one(name, "numeric")
+        return d.agg((F.count_if(F.col("x").between(low, high)) * 100.0 / F.count("x")).alias("percent"))
+
+    def monotonic(self, name: str) -> DataFrame:
+        """Whether the dataset only rises, or only falls, in its order."""
+        return describe.monotonic(self.series(name), "k", ["i"], "x").drop("k")
+
+    def same_size(self, *names: str) -> None:
+        """Raises if the datasets' numbers of values differ."""
+        n = {k: self.one(k).where(F.col("x").isNotNull()).count() for k in names}
+        if len(set(n.values())) > 1:
+            raise ValueError(f"sizes differ: {n}")
+
     # information and association
 
     def _coded(self, name: str, c: str, bins: int) -> Column:
@@ -173,6 +189,19 @@ class Explorer:
         d = self.pair(a, b).select(self._coded(a, "x", bins).alias("a"), self._coded(b, "y", bins).alias("b"))
         return contingency.measures(d, "a", "b").select("mutual_info")
 
+    def conditional_information(self, a: str, b: str, given: str, bins: int = 20) -> DataFrame:
+        """Mutual information of a and b within the values of a third dataset."""
+        frame = self._get(a).frame
+        if any(self._get(k).frame is not frame for k in (b, given)):
+            raise ValueError("not columns of one DataFrame")
+        c = information.joint(frame, {k: self._coded(n, self._get(n).column, bins) for k, n in (("a", a), ("b", b), ("z", given))})
+        h = lambda *keys: information.entropy_of(c.groupBy(*keys).agg(F.sum("n").alias("n")))
+        parts = h("a", "z").toDF("az"), h("b", "z").toDF("bz"), h("z").toDF("z"), h("a", "b", "z").toDF("abz")
+        one = parts[0]
+        for p in parts[1:]:
+            one = one.crossJoin(F.broadcast(p))  # one row each
+        return one.select((F.col("az") + F.col("bz") - F.col("z") - F.col("abz")).alias("mutual_info"))
+
     def relative_entropy(self, a: str, b: str, bins: int = 20) -> DataFrame:
         """Of two samples over bins of their common range, each bin of either counting one more."""
         s = self.samples(a, b)
@@ -263,6 +292,59 @@ class Explorer:
     def test_level(self, name: str) -> DataFrame:
         return self._whole(name, per_series.kpss, "stat double, p double, lags long")
 
+    def cross_correlation(self, a: str, b: str, lags: int = 10) -> DataFrame:
+        x, y = self._get(a), self._get(b)
+        if x.frame is not y.frame or x.order is None:
+            raise ValueError(f"{a} and {b} are not columns of one ordered DataFrame")
+        w = Window.partitionBy("k").orderBy("_o")
+        d = x.frame.select(F.lit(0).alias("k"), F.col(x.order).alias("_o"), F.col(x.column).cast("double").alias("x"), F.col(y.column).cast("double").alias("y"))
+        return series.cross_correlation(d.withColumn("i", F.row_number().over(w) - 1), lags).drop("k")
+
+    def theil_sen(self, name: str) -> DataFrame:
+        return series.theil_sen(self.series(name)).drop("k")
+
+    def siegel(self, name: str) -> DataFrame:
+        return series.siegel(self.series(name)).drop("k")
+
+    # clusters and components
+
+    def _columns(self, names: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+        return self._get(names[0]).frame, [self._get(n, "numeric").column for n in names]
+
+    def k_means(self, key: str, *names: str, k: int = 3, rounds: int = 10, seed: int = 1) -> DataFrame:
+        """Centres from spread starts; key: a column that tells rows apart."""
+        frame, cols = self._columns(names)
+        got = models.kmeans(frame, cols, clusters.spread_starts(frame, key, cols, k, seed), rounds)
+        return self.spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(got)], "k int, " + ", ".join(f"`{n}` double" for n in names))
+
+    def gaussian_mixture(self, *names: str, k: int = 2, rounds: int = 10, seed: int = 1) -> DataFrame:
+        from pyspark.ml.clustering import GaussianMixture
+
+        frame, cols = self._columns(names)
+        model = GaussianMixture(k=k, seed=seed, maxIter=rounds).fit(learning.assembled(frame, cols))
+        rows = [(i, float(w), [float(x) for x in g.mean]) for i, (w, g) in enumerate(zip(model.weights, model.gaussians))]
+        return self.spark.createDataFrame(rows, "k int, weight double, mean array<double>")
+
+    def principal_components(self, *names: str, k: int = 2) -> DataFrame:
+        """component, share of variance, loadings."""
+        from pyspark.ml.feature import PCA
+
+        frame, cols = self._columns(names)
+        model = PCA(k=k, inputCol="features", outputCol="p").fit(learning.assembled(frame, cols))
+        loads = model.pc.toArray()
+        return self.spark.createDataFrame([(i, float(model.explainedVariance[i]), [float(x) for x in loads[:, i]]) for i in range(k)], "component int, share double, loadings array<double>")
+
+    def forest_outliers(self, key: str, *names: str) -> DataFrame:
+        frame, cols = self._columns(names)
+        return outliers.isolation_forest(frame, key, cols)
+
+    def local_outliers(self, key: str, block: str, *names: str, k: int = 5) -> DataFrame:
+        """Local outlier factor among the rows of a block, a column that groups rows."""
+        frame, cols = self._columns(names)
+        p = similarity.grouped_pairs(frame.select(key, block, *cols), key, block, cols)
+        both = p.select(F.explode(F.array(F.struct(F.col("k1").alias("src"), F.col("k2").alias("dst"), "dist"), F.struct(F.col("k2").alias("src"), F.col("k1").alias("dst"), "dist"))).alias("x")).select("x.*")
+        return outliers.local_outlier_factor(both, k)
+
     # shape and outliers
 
     def test_jarque_bera(self, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,45 @@ def rules(pairs: DataFrame, items: DataFrame, confidence: float) -> DataFrame:
 
 def mark_infrequent(baskets: DataFrame, items: DataFrame, marker: str) -> DataFrame:
     return baskets.join(items.select(F.col("i1").alias("item"), F.lit(True).alias("_f")), "item", "left").select("tid", F.when(F.col("_f"), F.col("item")).otherwise(marker).alias("item"))
+
+
+def _of_total(counts: DataFrame, total: DataFrame, keys: list[str], support: float) -> DataFrame:
+    x = counts.join(total, keys) if keys else counts.crossJoin(F.broadcast(total))  # one row without keys
+    return x.where(F.col("n") > support * F.col("total"))
+
+
+def item_sets(baskets: DataFrame, most: int, support: float, by: list[str] | None = None) -> DataFrame:
+    """by..., items (a sorted array), n, support: frequent sets of one to ``most`` items, in each partition ``by`` itself.
+
+    baskets: by..., tid, item, distinct.  A level extends the sets of each transaction that are still frequent by
+    items that are frequent by themselves and come later.
+    """
+    keys = by or []
+    total = baskets.select(*keys, "tid").distinct().groupBy(*keys).agg(F.count("*").alias("total"))
+    one = _of_total(baskets.groupBy(*keys, "item").agg(F.count("*").alias("n")), total, keys, support)
+    kept = baskets.join(one.select(*keys, "item"), [*keys, "item"], "left_semi")
+    held = kept.select(*keys, "tid", F.array("item").alias("items"))
+    out = None
+    for level in range(1, most + 1):
+        if level > 1:
+            held = held.join(kept.select(*keys, "tid", "item"), [*keys, "tid"]).where(F.col("item") > F.element_at("items", -1)).select(*keys, "tid", F.array_append("items", F.col("item")).alias("items"))
+        good = _of_total(held.groupBy(*keys, "items").agg(F.count("*").alias("n")), total, keys, support)
+        held = held.join(good.select(*keys, "items"), [*keys, "items"], "left_semi")
+        good = good.select(*keys, "items", "n", (F.col("n") / F.col("total")).alias("support"))
+        out = good if out is None else out.unionByName(good)
+    return out
+
+
+def _parts(items: Column, most: int) -> Column:
+    """All parts of an array of 1 to ``most`` items that leave one at least."""
+    every = F.transform(F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size(items)) - 2).cast("int")), lambda mask: F.filter(items, lambda x, i: F.floor(mask / F.pow(F.lit(2.0), i)) % 2 == 1))
+    return F.filter(every, lambda a: F.size(a) <= most)
+
+
+def set_rules(sets: DataFrame, most: int, confidence: float, by: list[str] | None = None) -> DataFrame:
+    """by..., ante, cons, support, confidence: rules from antecedents of up to ``most`` items, for all sets of ``item_sets``."""
+    keys = by or []
+    split = sets.where(F.size("items") > 1).select(*keys, "items", "n", "support", F.explode(_parts(F.col("items"), most)).alias("ante"))
+    known = sets.select(*keys, F.col("items").alias("ante"), F.col("n").alias("n_ante"))
+    out = split.join(known, [*keys, "ante"]).withColumn("confidence", F.col("n") / F.col("n_ante"))
+    return out.where(F.col("confidence") > confidence).select(*keys, "ante", F.array_except("items", "ante").alias("cons"), "support", "confidence")

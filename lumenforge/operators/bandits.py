@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +28,15 @@ def softmax(stats: DataFrame, temperature: float) -> DataFrame:
     return stats.crossJoin(F.broadcast(stats.agg(F.sum(e).alias("Z")))).withColumn("p", e / F.col("Z"))
 
 
+def hashed(seed: int, *key: Column) -> Column:
+    """A number of 40 bits, the first of the MD5 of seed and key as text, so that any engine can repeat the choice."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in key))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("long")
+
+
 def uniform(seed: int, *key: Column) -> Column:
     """A number in (0, 1) that depends on seed and key alone, not on partitioning."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return (hashed(seed, *key) + 0.5) / float(1 << 40)
 
 
 def sample_classes(df: DataFrame, cls: str, key: str, seed: int = 1) -> DataFrame:
@@ -66,19 +74,29 @@ def monte_carlo(spark, n: int, f, parts: int = 8, seed: int = 1) -> DataFrame:
     return spark.range(parts).repartition(parts).withColumn("k", F.lit(-(-n // parts))).mapInPandas(run, "value double")
 
 
-def search(spark, cost, moves, start, restarts: int, steps: int, kind: str = "annealing", heat: float = 1.0, seed: int = 1) -> DataFrame:
-    """Independent optimisers, one row each: annealing, hill climb or random search."""
+def search(spark, cost, moves, start, restarts: int, steps: int, kind: str = "annealing", heat: float = 1.0, seed: int = 1, valid=None, tabu: int = 0, tries: int = 20) -> DataFrame:
+    """Independent optimisers, one row each: annealing, hill climb or random search.
+
+    valid: whether a solution is allowed; tabu: how many of the last solutions are not tried again.  A move that breaks
+    one is drawn again, ``tries`` times at most, then not made.
+    """
 
     def run(it):
         for b in it:
             out = []
             for i in b.id:
                 rng = np.random.default_rng([seed, int(i)])
-                x = start(rng)
-                c = cost(x)
+                x = next((y for y in (start(rng) for _ in range(1000)) if valid is None or valid(y)), None)
+                if x is None:
+                    raise ValueError("no valid start among a thousand")
+                c, seen = cost(x), deque([tuple(map(float, x))], tabu or None) if tabu else ()
                 best = (c, x)
                 for k in range(steps):
-                    y = start(rng) if kind == "random" else moves(rng, x)
+                    y = next((y for y in (start(rng) if kind == "random" else moves(rng, x) for _ in range(tries)) if (valid is None or valid(y)) and (not tabu or tuple(map(float, y)) not in seen)), None)
+                    if y is None:
+                        continue
+                    if tabu:
+                        seen.append(tuple(map(float, y)))
                     d = cost(y)
                     t = heat * (1 - k / steps) + 1e-9
                     if d < c or kind == "annealing" and rng.random() < np.exp(min(0.0, (c - d) / t)):

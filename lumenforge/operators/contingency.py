@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bandits import uniform
+
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
@@ -60,8 +62,7 @@ def leave_one_out(df: DataFrame, value: str, target: str, reg: float = 10.0, noi
     s = df.groupBy(value).agg(F.count("*").alias("_n"), F.sum(target).alias("_s"))
     code = (F.col("_s") - F.col(target)) / (F.col("_n") - 1 + reg) if train else F.col("_s") / (F.col("_n") + reg)
     if noise:
-        u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), key), F.lit(1 << 30)) + 0.5) / (1 << 30)
-        z = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
+        z = F.sqrt(-2 * F.log(uniform(seed, F.col(key)))) * F.cos(2 * 3.141592653589793 * uniform(seed + 1, F.col(key)))
         code = code * (1 + noise * F.greatest(F.lit(-2.0), F.least(F.lit(2.0), z)))
     return df.join(s, value).withColumn("code", code).drop("_n", "_s")
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import quantiles, running
 
 
 def num_stats(df: DataFrame, col: str) -> DataFrame:
     x = F.col(col)
-    m = df.agg(F.avg(x).alias("m"), F.median(x).alias("md"))
+    m = df.agg(F.avg(x).alias("m")).crossJoin(F.broadcast(quantiles(df, col, {"md": 0.5})))
     d = df.crossJoin(F.broadcast(m))  # one row
+    mad = quantiles(d.select(F.abs(x - F.col("md")).alias("d")), "d", {"mad": 0.5}).select((F.col("mad") * 1.4826).alias("mad"))
     z = x - F.col("m")
     k = lambda p: F.avg(F.pow(z, F.lit(p)))
-    out = d.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.first("m").alias("mean"), F.first("md").alias("median"), F.sqrt(k(2.0)).alias("std_pop"), (k(3.0) / F.pow(k(2.0), F.lit(1.5))).alias("skewness"), (k(4.0) / F.pow(k(2.0), F.lit(2.0)) - 3).alias("kurtosis"), (F.median(F.abs(x - F.col("md"))) * 1.4826).alias("mad"))
+    out = d.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.first("m").alias("mean"), F.first("md").alias("median"), F.sqrt(k(2.0)).alias("std_pop"), (k(3.0) / F.pow(k(2.0), F.lit(1.5))).alias("skewness"), (k(4.0) / F.pow(k(2.0), F.lit(2.0)) - 3).alias("kurtosis"))
+    out = out.crossJoin(F.broadcast(mad))
     return out.select("n", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 

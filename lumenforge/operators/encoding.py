@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bandits import hashed
+
 
 def dummies(df: DataFrame, col: str, values: list) -> DataFrame:
     return df.select("*", *((F.col(col) == v).cast("int").alias(f"{col}_{v}") for v in values)).drop(col)
@@ -33,7 +35,7 @@ def linear_map(cols: list[str], matrix: list[list[float]]) -> list[Column]:
 
 def hash_vector(value: Column, size: int) -> list[Column]:
     """Signed slots of one hashed value."""
-    slot, sign = F.pmod(F.xxhash64(value), F.lit(size)), F.when(F.pmod(F.hash(value), F.lit(2)) == 1, 1).otherwise(-1)
+    slot, sign = F.pmod(hashed(1, value), F.lit(size)), F.when(F.pmod(hashed(2, value), F.lit(2)) == 1, 1).otherwise(-1)
     return [F.when(slot == i, sign).otherwise(0).alias(f"h{i}") for i in range(size)]
 
 

@@ -16,7 +16,7 @@ def nb_distribution(df: DataFrame, cls: str, features: dict[str, Column]) -> Dat
 
 def nb_predict(df: DataFrame, key: list[str], dist: DataFrame, features: dict[str, Column]) -> DataFrame:
     """Class of the greatest log posterior, add-one smoothing; dist has a row for each value and class."""
-    # a column of scores for each class: rows meet the model by broadcast and are never shuffled
+    # a column of scores for each class; the planner broadcasts a feature's values where they are few
     totals = {(r["feature"], r["cls"]): r["t"] for r in dist.groupBy("feature", "cls").agg(F.sum("n").alias("t")).collect()}  # a row for each feature and class
     first = next(iter(features))
     every = sum(t for (f, _), t in totals.items() if f == first) or 1
@@ -27,7 +27,7 @@ def nb_predict(df: DataFrame, key: list[str], dist: DataFrame, features: dict[st
     for i, k in enumerate(features):
         lp = [F.log((F.col(f"n{n}") + 1) / (F.lit(totals.get((k, c), 0)) + F.col("v"))).alias(f"_s{i}_{n}") for n, c in enumerate(classes)]
         mine = counts.where(F.col("feature") == k).select(F.col("value").alias(f"_k{i}"), *lp)
-        out = out.join(F.broadcast(mine), F.col(f"_v{i}") == F.col(f"_k{i}"), "left")
+        out = out.join(mine, F.col(f"_v{i}") == F.col(f"_k{i}"), "left")
     scores = [F.struct(F.round(sum((F.coalesce(F.col(f"_s{i}_{n}"), F.lit(0.0)) for i in range(len(features))), F.lit(p)), 9).alias("score"), F.lit(c).alias("cls")) for n, (c, p) in enumerate(classes.items())]
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     return out.select(*key, best.alias("x")).select(*key, F.col("x.cls").alias("cls"), F.col("x.score").alias("score"))
@@ -122,3 +122,13 @@ def majority(votes: list[Column]) -> Column:
 def cost_decision(p: Column, cost_fp: float, cost_fn: float) -> Column:
     """1 where the expected cost of saying no exceeds that of saying yes."""
     return (p * cost_fn > (1 - p) * cost_fp).cast("int")
+
+
+def arbitrate(positive: Column, negative: Column, cost_fn: float, cost_fp: float, classes: tuple[str, str] = ("N", "P")) -> Column:
+    """The class of least expected cost, ties to the first: a negative answer costs cost_fn * positive + negative, a positive one cost_fp * negative + positive."""
+    return F.when(cost_fp * negative + positive < cost_fn * positive + negative, classes[1]).otherwise(classes[0])
+
+
+def cost_threshold(percent: Column, cost_fn: float, cost_fp: float, classes: tuple[str, str] = ("N", "P")) -> Column:
+    """The same by a threshold on a percentage: positive above 100 * cost_fp / (cost_fp + cost_fn), in whole numbers."""
+    return F.when(percent > (cost_fp * 100) // (cost_fp + cost_fn), classes[1]).otherwise(classes[0])

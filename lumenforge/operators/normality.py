@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_sf, f_sf, t_sf2
-from .ordered import average_ranks, running, with_next
+from .ordered import average_ranks, quantiles, running, with_next
 from .twosample import ecdf, with_sizes
 
 
@@ -123,8 +123,8 @@ def normal_quantile(p: Column) -> Column:
 
 def fligner(df: DataFrame, value: str, group: str) -> DataFrame:
     """Fligner-Killeen: normal scores of ranks of distances from the group's median."""
-    m = df.groupBy(group).agg(F.median(value).alias("_m"))
-    d = df.join(F.broadcast(m), group).select(F.col(group).alias("g"), F.abs(F.col(value) - F.col("_m")).alias("d"))
+    m = quantiles(df, value, {"_m": 0.5}, [group])
+    d = df.join(m, group).select(F.col(group).alias("g"), F.abs(F.col(value) - F.col("_m")).alias("d"))
     n = d.agg(F.count("*").alias("n"))
     s = average_ranks(d, "d", "r").crossJoin(F.broadcast(n)).select("g", "n", normal_quantile(F.col("r") / (2 * (F.col("n") + 1)) + 0.5).alias("a"))
     t = s.agg(F.avg("a").alias("mean"), F.var_samp("a").alias("var"))
@@ -134,8 +134,8 @@ def fligner(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def epps_singleton(df: DataFrame, value: str, first: Column, at: tuple[float, ...] = (0.4, 0.8)) -> DataFrame:
     """Difference of the empirical characteristic functions at points scaled by half the pooled interquartile range."""
-    q = df.agg(F.percentile(value, [0.25, 0.75]).alias("q")).first()["q"]
-    sigma = (q[1] - q[0]) / 2
+    q = quantiles(df, value, {"low": 0.25, "high": 0.75}).first()
+    sigma = (q["high"] - q["low"]) / 2
     g = [f(F.col(value) * (t / sigma)) for f in (F.cos, F.sin) for t in at]
     k = len(g)
     x = df.where(F.col(value).isNotNull()).select(first.alias("first"), *(c.alias(f"g{i}") for i, c in enumerate(g)))
@@ -152,6 +152,13 @@ def epps_singleton(df: DataFrame, value: str, first: Column, at: tuple[float, ..
     return df.sparkSession.createDataFrame([(w, chi2_sf(w, int(np.linalg.matrix_rank(s))))], "w double, p double")
 
 
+def log_gamma(x: Column) -> Column:
+    """Of numbers from 0.5 on: Stirling's series eight steps further up."""
+    y = x + 8
+    up = sum((F.log(x + i) for i in range(8)), F.lit(0.0))
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0))) - up
+
+
 def zhang_c(df: DataFrame, value: str, first: Column) -> DataFrame:
     """Zhang's Z_C: products of logs of the ranks within and across samples, tied values at their mean rank."""
     e = with_sizes(ecdf(df, value, first))
@@ -160,8 +167,11 @@ def zhang_c(df: DataFrame, value: str, first: Column) -> DataFrame:
     across = F.log(n / (rank - 0.5) - 1)
 
     def within(count: str, cum: str, size: str) -> Column:
-        j = F.sequence(F.col(cum) - F.col(count) + 1, F.col(cum))
-        return F.when(F.col(count) > 0, F.aggregate(j, F.lit(0.0), lambda s, i: s + F.log(F.col(size) / (i - 0.5) - 1))).otherwise(0.0)
+        low, high, m = F.col(cum) - F.col(count), F.col(cum), F.col(size)
+        few = F.aggregate(F.sequence(low + 1, F.least(high, low + 64)), F.lit(0.0), lambda s, i: s + F.log(m / (i - 0.5) - 1))
+        # many tied values: differences of log gammas in place of their terms
+        many = log_gamma(m - low + 0.5) - log_gamma(m - high + 0.5) - log_gamma(high + 0.5) + log_gamma(low + 0.5)
+        return F.when(F.col(count) > 64, many).when(F.col(count) > 0, few).otherwise(0.0)
 
     return e.agg((F.sum((within("a", "ca", "na") + within("b", "cb", "nb")) * across) / F.first(n)).alias("zc"))
 

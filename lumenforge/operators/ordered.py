@@ -32,21 +32,41 @@ def bucket_of(df: DataFrame, col: str, least: int = LEAST, most: int = MOST, row
     return halved(0, len(cuts))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
-    """Adds running sums over distinct values of ``order``, ascending and inclusive.
+def running(df: DataFrame, order: str, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Adds running sums over distinct values of ``order``, ascending and inclusive, of each group ``by`` itself.
 
-    df has one row for each value of ``order`` (aggregate before).
+    df has one row for each group and value of ``order`` (aggregate before).
     """
+    keys = by or []
     d = df.withColumn("_b", bucket_of(df, order)).withColumns({f"_v{i}": c for i, c in enumerate(sums.values())})
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    tot = d.groupBy("_b").agg(*(F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    tot = tot.select("_b", *(F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_p{i}") for i in range(len(sums))))
-    d = d.withColumns({f"_r{i}": F.sum(f"_v{i}").over(w) for i in range(len(sums))}).join(F.broadcast(tot), "_b")
+    w = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    tot = d.groupBy(*keys, "_b").agg(*(F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    tot = tot.select(*keys, "_b", *(F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_p{i}") for i in range(len(sums))))
+    d = d.withColumns({f"_r{i}": F.sum(f"_v{i}").over(w) for i in range(len(sums))}).join(tot if keys else F.broadcast(tot), [*keys, "_b"])
     out = d.withColumns({name: F.col(f"_r{i}") + F.col(f"_p{i}") for i, name in enumerate(sums)})
     return out.drop("_b", *(f"_{k}{i}" for k in "vrp" for i in range(len(sums))))
 
 
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """by..., and a column for each of ``shares``: exact quantiles, between two values by distance; one row without ``by``.
+
+    From running counts of distinct values in buckets, so no task holds all values of the column or of a group.
+    """
+    keys = by or []
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    c = running(c, "_x", {"_c": F.col("_n")}, keys)
+    total = c.groupBy(*keys).agg(F.sum("_n").alias("_t"))
+    c = c.join(total, keys) if keys else c.crossJoin(F.broadcast(total))
+    out = []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("_t") - 1)
+        low, high = F.min(F.when(F.col("_c") > F.floor(at), F.col("_x"))), F.min(F.when(F.col("_c") > F.ceil(at), F.col("_x")))
+        rest = F.max(at - F.floor(at))
+        out.append(((1 - rest) * low + rest * high).alias(name))
+    return c.groupBy(*keys).agg(*out)
+
+
 def with_next(df: DataFrame, order: str, out: str) -> DataFrame:
     """Adds the next distinct value of ``order`` (null at the end); df has one row for each value."""
     d = df.withColumn("_b", bucket_of(df, order))
@@ -91,11 +111,11 @@ def discordant(df: DataFrame, a: str, b: str) -> DataFrame:
     long = long.select("a", "_bucket", "_level", F.expr("_code >> (_level + 1)").alias("_above"), F.when(one, F.col("n")).otherwise(0).alias("_one"), F.when(one, 0).otherwise(F.col("n")).alias("_zero"))
     long = long.groupBy(*by, "_bucket", "a").agg(F.sum("_one").alias("_one"), F.sum("_zero").alias("_zero"))
     inner = Window.partitionBy(*by, "_bucket").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    within = long.select(*by, "_bucket", "_zero", F.coalesce(F.sum("_one").over(inner), F.lit(0)).alias("_own"))
+    within = long.select(*by, "_bucket", F.col("_zero").cast("double").alias("_zero"), F.coalesce(F.sum("_one").over(inner), F.lit(0)).alias("_own"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     sums = long.groupBy(*by, "_bucket").agg(F.sum("_one").alias("_one"), F.sum("_zero").alias("_zero"))
-    across = sums.select((F.col("_zero") * F.coalesce(F.sum("_one").over(earlier), F.lit(0))).alias("x"))
-    wrong = within.select((F.col("_zero") * F.col("_own")).alias("x")).unionAll(across).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("discordant"))
+    across = sums.select((F.col("_zero").cast("double") * F.coalesce(F.sum("_one").over(earlier), F.lit(0))).alias("x"))
+    wrong = within.select((F.col("_zero") * F.col("_own")).alias("x")).unionAll(across).agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("discordant"))  # doubles: products pass the range of whole numbers
     pairs = lambda c: F.sum((F.col(c) * (F.col(c) - 1) / 2).cast("double"))
     ties = lambda k: cells.groupBy(k).agg(F.sum("n").alias("n")).agg(F.coalesce(pairs("n"), F.lit(0.0)).alias(f"tied_{k}"))
     both = cells.agg(F.sum("n").cast("double").alias("n"), F.coalesce(pairs("n"), F.lit(0.0)).alias("tied_both"))

@@ -116,7 +116,7 @@ def adf(x: np.ndarray, lags: int = 1) -> list[tuple[float, float, float, float,
 
 
 def kpss(x: np.ndarray) -> list[tuple[float, float, int]]:
-    """Level statistic, p from the table (held at its ends) and lags int(12 (n / 100)^(1/4))."""
+    """Level statistic, p from the table (held at its ends) and lags 12 (n / 100)^(1/4), rounded up."""
     n = len(x)
     e = x - x.mean()
     lags = min(n - 1, int(math.ceil(12 * (n / 100) ** 0.25)))

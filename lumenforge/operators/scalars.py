@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bandits import hashed
+
 
 def kind_of(c: Column) -> Column:
     """int, float, boolean, none or string: the first that a text fits."""
@@ -35,7 +37,7 @@ def mutated(c: Column, times: int, seed: int = 1) -> Column:
     """Characters replaced at places that a hash chooses: letters by letters, digits by digits."""
     out = c
     for k in range(times):
-        h = F.pmod(F.xxhash64(c, F.lit(seed + k)), F.lit(1 << 40))
+        h = hashed(seed + k, c)
         at = (F.pmod(h, F.greatest(F.length(c), F.lit(1))) + 1).cast("int")
         old = F.substr(out, at, F.lit(1))
         new = F.when(old.rlike("[0-9]"), F.char(F.lit(48) + F.pmod(F.shiftright(h, 8), F.lit(10)))).when(old.rlike("[A-Za-z]"), F.char(F.lit(97) + F.pmod(F.shiftright(h, 8), F.lit(26)))).otherwise(old)
@@ -141,3 +143,13 @@ def chunks(values: Column, size: int) -> Column:
 def add_to_map(m: Column, key: Column, n: Column) -> Column:
     """A keyed counter with n added to one key."""
     return F.map_zip_with(m, F.create_map(key, n), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
+
+
+def past_interval(now: Column, n: int, unit: str) -> Column:
+    """(begin, end): from so many seconds, minutes, hours or days (s, m, h, d) before a time up to it; epoch seconds."""
+    if unit not in UNITS:
+        raise ValueError(f"unit is one of {sorted(UNITS)}")
+    return F.struct((now - n * UNITS[unit]).alias("begin"), now.alias("end"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import average_ranks, discordant
+from .ordered import discordant, running
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -17,9 +17,13 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of average ranks; no task holds the whole order."""
-    d = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
-    r = average_ranks(average_ranks(d, "a", "ra"), "b", "rb")
-    return r.agg(F.corr("ra", "rb").alias("rho"))
+    d = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna().groupBy("a", "b").agg(F.count("*").alias("w"))
+    for c in "ab":  # a row for each pair of values meets the ranks, a row for each value
+        n = running(d.groupBy(c).agg(F.sum("w").alias("_n")), c, {"_c": F.col("_n")})
+        d = d.join(n.select(F.col(c).alias(f"_{c}"), (F.col("_c") - (F.col("_n") - 1) / 2.0).alias(f"r{c}")), F.col(c) == F.col(f"_{c}"))
+    mid = (d.agg(F.sum("w").alias("n")).first()["n"] or 0) / 2 + 0.5  # the mean rank
+    x, y, w = F.col("ra") - mid, F.col("rb") - mid, F.col("w")
+    return d.agg((F.sum(w * x * y) / F.sqrt(F.sum(w * x * x) * F.sum(w * y * y))).alias("rho"))
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -64,7 +64,7 @@ def _summary(kind: str, size: int):
         chosen: list[int] = []
         while len(chosen) < min(size, len(sents)):
             rest = [i for i in range(len(sents)) if i not in chosen]
-            best = max(rest, key=lambda i: (sum(p[w] for w in words[i]) / max(1, len(words[i])), -i))
+            best = max(rest, key=lambda i: (round(sum(p[w] for w in words[i]) / max(1, len(words[i])), 12), -i))
             chosen.append(best)
             for w in set(words[best]):
                 p[w] **= 2

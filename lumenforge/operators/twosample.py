@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import average_ranks, running, with_next
+from .ordered import average_ranks, quantiles, running, with_next
 
 
 def ecdf(df: DataFrame, value: str, first: Column) -> DataFrame:
@@ -78,7 +78,7 @@ def kruskal(df: DataFrame, value: str, group: Column) -> DataFrame:
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     from .series import anova
 
-    m = df.groupBy(group).agg(F.median(value).alias("_m"))
+    m = quantiles(df, value, {"_m": 0.5}, [group])
     return anova(df.join(m, group).select(group, F.abs(F.col(value) - F.col("_m")).alias("z")), group, "z").withColumnRenamed("f", "w")
 
 
@@ -92,7 +92,7 @@ def bartlett(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def median_test(df: DataFrame, value: str, first: Column) -> DataFrame:
     """Chi-square (Yates) of counts above the grand median."""
-    m = df.agg(F.median(value).alias("m"))
+    m = quantiles(df, value, {"m": 0.5})
     up = F.col(value) > F.col("m")
     t = df.crossJoin(F.broadcast(m)).agg(F.count_if(first & up).cast("double").alias("a"), F.count_if(~first & up).cast("double").alias("b"), F.count_if(first & ~up).cast("double").alias("c"), F.count_if(~first & ~up).cast("double").alias("d"))
     a, b, c, d = (F.col(x) for x in "abcd")

@@ -37,3 +37,46 @@ def assoc_rules(read):
 def infrequent_mark(read):
     b = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("tid"), F.col("p_type").alias("item")).distinct()
     return a.mark_infrequent(b, a.frequent(b, 1, 0.5), "*")
+
+
+def _sets(most: int, support: str, key: str = "") -> str:
+    """Item sets of up to so many items: k (the partition), s (items by commas), c, n."""
+    k = key or "0"
+    out = f"b AS MATERIALIZED (SELECT DISTINCT {k} k, l_orderkey t, p_brand i FROM lineitem JOIN part ON l_partkey=p_partkey JOIN orders ON l_orderkey=o_orderkey), n AS (SELECT k, count(DISTINCT t) n FROM b GROUP BY 1)"
+    for level in range(1, most + 1):
+        names = [f"b{j}" for j in range(level)]
+        joins = "".join(f" JOIN b {x} ON {x}.k=b0.k AND {x}.t=b0.t AND {y}.i<{x}.i" for y, x in zip(names, names[1:]))
+        items = ", ".join(f"{x}.i" for x in names)
+        out += f", s{level} AS (SELECT b0.k, array_to_string([{items}],',') s, [{items}] a, count(*) c, any_value(n) n FROM b b0{joins} JOIN n ON n.k=b0.k GROUP BY ALL HAVING count(*) > {support}*any_value(n))"
+    return out + ", u AS (" + " UNION ALL ".join(f"SELECT * FROM s{level}" for level in range(1, most + 1)) + ")"
+
+
+def _keyed(read):
+    o = read("orders").select("o_orderkey", "o_orderpriority")
+    x = read("lineitem").select("l_orderkey", "l_partkey").join(read("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return x.select(F.col("o_orderpriority").alias("k"), F.col("l_orderkey").alias("tid"), F.col("p_brand").alias("item")).distinct()
+
+
+_RULES = """, m AS (SELECT *, unnest(range(1, (1<<len(a))-1)) z FROM u WHERE len(a)>1), r AS (SELECT k, c, n, list_filter(a, lambda x, i: (z>>(i-1))&1=1) p, list_filter(a, lambda x, i: (z>>(i-1))&1=0) q FROM m)
+SELECT {key}array_to_string(p,',') AS ante, array_to_string(q,',') AS cons, round(r.c*1.0/r.n,6) AS support, round(r.c*1.0/u.c,6) AS confidence FROM r JOIN u ON u.k=r.k AND u.a=p WHERE len(p)<=3 AND r.c*1.0/u.c > {least}"""
+
+
+def _shown(rules):
+    return rounded(rules.withColumns({c: F.array_join(c, ",") for c in ("ante", "cons")}))
+
+
+@query(f"WITH {_sets(4, '0.0002')}" + _RULES.format(key="", least="0.1"))
+def assoc_rules_of_three(read):
+    """Antecedents of one to three items."""
+    return _shown(a.set_rules(a.item_sets(_b(read), 4, 0.0002), 3, 0.1))
+
+
+@query(f"WITH {_sets(3, '0.004', 'o_orderpriority')} SELECT k, s AS items, c AS n, round(c*1.0/n,6) AS support FROM u")
+def freq_items_by_key(read):
+    """Of each order priority by itself."""
+    return rounded(a.item_sets(_keyed(read), 3, 0.004, ["k"]).withColumn("items", F.array_join("items", ",")))
+
+
+@query(f"WITH {_sets(3, '0.004', 'o_orderpriority')}" + _RULES.format(key="r.k, ", least="0.12"))
+def assoc_rules_by_key(read):
+    return _shown(a.set_rules(a.item_sets(_keyed(read), 3, 0.004, ["k"]), 3, 0.12, ["k"]))

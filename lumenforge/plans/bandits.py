@@ -167,7 +167,7 @@ def _learner(name, options):
         e = read("events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("seq"), F.col("event_type").alias("arm"), F.col("value").alias("reward"))
         arms = [r[0] for r in e.select("arm").distinct().collect()]  # a row for each event type
         state = e.select("grp").distinct().withColumn("state", F.lit(None).cast("string"))
-        return learners.batch_round(state, e, arms, name, 2, reward_scale=500.0, **options)
+        return learners.batch_round(state, e, arms, name, 2, reward_scale=500.0, **options).select("grp", "actions")
 
     return f
 

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import describe as d
+from ..operators.contingency import rounded
+from ..operators.ordered import quantiles
 from . import query
 
 LI = "lineitem"
@@ -58,7 +60,7 @@ def percentile_of(read):
 
 @query("SELECT round(quantile_cont(o_totalprice,0.9),4) AS p90, round(quantile_cont(o_totalprice,0.25),4) AS p25 FROM orders")
 def value_at_percentile(read):
-    return read("orders").agg(F.round(F.percentile("o_totalprice", 0.9), 4).alias("p90"), F.round(F.percentile("o_totalprice", 0.25), 4).alias("p25"))
+    return rounded(quantiles(read("orders"), "o_totalprice", {"p90": 0.9, "p25": 0.25}), 4)
 
 
 @query("""SELECT round(50.0*(sum((value<200)::INT)+sum((value<=200)::INT)+CASE WHEN sum((value<=200)::INT)>sum((value<200)::INT) THEN 1 ELSE 0 END)/count(value)

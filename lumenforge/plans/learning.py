@@ -1,13 +1,16 @@
 from pyspark.sql import functions as F
 
+from ..operators import clusters as k
 from ..operators import contingency as c
 from ..operators import learning as m
+from ..operators import models as md
 from ..operators import similarity as s
 from ..operators import text as t
 from ..operators.contingency import rounded
 from . import query
 from .models import KEY, _l, pos
 from .similarity import EM, PC, PS, Q, _near, _parts, _vec
+from .sql import uniform
 
 COLS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -209,3 +212,56 @@ def smoothed_conditionals(read):
 def loo_encode_noise(read):
     o = read("orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
     return c.leave_one_out(o, "o_orderpriority", "y", noise=0.3, key="o_orderkey").select("o_orderkey", F.round("code", 9).alias("code"))
+
+
+_MIXED = "p AS (SELECT p_partkey key, p_brand g, p_type t, p_size::DOUBLE s, p_retailprice r FROM part)"
+_GAP = "(((p.s-c.s)/50)^2+((p.r-c.r)/1000)^2+(p.t<>c.t)::INT)/3"
+
+
+def _mixed(read):
+    return read("part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("g"), F.col("p_type").alias("t"), F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"))
+
+
+def _mixed_sql(rounds: int) -> str:
+    out = f"WITH {_MIXED}, c0 AS MATERIALIZED (SELECT g, (row_number() OVER (PARTITION BY g ORDER BY {uniform(1, 'key')})-1) k, s, r, t, 0.0::DOUBLE m FROM p QUALIFY k<3)"
+    for i in range(rounds):
+        out += f""", a{i} AS MATERIALIZED (SELECT p.g, p.s, p.r, p.t, c.k, {_GAP} d FROM p JOIN c{i} c ON c.g=p.g QUALIFY row_number() OVER (PARTITION BY p.key ORDER BY d, c.k)=1), t{i} AS (SELECT g, k, t FROM a{i} GROUP BY 1,2,3 QUALIFY row_number() OVER (PARTITION BY g, k ORDER BY count(*) DESC, t)=1), m{i} AS (SELECT g, k, count(*) n, avg(s) s, avg(r) r, avg(d) e FROM a{i} GROUP BY 1,2),
+n{i} AS (SELECT c.g, c.k, coalesce(m.n,0) n, coalesce(m.s,c.s) s, coalesce(m.r,c.r) r, coalesce(t.t,c.t) t, coalesce(m.e,0) e, c.s s0, c.r r0, c.t t0 FROM c{i} c LEFT JOIN m{i} m ON m.g=c.g AND m.k=c.k LEFT JOIN t{i} t ON t.g=c.g AND t.k=c.k), c{i + 1} AS MATERIALIZED (SELECT g, k, n, s, r, t, e, sqrt((((s-s0)/50)^2+((r-r0)/1000)^2+(t<>t0)::INT)/3) m FROM n{i})"""
+    return out
+
+
+@query(_mixed_sql(1) + " SELECT g, k::INT AS k, n, round(s,6) AS s, round(r,6) AS r, t, round(e,8) AS error, round(m,8) AS movement, max(m) OVER (PARTITION BY g) > 1e-9 AS active FROM c1")
+def kmeans_groups_step(read):
+    """One round of clusters of sizes, prices and types within each brand."""
+    d = _mixed(read)
+    got = k.cluster_round(d, "g", ["s", "r"], ["t"], k.first_centres(d, "g", "key", ["s", "r", "t"], 3), {"s": 50.0, "r": 1000.0})
+    return got.select("g", "k", "n", F.round("s", 6).alias("s"), F.round("r", 6).alias("r"), "t", F.round("error", 8).alias("error"), F.round("movement", 8).alias("movement"), "active")
+
+
+@query(_mixed_sql(4) + " SELECT g, k::INT AS k, n, round(s,6) AS s, round(r,6) AS r, t FROM c4")
+def kmeans_groups(read):
+    """Up to four rounds; groups that have settled are not read again."""
+    d = _mixed(read)
+    got = k.cluster_groups(d, "g", ["s", "r"], ["t"], k.first_centres(d, "g", "key", ["s", "r", "t"], 3), 4, scale={"s": 50.0, "r": 1000.0})
+    return got.select("g", "k", "n", F.round("s", 6).alias("s"), F.round("r", 6).alias("r"), "t")
+
+
+def _starts_sql(n: int) -> str:
+    out = f"WITH p AS MATERIALIZED (SELECT p_partkey k, p_size/50.0::DOUBLE a, p_retailprice/2000 b FROM part), s0 AS (SELECT 0 i, a, b FROM p ORDER BY {uniform(1, 'k')}, k LIMIT 1)"
+    for i in range(1, n):
+        seen = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(i))
+        out += f", d{i} AS (SELECT p.k, p.a, p.b, min((p.a-s.a)^2+(p.b-s.b)^2) d FROM p, ({seen}) s GROUP BY ALL), s{i} AS (SELECT {i} i, a, b FROM d{i} WHERE d>0 ORDER BY ln({uniform(1 + i, 'k')})/d DESC, k DESC LIMIT 1)"
+    return out + " SELECT i, round(a,6) AS a, round(b,6) AS b FROM (" + " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(n)) + ")"
+
+
+@query(_starts_sql(4))
+def kmeans_spread_starts(read):
+    d = read("part").select("p_partkey", (F.col("p_size") / 50).alias("a"), (F.col("p_retailprice") / 2000).alias("b"))
+    got = k.spread_starts(d, "p_partkey", ["a", "b"], 4)
+    return read.spark.createDataFrame([(i, round(a, 6), round(b, 6)) for i, (a, b) in enumerate(got)], "i int, a double, b double")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN 3*(100-p)+p < 5*p+(100-p) THEN 'P' ELSE 'N' END AS arbitrated, CASE WHEN p > 300//8 THEN 'P' ELSE 'N' END AS by_threshold FROM (SELECT *, floor(l_quantity*2)::INT p FROM lineitem)")
+def cost_arbitration(read):
+    p = F.floor(F.col("l_quantity") * 2).cast("int")
+    return _l(read).select(*KEY, md.arbitrate(p, 100 - p, 5, 3).alias("arbitrated"), md.cost_threshold(p, 5, 3).alias("by_threshold"))

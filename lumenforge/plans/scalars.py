@@ -100,3 +100,10 @@ def matrix_rows(read):
     """Vectors of n x k numbers as n rows of k."""
     p = read("embeddings").select("vec_id", F.posexplode(x.chunks(F.col("embedding"), 16)).alias("part", "v"))
     return p.select("vec_id", F.col("part").cast("long").alias("part"), F.round(F.aggregate("v", F.lit(0.0), lambda s, y: s + y), 5).alias("total"))
+
+
+@query(f"SELECT event_id, {SEC}-3*86400 AS begin, {SEC} AS end_ FROM events")
+def past_intervals(read):
+    """The three days before each event."""
+    p = x.past_interval(_sec(), 3, "d")
+    return read("events").select("event_id", p["begin"].alias("begin"), p["end"].alias("end_"))
