@@ -86,8 +86,8 @@ def kmeans_step(df: DataFrame, cols: list[str], centres: list[list[float]]) -> D
     """Nearest centre of each row, then size, mean of each column and sum of squared distances."""
     d = [sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(cols, k, strict=True)), F.lit(0.0)) for k in centres]
     near = F.array_min(F.array(*(F.struct(x.alias("d"), F.lit(i).alias("k")) for i, x in enumerate(d))))
-    a = df.select(*cols, near.alias("x"))
-    return a.groupBy("x.k").agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in cols), F.sum("x.d").alias("sse"))
+    a = df.select(*cols, near.alias("_near"))
+    return a.groupBy(F.col("_near.k").alias("k")).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in cols), F.sum("_near.d").alias("sse"))
 
 
 def kmeans(df: DataFrame, cols: list[str], centres: list[list[float]], rounds: int = 10) -> list[list[float]]:

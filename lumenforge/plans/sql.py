@@ -125,6 +125,8 @@ _few = [{k: 1 + int(np.random.default_rng([1, t]).integers(k)) for k in range(1,
 SQL["learner_intervalEstimator"] = _two(*(f"d{t} AS (SELECT grp, CASE WHEN min(n)<3 THEN first(item) FILTER (i=(CASE k {' '.join(f'WHEN {k} THEN {v}' for k, v in _few[t - 1].items())} END)) ELSE first(item ORDER BY round(m+1.959963984540054*d/sqrt(greatest(n,1)),12) DESC, item) END item FROM l GROUP BY grp)" for t in (1, 2)))
 assert {k.removeprefix("learner_") for k in SQL if k.startswith("learner_")} <= set(LEARNERS)
 
+SQL |= {k.replace("learner_", "stream_"): q for k, q in SQL.items() if k.startswith("learner_")}  # the stream gives what the batch gives
+
 # laws of distribution
 
 _ND = "WITH m AS (SELECT avg(value) m, stddev_samp(value) s, count(*)::DOUBLE n FROM events), x AS (SELECT row_number() OVER (ORDER BY value) i, value v FROM events), "

@@ -122,3 +122,138 @@ def stream(spark: SparkSession, kind: str, **options: str) -> DataFrame:
     schema = options.pop("schema", None)
     r = spark.readStream.format(kind).options(**options)
     return (r.schema(schema) if schema else r).load()
+
+
+def read_hocon(text: str) -> dict:
+    """Nested settings: ``key = value`` or ``key : value`` lines, ``key { ... }`` blocks, lists, quoted strings, # and // comments.
+
+    Dotted keys nest; numbers and true, false and null are read as such; ${a.b} stands for a value before it.
+    """
+    import re
+
+    space, stop = r"[^\S\n]*", r"{}\[\],=:\n#"
+    token = re.compile(rf"""{space}(?:(?:\#|//)[^\n]*|("(?:[^"\\]|\\.)*")|(\$\{{[^}}]*\}})|([{{}}\[\],=:\n])|([^\s{stop}"](?:(?!//)[^{stop}])*))""")
+    marks = [(next(filter(None, m.groups())), bool(m[1])) for m in token.finditer(text) if any(m.groups())]
+    root: dict = {}
+    at = 0
+
+    def look(path: str):
+        out = root
+        for k in path.split("."):
+            out = out[k]
+        return out
+
+    def plain(word: str, quoted: bool):
+        if quoted:
+            return json.loads(word)
+        word = word.strip()
+        if word.startswith("${") or word in ("true", "false", "null"):
+            return look(word[2:-1]) if word[0] == "$" else json.loads(word)
+        for kind in (int, float):
+            try:
+                return kind(word)
+            except ValueError:
+                pass
+        return word
+
+    def skip():
+        nonlocal at
+        while at < len(marks) and marks[at][0] in ("\n", ","):
+            at += 1
+
+    def value():
+        nonlocal at
+        word, quoted = marks[at]
+        at += 1
+        if word == "{":
+            return block({}, "}")
+        if word == "[":
+            out: list = []
+            skip()
+            while marks[at][0] != "]":
+                out.append(value())
+                skip()
+            at += 1
+            return out
+        return plain(word, quoted)
+
+    def block(out: dict, end: str | None) -> dict:
+        nonlocal at
+        skip()
+        while at < len(marks) and marks[at][0] != end:
+            word, quoted = marks[at]
+            key = [json.loads(word)] if quoted else word.strip().split(".")
+            at += 1
+            if marks[at][0] in ("=", ":"):
+                at += 1
+            inner = out
+            for k in key[:-1]:
+                inner = inner.setdefault(k, {})
+            got = value()
+            inner[key[-1]] = inner[key[-1]] | got if isinstance(got, dict) and isinstance(inner.get(key[-1]), dict) else got
+            skip()
+        at += 1
+        return out
+
+    return block(root, None)
+
+
+def setting(settings: dict, key: str, kind: type, otherwise=..., needed_if: bool = True):
+    """A dotted key's value, of its kind; without it ``otherwise``, or an error if it is needed."""
+    out = settings
+    for k in key.split("."):
+        if not isinstance(out, dict) or k not in out:
+            if otherwise is not ... or not needed_if:
+                return None if otherwise is ... else otherwise
+            raise ValueError(f"missing setting {key}")
+        out = out[k]
+    if kind is float and isinstance(out, int) and not isinstance(out, bool):
+        out = float(out)
+    if not isinstance(out, kind) or isinstance(out, bool) and kind is not bool:
+        raise ValueError(f"{key} is not {kind.__name__}: {out!r}")
+    return out
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets))
+
+
+def write_keyed(df: DataFrame, key: str, path: str, buckets: int = 64) -> None:
+    """A store for look-ups by key: a folder for each bucket of keys, rows in order of the key within a file."""
+    d = df.withColumn("bucket", _bucket(F.col(key), buckets))
+    d.repartition(buckets, "bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, key: str, value, buckets: int = 64) -> DataFrame:
+    """The rows of one key: one folder is read, and of its files the row groups that may hold the key."""
+    bucket = int(spark.range(1).select(_bucket(F.lit(value), buckets).alias("b")).first()["b"])
+    return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col(key) == value)).drop("bucket")
+
+
+def send_rows(df: DataFrame, connect) -> int:
+    """Sends each row to an outside store, by a client of its own for each task; gives how many were sent.
+
+    connect(): an object with send(row: dict) and close(); a lost task sends its rows again.
+    """
+
+    def run(it):
+        import pandas as pd
+
+        client, n = connect(), 0
+        try:
+            for b in it:
+                for row in b.to_dict("records"):
+                    client.send(row)
+                    n += 1
+        finally:
+            client.close()
+        yield pd.DataFrame({"n": [n]})
+
+    return df.mapInPandas(run, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0  # a number for each task
+
+
+def write_two(df: DataFrame, main: str, side: str, to_side: Column) -> None:
+    """Two outputs of one result: rows where to_side holds go to the second place."""
+    held = df.withColumn("_side", F.coalesce(to_side, F.lit(False)))
+    held.where(~F.col("_side")).drop("_side").write.parquet(main)
+    held.where("_side").drop("_side").write.parquet(side)

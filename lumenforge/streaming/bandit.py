@@ -1,22 +1,50 @@
-"""Streaming: transition counts, windowed rewards and a keyed bandit learner."""
+"""Streaming: windows, sessions, transition counts and bandit learners on keyed state.
+
+Results go to parquet by way of foreachBatch, a folder for each batch, which a repeated batch overwrites; so
+a query that starts again from its checkpoint leaves what one that never stopped would.
+"""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from ..operators import learners
+from ..sources.shared import shared_dir
+
+
+def to_parquet(stream: DataFrame, path: str, mode: str, checkpoint: str, **trigger):
+    """Starts a query that writes each batch to a folder of its own; trigger: as writeStream's (all available data, once, if none)."""
+
+    def put(df, batch):
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(put).start()
+
+
+def read_batches(spark: SparkSession, path: str, schema, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """The result as it stands: all batches (append), the last one (complete), or each key's last row (update)."""
+    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("_last"))
+        return rows.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("batch", "_last")
+    cols = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("x")).select(*keys, "x.*")
+
+
+def run_once(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """Runs all input available, into files of the shared folder (or of ``path``, from its checkpoint), and gives the result."""
+    from copy import deepcopy
 
-def run_once(spark: SparkSession, stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs all input available, into a memory table, and returns it."""
-    name = "s" + tempfile.mktemp(dir="")[1:].replace("/", "").replace("_", "x")
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path = path or f"{shared_dir(spark)}/lumenforge/stream-{uuid.uuid4().hex}"
+    to_parquet(stream, f"{path}/out", mode, f"{path}/checkpoint").awaitTermination()
+    return read_batches(spark, f"{path}/out", deepcopy(stream.schema), mode, keys)
 
 
 def source(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
@@ -25,9 +53,36 @@ def source(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
-def windowed(stream: DataFrame, late: str = "10 minutes", size: str = "1 day") -> DataFrame:
+def windowed(stream: DataFrame, late: str = "10 minutes", size: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Counts and totals by tumbling windows, or by windows that start every ``slide``."""
     e = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return e.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return e.groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def sessions(stream: DataFrame, key: str, late: str = "10 minutes", gap: str = "1 hour") -> DataFrame:
+    """Counts and totals by sessions of each key: events less than ``gap`` apart."""
+    e = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return e.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def learner_actions(stream: DataFrame, arms: list[str], name: str, batch: int = 1, **options) -> DataFrame:
+    """grp, seen, actions, state: any of the learners on keyed state.
+
+    stream: grp, seq, arm, reward.  In each micro-batch a group takes its rewards in, in order of seq, and gives
+    ``batch`` actions; the learner's whole state is kept from batch to batch.
+    """
+
+    def step(key, came, held: GroupState):
+        learner = learners.create(name, arms, **options).load(held.get[0] if held.exists else None)
+        rows = pd.concat(list(came)).sort_values("seq")
+        for a, r in zip(rows["arm"], rows["reward"]):
+            learner.set_reward(a, r)
+        actions = [learner.next_action() for _ in range(batch)]
+        held.update((learner.state(),))
+        yield pd.DataFrame({"grp": [key[0]], "seen": [sum(learner.n.values())], "actions": [",".join(actions)], "state": [learner.state()]})
+
+    kind = dict(stream.dtypes)["grp"]
+    return stream.select("grp", "seq", "arm", "reward").groupBy("grp").applyInPandasWithState(step, f"grp {kind}, seen long, actions string, state string", "state string", "update", "NoTimeout")
 
 
 def learner(stream: DataFrame, group: str, arm: str, reward: str) -> DataFrame:

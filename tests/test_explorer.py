@@ -60,3 +60,35 @@ def test_save_and_restore(held, spark, tmp_path):
     e = Explorer(spark)
     e.restore(str(tmp_path), {"a": "numeric", "kind": "categorical"})
     assert e.stats("a").first().n == 300 and e.trend("a").first().slope == held.trend("a").first().slope
+
+
+def test_methods_over_several_datasets(spark):
+    """Each against a plain computation."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    rows = [(i, r.gauss(0, 1) + (5 if i % 2 else 0), r.gauss(0, 1) + (5 if i % 2 else 0), float(i), "ab"[i % 2]) for i in range(200)]
+    rows.append((200, 40.0, -30.0, 200.0, "a"))
+    d = spark.createDataFrame(rows, "i long, x double, y double, up double, c string")
+    e = Explorer(spark)
+    e.add(d, "x", "y", "up", order="i")
+    e.add(d, "c", kind="categorical")
+    x = np.array([v[1] for v in rows])
+    assert abs(e.range_percentile("x", 0, 5).first()[0] - 100 * np.mean((x >= 0) & (x <= 5))) < 1e-9
+    assert e.monotonic("up").first().increasing and not e.monotonic("x").first().increasing
+    e.same_size("x", "y")
+    assert e.conditional_information("x", "y", "c").first()[0] >= 0
+    assert abs(e.theil_sen("up").first().slope - 1) < 1e-9 and abs(e.siegel("up").first().slope - 1) < 1e-9
+    c = {v.lag: v.ccf for v in e.cross_correlation("x", "x", 2).collect()}
+    assert abs(c[0] - 1) < 1e-9
+    got = sorted((round(v["x"]), round(v["y"])) for v in e.k_means("i", "x", "y", k=3, rounds=20).collect())
+    assert (40, -30) in got and len(got) == 3
+    assert abs(sum(v.weight for v in e.gaussian_mixture("x", "y").collect()) - 1) < 1e-9
+    assert e.principal_components("x", "y").first().share > 0.5
+    top = e.forest_outliers("i", "x", "y").orderBy("score", ascending=False).first()
+    assert top.i == 200
+    assert e.local_outliers("i", "c", "x", "y").orderBy("lof", ascending=False).first().src == 200
+    for p in (10, 50, 90):
+        assert abs(e.value_at("x", p).first().value - np.percentile(x, p)) < 1e-9
