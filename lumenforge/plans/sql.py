@@ -123,6 +123,13 @@ def _again(t: int) -> np.random.Generator:
 SQL["learner_randomGreedy"] = _two(_greedy(1), _greedy(2))
 _few = [{k: 1 + int(np.random.default_rng([1, t]).integers(k)) for k in range(1, 13)} for t in (1, 2)]
 SQL["learner_intervalEstimator"] = _two(*(f"d{t} AS (SELECT grp, CASE WHEN min(n)<3 THEN first(item) FILTER (i=(CASE k {' '.join(f'WHEN {k} THEN {v}' for k, v in _few[t - 1].items())} END)) ELSE first(item ORDER BY round(m+1.959963984540054*d/sqrt(greatest(n,1)),12) DESC, item) END item FROM l GROUP BY grp)" for t in (1, 2)))
+_SEEN = "ev AS MATERIALIZED (SELECT user_id g, event_type a, value/500 r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) t FROM events)"
+# rewards one after another: a reference that follows the arm's mean; weights that grow with rewards over shares
+SQL["learner_rewardComparison"] = f"""WITH RECURSIVE {_L}, {_SEEN}, mm AS MATERIALIZED (SELECT g, a, t, avg(r) OVER (PARTITION BY g, a ORDER BY t ROWS UNBOUNDED PRECEDING) m FROM ev), rf AS (SELECT g, t, 0.0::DOUBLE b, m FROM mm WHERE t=1 UNION ALL SELECT mm.g, mm.t, b+0.1*(rf.m-b), mm.m FROM rf JOIN mm ON mm.g=rf.g AND mm.t=rf.t+1),
+pf AS (SELECT mm.g, mm.a, 0.1*sum(mm.m-b) q FROM mm JOIN rf ON rf.g=mm.g AND rf.t=mm.t GROUP BY 1,2), lq AS (SELECT grp, item, i, coalesce(q,0) q FROM l LEFT JOIN pf ON pf.g=grp AND pf.a=item), """ + ", ".join(_drawn("exp(q-max(q) OVER (PARTITION BY grp))", t).replace("FROM l)", "FROM lq)") for t in (1, 2)) + " SELECT d1.grp AS grp, d1.item||','||d2.item AS actions FROM d1 JOIN d2 ON d1.grp=d2.grp"
+_share = "(0.9*exp(w[j]-list_max(w))/list_sum(list_transform(w, lambda x: exp(x-list_max(w))))+0.1/len(w))"
+SQL["learner_exponentialWeight"] = f"""WITH RECURSIVE {_L}, {_SEEN}, arms AS (SELECT item, i, k FROM l QUALIFY row_number() OVER (PARTITION BY item ORDER BY grp)=1), es AS MATERIALIZED (SELECT g, t, r, i j, k FROM ev JOIN arms ON item=a), st AS (SELECT DISTINCT g, 0::BIGINT t, list_transform(range(0,k), lambda x: 0.0::DOUBLE) w FROM es UNION ALL SELECT g, t, list_transform(w, lambda x, n: CASE WHEN n=j THEN x+0.1*r/({_share}*len(w)) ELSE x END) FROM (SELECT es.g, es.t, es.r, es.j, st.w FROM st JOIN es ON es.g=st.g AND es.t=st.t+1)),
+fin AS (SELECT g, w FROM st QUALIFY row_number() OVER (PARTITION BY g ORDER BY t DESC)=1), lq AS (SELECT grp, item, i, {_share} q FROM (SELECT l.grp, l.item, l.i, fin.w, l.i j FROM l JOIN fin ON g=grp)), """ + ", ".join(_drawn("q", t).replace("FROM l)", "FROM lq)") for t in (1, 2)) + " SELECT d1.grp AS grp, d1.item||','||d2.item AS actions FROM d1 JOIN d2 ON d1.grp=d2.grp"
 assert {k.removeprefix("learner_") for k in SQL if k.startswith("learner_")} <= set(LEARNERS)
 
 SQL |= {k.replace("learner_", "stream_"): q for k, q in SQL.items() if k.startswith("learner_")}  # the stream gives what the batch gives
@@ -305,3 +312,41 @@ _W = r"list_filter(regexp_split_to_array(lower(s), '\s+'), lambda x: x<>'')"
 SQL["sumbasic"] = f"""WITH {_S}, w AS MATERIALIZED (SELECT item_id k, pos, unnest({_W}) w FROM s), p AS (SELECT k, w, count(*)*1.0::DOUBLE/sum(count(*)) OVER (PARTITION BY k) p FROM w GROUP BY 1,2), a AS MATERIALIZED (SELECT k, pos FROM (SELECT w.k, pos, sum(p)/count(*) s FROM w JOIN p ON p.k=w.k AND p.w=w.w GROUP BY 1,2) QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(s,12) DESC, pos)=1),
 q AS (SELECT p.k, p.w, CASE WHEN EXISTS (SELECT 1 FROM w JOIN a ON a.k=w.k AND a.pos=w.pos WHERE w.k=p.k AND w.w=p.w) THEN p*p ELSE p END p FROM p), b AS (SELECT k, pos FROM (SELECT w.k, w.pos, sum(p)/count(*) s FROM w JOIN q ON q.k=w.k AND q.w=w.w JOIN a ON a.k=w.k AND a.pos<>w.pos GROUP BY 1,2) QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(s,12) DESC, pos)=1)
 SELECT k, 0 AS rank, pos::INT AS sentence FROM a UNION ALL SELECT k, 1, pos::INT FROM b"""
+_DIST = r"list_distinct(" + _W + ")"
+SQL["textrank"] = f"""WITH RECURSIVE {_S}, d AS MATERIALIZED (SELECT item_id k, pos, {_DIST} w, count(*) OVER (PARTITION BY item_id) n FROM s), m AS MATERIALIZED (SELECT a.k, a.pos i, b.pos j, a.n, CASE WHEN a.pos<>b.pos AND len(a.w)>0 AND len(b.w)>0 THEN len(list_intersect(a.w,b.w))/(ln(len(a.w)+1)+ln(len(b.w)+1)) ELSE 0 END x FROM d a JOIN d b ON a.k=b.k), p AS MATERIALIZED (SELECT k, i, j, n, x/greatest(sum(x) OVER (PARTITION BY k, i),1e-12) x FROM m),
+r AS (SELECT k, pos j, 0 t, 1.0::DOUBLE/n r FROM d UNION ALL SELECT p.k, p.j, t+1, 0.15/any_value(p.n)+0.85*sum(r.r*p.x) FROM r JOIN p ON p.k=r.k AND p.i=r.j WHERE t<50 GROUP BY p.k, p.j, t)
+SELECT k, (row_number() OVER (PARTITION BY k ORDER BY round(r,9) DESC, j)-1)::INT AS rank, j::INT AS sentence FROM r WHERE t=50 QUALIFY rank<2"""
+SQL["mmr_summary"] = f"""WITH {_S}, w AS MATERIALIZED (SELECT item_id k, pos, unnest({_W}) w FROM s), c AS MATERIALIZED (SELECT k, pos, w, count(*)::DOUBLE c FROM w GROUP BY 1,2,3), t AS (SELECT k, w, sum(c) t FROM c GROUP BY 1,2), a AS MATERIALIZED (SELECT item_id k, s.pos, coalesce(x,0) x, coalesce(y,0) y FROM s LEFT JOIN (SELECT c.k, c.pos, sum(c*t)/greatest(1,sum(c)) x, sqrt(sum(c*c)) y FROM c JOIN t USING (k, w) GROUP BY 1,2) z ON z.k=item_id AND z.pos=s.pos),
+r AS MATERIALIZED (SELECT k, pos, y, x/greatest(1e-12,max(abs(x)) OVER (PARTITION BY k)) x FROM a), f AS MATERIALIZED (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(0.7*x,12) DESC, pos)=1), g AS (SELECT r.k, r.pos, round(0.7*r.x-0.3*coalesce((SELECT sum(u.c*v.c) FROM c u JOIN c v ON u.w=v.w WHERE u.k=r.k AND u.pos=r.pos AND v.k=f.k AND v.pos=f.pos),0)/(greatest(r.y,1e-12)*greatest(f.y,1e-12)),12) s FROM r JOIN f ON f.k=r.k AND f.pos<>r.pos)
+SELECT k, 0 AS rank, pos::INT AS sentence FROM f UNION ALL SELECT k, 1, pos::INT FROM g QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, pos)=1"""
+
+# more of samples and clusters
+
+
+def _epps() -> str:
+    v, g = "l_extendedprice", [f"{f}(v*{t}/sg)" for f in ("cos", "sin") for t in (0.4, 0.8)]
+    out = f"WITH q AS (SELECT (quantile_cont({v},0.75)-quantile_cont({v},0.25))/2 sg FROM lineitem), x AS (SELECT l_returnflag='R' f, {', '.join(f'{e} x{i}' for i, e in enumerate(g))} FROM (SELECT {v} v, l_returnflag FROM lineitem), q)"
+    one = lambda f: ", ".join(["count(*)::DOUBLE n", *(f"avg(x{i}) m{i}" for i in range(4)), *(f"covar_pop(x{i},x{j}) c{i}{j}" for i in range(4) for j in range(i, 4))]) + f" FROM x WHERE {f}"
+    out += f", a AS (SELECT {one('f')}), b AS (SELECT {one('NOT f')}), e0 AS (SELECT a.n+b.n n, " + ", ".join([*(f"a.m{i}-b.m{i} g{i}" for i in range(4)), *(f"(a.n+b.n)/a.n*a.c{i}{j}+(a.n+b.n)/b.n*b.c{i}{j} s{i}{j}" for i in range(4) for j in range(i, 4))]) + " FROM a, b)"
+    for k in range(3):  # one column eliminated after another
+        cols = ["n", *(f"g{i}" for i in range(k + 1)), *(f"s{i}{j}" for i in range(k + 1) for j in range(i, 4)), *(f"g{i}-s{k}{i}/s{k}{k}*g{k} AS g{i}" for i in range(k + 1, 4)), *(f"s{i}{j}-s{k}{i}/s{k}{k}*s{k}{j} AS s{i}{j}" for i in range(k + 1, 4) for j in range(i, 4))]
+        out += f", e{k + 1} AS (SELECT {', '.join(cols)} FROM e{k})"
+    return out + ", w AS (SELECT n*(" + "+".join(f"g{i}*g{i}/s{i}{i}" for i in range(4)) + ") w FROM e3) SELECT round(w,6) AS w, round(exp(-w/2)*(1+w/2),6) AS p FROM w"
+
+
+SQL["epps_singleton"] = _epps()
+_RNG = np.random.default_rng(1)
+_at = 0.2 + 0.6 * float(_RNG.random())
+_n = int(_RNG.integers(1, 3))
+_some = ",".join(f"'{'FOP'[i]}'" for i in sorted(_RNG.choice(3, _n, replace=False)))
+SQL["random_partitions"] = f"WITH r AS (SELECT min(o_totalprice) lo, max(o_totalprice) hi FROM orders), p AS (SELECT o_totalprice>=lo+(hi-lo)*{_at!r} h, o_orderstatus NOT IN ({_some}) s FROM orders, r) SELECT (h::INT*2+s::INT)::INT AS part, count(*) AS n FROM p GROUP BY 1"
+
+
+def _knee(rounds: int) -> str:
+    out = f"WITH p AS MATERIALIZED (SELECT p_partkey k, p_size/50.0::DOUBLE a, p_retailprice/2000 b FROM part), z AS (SELECT unnest([2,3,4,5]) z), o AS (SELECT 0 s, a, b, row_number() OVER (ORDER BY {uniform(1, 'k')})-1 i FROM p UNION ALL SELECT 1, a, b, row_number() OVER (ORDER BY {uniform(2, 'k')})-1 FROM p), c0 AS MATERIALIZED (SELECT z, s, i, a, b FROM o JOIN z ON i<z)"
+    for r in range(rounds):
+        out += f", n{r} AS MATERIALIZED (SELECT c.z, c.s, p.k, p.a, p.b, c.i, (p.a-c.a)^2+(p.b-c.b)^2 d FROM p, c{r} c QUALIFY row_number() OVER (PARTITION BY c.z, c.s, p.k ORDER BY d, c.i)=1), m{r} AS (SELECT z, s, i, avg(a) a, avg(b) b FROM n{r} GROUP BY 1,2,3), c{r + 1} AS MATERIALIZED (SELECT c.z, c.s, c.i, coalesce(m.a,c.a) a, coalesce(m.b,c.b) b FROM c{r} c LEFT JOIN m{r} m ON m.z=c.z AND m.s=c.s AND m.i=c.i)"
+    return out + f", e AS (SELECT z, min(e) e FROM (SELECT z, s, sum(d) e FROM n{rounds - 1} GROUP BY 1,2) GROUP BY 1), g AS (SELECT z, e, lag(e) OVER (ORDER BY z)-2*e+lead(e) OVER (ORDER BY z) g FROM e) SELECT z AS k, round(e,6) AS sse, coalesce(g=(SELECT max(g) FROM g),false) AS knee FROM g"
+
+
+SQL["kmeans_knee"] = _knee(4)
