@@ -5,7 +5,7 @@ class 0 and whose right one is of class 1; the class is a bit of the symbol's na
 carried on.  What a round makes of a symbol hangs on its neighbours alone, so equal substrings get
 equal interior symbols wherever they stand.  The names of a round are gathered over all documents before the next
 begins: a name that one document alone has joins nothing any more, and a window that holds it is no repeat.
-A name is a 64-bit hash of what it stands for, alike in every task; what comes back from a round is whether it is shared.
+A name is a 64-bit hash of what it stands for, alike in every task (words are compared as words in the end); what comes back from a round is whether it is shared.
 
 With each symbol goes the stretch of tokens that settles it: its own, and those of the
 neighbours that decided how it was made.  A symbol whose stretch lies inside a window is an interior symbol of it,
@@ -153,22 +153,42 @@ class View:
         return np.where(steps[0] == none, -1, (steps[0] & low).astype(np.int64)), names_of
 
 
+SPACES = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256))
+LETTERS = pair_names(np.arange(256, dtype=np.uint64) + ANCHOR, np.full(256, RUN))
+BACK = np.uint64(pow(int(MIX), -1, 1 << 64))
+SLICE = 1 << 17  # words named at a time
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of MIX and of its inverse, n of each at least."""
+    size = 1 << max(20, (n - 1).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        up, down = np.full(size, MIX), np.full(size, BACK)
+        up[0] = down[0] = 1
+        _POWERS[size] = np.cumprod(up), np.cumprod(down)
+    return _POWERS[size]
+
+
 class Words:
-    """Words of a batch: names, and the text with one space between words."""
+    """Words of a batch: where they are in the text, and their names, sums of letters times powers scaled to the word's start."""
 
     def __init__(self, texts: list[bytes]):
-        import xxhash
-
-        words: list[bytes] = []
-        bounds = [0]
-        for t in texts:
-            words += t.split()
-            bounds.append(len(words))
-        index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        name = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
-        self.sym = name[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
-        self.text, self.bounds = b" ".join(words), np.array(bounds, np.int64)
-        self.off = np.cumsum([0, *map(len, words)], dtype=np.int64) + np.arange(len(words) + 1)
+        self.text = b" ".join(texts).translate(SPACES)
+        letters = np.frombuffer(self.text, np.uint8)
+        in_word = letters != 32
+        edge = np.diff(np.concatenate(([False], in_word, [False])).view(np.int8))
+        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.bounds = np.searchsorted(self.start, np.cumsum([0, *(len(t) + 1 for t in texts)])).astype(np.int64)
+        self.sym = np.empty(len(self.start), np.uint64)
+        for w in range(0, len(self.start), SLICE):
+            a, b = self.start[w : w + SLICE], self.end[w : w + SLICE]
+            base = int(a[0])
+            up, down = _powers(int(b[-1]) - base + 1)
+            total = np.zeros(int(b[-1]) - base + 1, np.uint64)
+            np.cumsum(LETTERS[letters[base : int(b[-1])]] * down[: len(total) - 1], out=total[1:])
+            self.sym[w : w + SLICE] = pair_names((total[b - base] - total[a - base]) * up[a - base], (b - a).astype(np.uint64))
 
 
 class Recompression(Method):
@@ -227,7 +247,7 @@ class Recompression(Method):
         return tuple(np.concatenate(x) for x in out)
 
     def cut(self, own, at, size):
-        return own.text[own.off[at] : own.off[at + size] - 1]
+        return own.text[own.start[at] : own.end[at + size - 1]]
 
     def joined(self, pieces):
         return b"\n".join(pieces)

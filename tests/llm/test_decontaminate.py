@@ -102,3 +102,27 @@ def test_verbatim_items_are_found_whatever_their_cosine(spark):
     exact = {k for k, s in short if len(s.split()) < 8}
     assert len(want) >= 100 and want <= got
     assert {x for x in got if x[1] in exact} == {x for x in want if x[1] in exact}
+
+
+def test_paraphrases_in_the_drivers_documents(spark):
+    """Items with a ninth of their words replaced, put into documents of the driver's tables: nine of ten found at least, and no document flagged for an item that is not in it."""
+    sf, r = "/root/testdata/sf0.001", random.Random(17)
+    docs = [(x.doc_id, x.text or "") for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    items = [(x.item_id, x.text) for x in bench.collect() if len(dc.words_of(x.text)) >= 12]
+    before = {(x.doc_id, x.item_id) for x in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    vocabulary = sorted({w for _, t in docs for w in t.split()})
+    clean = [d for d, t in docs if len(t.split()) >= 40 and d not in {x for x, _ in before}]
+    want = set()
+    text = dict(docs)
+    for d, (k, t) in zip(r.sample(clean, min(len(clean), 2 * len(items))), items * 2):
+        w = t.split()
+        for _ in range(max(1, len(w) // 9)):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        body = text[d].split()
+        at = r.randrange(len(body))
+        text[d] = " ".join([*body[:at], *w, *body[at:]])
+        want.add((d, k))
+    got = {(x.doc_id, x.item_id) for x in dc.contaminated(spark.createDataFrame(list(text.items()), "doc_id long, text string"), bench).collect()}
+    assert len(want) >= 50 and len(want & got) >= 0.9 * len(want), (len(want), len(want & got))
+    assert len(got - want - before) <= 0.02 * len(want)

@@ -140,7 +140,7 @@ def test_equal_windows_stay_together(monkeypatch, letters, seed):
         start, count, name = m.segments(own, shared)
         at = repeats.spread(start, count)
         key = np.repeat(name, count)
-        words, seen = own.text.split(), {}
+        words, seen = b" ".join(texts).split(), {}
         for i, k in zip(at.tolist(), key.tolist()):
             assert seen.setdefault(tuple(words[i : i + 13]), k) == k
             assert m.cut(own, i, 13).split() == words[i : i + 13]
@@ -148,6 +148,20 @@ def test_equal_windows_stay_together(monkeypatch, letters, seed):
         assert len(set(at.tolist())) == len(at)
 
 
+def test_words_and_their_names(monkeypatch):
+    """Words are what split() gives, in any slices; equal words alone have equal names."""
+    r = random.Random(2)
+    texts = [bytes(r.choice(b"ab\xc3\xa9 \t\n\v\f\r") for _ in range(r.randrange(60))) for _ in range(40)] + [b"", b" ", b"x" * 5000]
+    for size in (1 << 17, 3):
+        monkeypatch.setattr(recompression, "SLICE", size)
+        w = recompression.Words(texts)
+        got = [w.text[a:b] for a, b in zip(w.start.tolist(), w.end.tolist())]
+        assert got == [x for t in texts for x in t.split()]
+        assert np.diff(w.bounds).tolist() == [len(t.split()) for t in texts]
+        names = dict(zip(got, w.sym.tolist()))
+        assert [names[x] for x in got] == w.sym.tolist() and len(set(names.values())) == len(names)
+
+
 @pytest.mark.parametrize("bucket", [1 << 20, 16])
 def test_suffixes_stand_in_order(monkeypatch, bucket):
     """Against plain sorting, over few and many letters, repeated stretches and buckets of any size."""
