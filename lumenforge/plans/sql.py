@@ -350,3 +350,45 @@ def _knee(rounds: int) -> str:
 
 
 SQL["kmeans_knee"] = _knee(4)
+
+
+def _least_squares() -> str:
+    x = ["l_quantity", "l_discount", "l_tax"]
+    one = ", ".join([f"avg({c}) m{i}" for i, c in enumerate(x)] + ["avg(l_extendedprice) my"] + [f"covar_pop({x[i]},{x[j]}) s{i}{j}" for i in range(3) for j in range(i, 3)] + [f"covar_pop({c},l_extendedprice) g{i}" for i, c in enumerate(x)])
+    out = f"WITH e0 AS (SELECT {one} FROM lineitem)"
+    for k in range(2):
+        keep = ["m0", "m1", "m2", "my", *(f"g{i}" for i in range(k + 1)), *(f"s{i}{j}" for i in range(k + 1) for j in range(i, 3))]
+        out += f", e{k + 1} AS (SELECT {', '.join(keep)}, " + ", ".join([*(f"g{i}-s{k}{i}/s{k}{k}*g{k} AS g{i}" for i in range(k + 1, 3)), *(f"s{i}{j}-s{k}{i}/s{k}{k}*s{k}{j} AS s{i}{j}" for i in range(k + 1, 3) for j in range(i, 3))]) + f" FROM e{k})"
+    out += ", b2 AS (SELECT *, g2/s22 b2 FROM e2), b1 AS (SELECT *, (g1-s12*b2)/s11 b1 FROM b2), b AS (SELECT *, (g0-s01*b1-s02*b2)/s00 b0 FROM b1), f AS (SELECT l_extendedprice y, my+b0*(l_quantity-m0)+b1*(l_discount-m1)+b2*(l_tax-m2) p FROM lineitem, b)"
+    return out + " SELECT round(1-avg((y-p)^2)/var_pop(y),4) AS r2, round(avg(abs(y-p)),4) AS mae, round(avg((y-p)^2),4) AS mse FROM f"
+
+
+SQL["regress_linear"] = _least_squares()
+_x3 = ("l_quantity", "l_discount", "l_tax")
+SQL["classify_naive_bayes"] = f"""WITH e AS (SELECT 1e-9*greatest({', '.join(f'var_pop({c})' for c in _x3)}) e FROM lineitem), g AS (SELECT (l_returnflag='R')::INT y, ln(count(*)*1.0::DOUBLE/(SELECT count(*) FROM lineitem)) p, {', '.join(f'avg({c}) m{i}, var_pop({c}) v{i}' for i, c in enumerate(_x3))} FROM lineitem GROUP BY 1),
+s AS (SELECT i, (l_returnflag='R')::INT t, g.y, p-({'+'.join(f'({c}-m{i})^2/(2*(v{i}+e))+ln(2*pi()*(v{i}+e))/2' for i, c in enumerate(_x3))}) s FROM (SELECT *, row_number() OVER () i FROM lineitem), g, e), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY s DESC)=1)
+SELECT y::DOUBLE AS prediction, count(*) AS n, round(avg(t),6) AS share FROM b GROUP BY 1"""
+
+
+def _robust(rounds: int) -> str:
+    cov = "avg(s) a, avg(r) b, var_samp(s) va, var_samp(r) vb, covar_samp(s,r) c"
+    d = "sqrt(greatest(0,((s-a)^2*vb-2*(s-a)*(r-b)*c+(r-b)^2*va)/(va*vb-c*c)))"
+    out = f"WITH p AS MATERIALIZED (SELECT p_partkey k, p_size::DOUBLE s, p_retailprice r FROM part), m0 AS (SELECT {cov}, false done FROM p)"
+    for i in range(rounds):
+        out += f", d{i} AS (SELECT s, r, {d} d FROM p, m{i}), n{i} AS (SELECT {cov} FROM d{i} WHERE d<=(SELECT quantile_disc(d,0.75) FROM d{i})), m{i + 1} AS MATERIALIZED (SELECT CASE WHEN m.done THEN m.a ELSE n.a END a, CASE WHEN m.done THEN m.b ELSE n.b END b, CASE WHEN m.done THEN m.va ELSE n.va END va, CASE WHEN m.done THEN m.vb ELSE n.vb END vb, CASE WHEN m.done THEN m.c ELSE n.c END c, m.done OR (abs(n.a-m.a)<=1e-8+1e-6*abs(m.a) AND abs(n.b-m.b)<=1e-8+1e-6*abs(m.b)) done FROM m{i} m, n{i} n)"
+    return out + f" SELECT k AS p_partkey, round({d},6) AS distance FROM p, m{rounds}"
+
+
+SQL["robust_mahalanobis"] = _robust(10)
+SQL["spirit"] = """WITH RECURSIVE s AS MATERIALIZED (SELECT user_id u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) t, value x, hour(ts)::DOUBLE y FROM events),
+r AS (SELECT DISTINCT u, 0::BIGINT t, 1.0::DOUBLE a0, 0.0::DOUBLE a1, 0.0::DOUBLE b0, 1.0::DOUBLE b1, 1e-3::DOUBLE d0, 1e-3::DOUBLE d1, 1 k, 1 nk, 0.0::DOUBLE e, 0.0::DOUBLE p0, 0.0::DOUBLE p1, 0.0::DOUBLE share FROM s
+UNION ALL SELECT u, t, a0, a1, b0, b1, d0, d1, k, CASE WHEN share<0.95 AND k<2 THEN 2 WHEN k>1 AND p0>0.98*e THEN 1 ELSE k END, e, p0, p1, share FROM (
+SELECT *, CASE WHEN e=0 THEN 1.0 ELSE (p0+CASE WHEN k>1 THEN p1 ELSE 0 END)/e END share FROM (
+SELECT u, t, a0, a1, CASE WHEN k>1 THEN b0+y1/d1*(q0-y1*b0) ELSE b0 END b0, CASE WHEN k>1 THEN b1+y1/d1*(q1-y1*b1) ELSE b1 END b1, d0, d1, k, (0.96*(t-1)*e+x*x+y*y)/t e, (0.96*(t-1)*p0+y0*y0)/t p0, CASE WHEN k>1 THEN (0.96*(t-1)*p1+y1*y1)/t ELSE p1 END p1 FROM (
+SELECT *, CASE WHEN k>1 THEN 0.96*d1z+y1*y1 ELSE d1z END d1 FROM (
+SELECT *, CASE WHEN k>1 THEN b0*q0+b1*q1 ELSE 0 END y1 FROM (
+SELECT *, x-y0*a0 q0, y-y0*a1 q1 FROM (
+SELECT u, t, x, y, k, e, p0, p1, b0, b1, d1z, y0, d0, a0z+y0/d0*(x-y0*a0z) a0, a1z+y0/d0*(y-y0*a1z) a1 FROM (
+SELECT *, 0.96*d0z+y0*y0 d0 FROM (
+SELECT s.u, s.t, s.x, s.y, r.nk k, r.e, r.p0, r.p1, r.a0 a0z, r.a1 a1z, r.b0, r.b1, r.d0 d0z, r.d1 d1z, r.a0*s.x+r.a1*s.y y0 FROM r JOIN s ON s.u=r.u AND s.t=r.t+1)))))))))
+SELECT u AS k, t-1 AS t, k::BIGINT AS hidden, round(share,6) AS energy FROM r WHERE t>0"""
