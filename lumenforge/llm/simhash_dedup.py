@@ -22,7 +22,7 @@ share of T (l of m segments: at most T * l / m), not one segment alone.
 Each batch of fingerprints first sends its distinct keys alone; the owner of a slot of
 keys marks those that two fingerprints have, and fingerprints follow for these only.  The
 owner then links the fingerprints of a key by search from one to all not yet reached: a
-group of near copies costs about its size, and it gives at most one link a member.  Equal
+group of near copies costs about its size, and all keys of a slot together give at most one link a member.  Equal
 fingerprints (in similarity mode equal sets of shingles) are merged before: they are one node.
 
 Defined cases: null text counts as empty; no words: fingerprint zero, linked as any other
@@ -290,12 +290,23 @@ def links(prints: DataFrame, words: int, limit: int, slots: int, chain: int = 4,
         ids = np.concatenate([opened(x, np.int64) for x in table.column("ids").to_pylist()])
         p = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64).reshape(-1, sent)
         order = np.lexsort((ids, k))
-        out: set[tuple[int, int]] = set()
+        out, up = [], {}
+
+        def top(i: int) -> int:
+            while (j := up.get(i, i)) != i:
+                up[i] = i = up.get(j, j)
+            return i
+
         cut = np.flatnonzero(np.r_[True, k[order][1:] != k[order][:-1], True])
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                i = order[lo:hi]
-                out.update(link_group(ids[i], p[i], limit, int(k[i[0]] >> START) if words == 1 else None))
+            i = order[lo:hi]
+            if hi - lo < 2 or len({top(x) for x in ids[i].tolist()}) < 2:
+                continue
+            for a, b in link_group(ids[i], p[i], limit, int(k[i[0]] >> START) if words == 1 else None):
+                x, y = top(a), top(b)
+                if x != y:  # what other keys of the slot have linked needs no link more
+                    up[max(x, y)] = min(x, y)
+                    out.append((a, b))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -309,7 +320,8 @@ def _nodes(prints: DataFrame) -> DataFrame:
     """node, same, print and rep, the least (doc_id, key) of the rows merged, null after all others."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     rows = prints.where("print is not null").groupBy("same").agg(least.alias("rep"), F.min("print").alias("print"))
-    return stored(rows.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # numbered in the order of ids: the first of a group of copies is then the one that its keys link to, in every slot
+    return stored(rows.orderBy("rep").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def _similar_groups(docs: DataFrame, prints: DataFrame, shingle: int, similarity: float, more: DataFrame | None = None) -> DataFrame:
