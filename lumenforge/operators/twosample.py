@@ -70,7 +70,7 @@ def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
 
 def kruskal(df: DataFrame, value: str, group: Column) -> DataFrame:
     r = rank_sums(df, value, group)
-    n = F.first("total")
+    n = F.first("total").cast("double")  # its cube passes the range of whole numbers
     h = F.lit(12.0) / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
     return r.agg((h / (1 - F.first("tie") / (n * n * n - n))).alias("h"))
 
