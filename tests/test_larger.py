@@ -3,9 +3,10 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lumenforge.operators import twosample
+from lumenforge.operators import neighbours, similarity, twosample
 
 
 def test_kruskal_beyond_the_cube_of_a_long(spark):
@@ -18,3 +19,27 @@ def test_kruskal_beyond_the_cube_of_a_long(spark):
     want = h / (1 - float((k.astype(float) ** 3 - k).sum()) / (float(n) ** 3 - n))
     got = twosample.kruskal(d, "x", F.col("g")).first()["h"]
     assert math.isclose(got, want, rel_tol=1e-6, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("leaf", [5, 1000])
+def test_nearest_points_are_those_of_all_distances(spark, leaf):
+    """Copies, ties, groups smaller than k, and places far from all cells."""
+    rng = np.random.default_rng(3)
+    spread = [(i, [float(x) for x in rng.integers(0, 6, 2)], "a") for i in range(300)]
+    spread += [(1000 + i, [float(x) for x in rng.normal(size=2)], "b") for i in range(200)]
+    spread += [(2000, [0.0, 0.0], "c"), (2001, [9.0, 9.0], "c"), (2002, [9.0, None], "c"), (-7, [90.0, 90.0], "a")]
+    d = spark.createDataFrame(spread, "key long, v array<double>, group string").repartition(3)
+    q = d.where("key % 3 = 0")
+    for mean in (True, False):
+        want = similarity.nearest_rows(q.where("key <> 2002"), d.where("key <> 2002"), 4, mean)
+        got = neighbours.nearest_points(q, d, 4, mean, leaf)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_nearest_points_bring_few_keys_of_a_place(spark):
+    """Ten thousand rows at one place: what is searched is the place, with k + 1 keys."""
+    d = spark.range(10_000).select(F.col("id").alias("key"), F.array(F.lit(0.5), F.lit(0.5)).alias("v"), F.lit(None).cast("string").alias("group"))
+    p = neighbours.points_of(d, 4).collect()
+    assert [r["keys"] for r in p] == [[0, 1, 2, 3]]
+    got = {(r.src, r.rank): (r.dst, r.dist) for r in neighbours.nearest_points(d, d, 3).collect()}
+    assert len(got) == 30_000 and got[2, 3] == (3, 0.0) and got[9_999, 1] == (0, 0.0)
