@@ -6,10 +6,10 @@ from ..operators import outliers as o
 from ..operators import per_series as ps
 from ..operators import series as s
 from ..operators.contingency import rounded
-from ..operators.similarity import grouped_pairs
+from ..sources.shared import stored
 from . import query
 from .series import SER, _s
-from .similarity import PC, PS, _parts
+from .similarity import PS, _near
 from .twosample import EC, V, first
 
 
@@ -163,10 +163,8 @@ def forecast(read):
 @query(f"""WITH {PS}, pr AS (SELECT a.k src, b.k dst, sqrt(((a.x-b.x)^2+(a.y-b.y)^2)/2) d FROM p a JOIN p b ON a.b=b.b AND a.k<>b.k), nn AS (SELECT src, dst, d FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) rn FROM pr) WHERE rn<=5), kd AS (SELECT src, max(d) kd FROM nn GROUP BY 1),
 lr AS (SELECT nn.src, 1/greatest(avg(greatest(d, kd)),1e-12) l FROM nn JOIN kd ON kd.src=nn.dst GROUP BY 1), m AS (SELECT nn.src, avg(l) m FROM nn JOIN lr ON lr.src=nn.dst GROUP BY 1) SELECT m.src, round(m/l,6) AS lof FROM m JOIN lr ON lr.src=m.src""")
 def local_outliers(read):
-    """Within brands, so that pairs stay within a block."""
-    p = grouped_pairs(_parts(read), "p_partkey", "p_brand", PC)
-    both = p.select(F.explode(F.array(F.struct(F.col("k1").alias("src"), F.col("k2").alias("dst"), "dist"), F.struct(F.col("k2").alias("src"), F.col("k1").alias("dst"), "dist"))).alias("x")).select("x.*")
-    return rounded(o.local_outlier_factor(both, 5))
+    """Within brands."""
+    return rounded(o.local_outlier_factor(stored(_near(read, 5, "p_brand", every=True), "near"), 5))
 
 
 @query("""WITH m AS (SELECT avg(p_size) a, avg(p_retailprice) b, var_samp(p_size) va, var_samp(p_retailprice) vb, covar_samp(p_size,p_retailprice) c FROM part)
