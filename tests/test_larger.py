@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenforge.operators import neighbours, similarity, twosample
+from lumenforge.operators import learners, learning, neighbours, similarity, twosample
 
 
 def test_kruskal_beyond_the_cube_of_a_long(spark):
@@ -43,3 +43,38 @@ def test_nearest_points_bring_few_keys_of_a_place(spark):
     assert [r["keys"] for r in p] == [[0, 1, 2, 3]]
     got = {(r.src, r.rank): (r.dst, r.dist) for r in neighbours.nearest_points(d, d, 3).collect()}
     assert len(got) == 30_000 and got[2, 3] == (3, 0.0) and got[9_999, 1] == (0, 0.0)
+
+
+def test_rounds_of_groups_go_on_over_batches(spark):
+    """Many groups in one task, without a call for each, whatever the size of Arrow's batches."""
+    d = spark.range(40).select((F.col("id") % 7).alias("grp"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("arm"), (F.col("id") / 40).alias("reward"))
+    states = d.select("grp").distinct().withColumn("state", F.lit(None).cast("string"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = learners.batch_round(states, d, ["x", "y"], "optimisticThompsonSampler", 2)
+        assert "CoGroup" not in out._jdf.queryExecution().toString()
+        got = {r["grp"]: (r["actions"], r["state"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for g in range(7):
+        one = learners.create("optimisticThompsonSampler", ["x", "y"])
+        for i in range(g, 40, 7):
+            one.set_reward("x" if i % 3 == 0 else "y", i / 40)
+        want[g] = ",".join(one.next_action() for _ in range(2)), one.state()
+    assert got == want
+
+
+def test_explanations_predict_for_many_rows_at_once(spark):
+    def predict(m):
+        assert len(m) > 500, "a call for each row"
+        return 3 * m[:, 0] - m[:, 1] ** 2
+
+    d = spark.range(0, 50, 1, 1).select("id", (F.col("id") / 7).alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    got = {(r["id"], r["feature"]): r["weight"] for r in learning.explain(d, "id", ["a", "b"], predict, {"a": 1.0, "b": 2.0}).collect()}
+    rng = np.random.default_rng(1).normal(size=(500, 2))
+    w = np.sqrt(np.exp(-(rng**2).sum(1) / (0.75**2 * 2)))[:, None]
+    for i in (0, 13, 49):
+        y = predict(np.vstack([np.array([i / 7, i % 5]) + rng * [1.0, 2.0], np.zeros((1, 2))]))[:500]
+        x = np.linalg.lstsq(np.hstack([np.ones((500, 1)), rng]) * w, y * w[:, 0], rcond=None)[0]
+        assert np.allclose(x[1:], [got[i, "a"], got[i, "b"]], atol=1e-8)
