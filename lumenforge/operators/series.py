@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,28 @@ def theil_sen(s: DataFrame) -> DataFrame:
 
 
 def siegel(s: DataFrame) -> DataFrame:
-    """Median over points of the median slope to all other points."""
-    return pair_slopes(s).groupBy("k", "i").agg(F.median("slope").alias("m")).groupBy("k").agg(F.median("m").alias("slope"))
+    """Median over points of the median slope to all other points.
+
+    A series (k, i, x) meets in one task, which holds its points and a block of slopes; slopes are not shuffled.
+    """
+
+    def run(table):
+        i, x = (table.column(c).to_numpy().astype(float) for c in ("i", "x"))
+        i, x = i[~np.isnan(x) & ~np.isnan(i)], x[~np.isnan(x) & ~np.isnan(i)]
+        key, out, step = table.column("k"), [], max(1, (1 << 21) // max(1, len(i)))
+        for at in range(0, len(i) if key[0].is_valid else 0, step):
+            gap = i[None] - i[at : at + step, None]
+            n = (gap != 0).sum(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                slope = np.where(gap != 0, (x[None] - x[at : at + step, None]) / gap, np.nan)
+            slope.sort(axis=1)  # the points themselves come last
+            slope, n = slope[n > 0], n[n > 0]
+            low, high = (np.take_along_axis(slope, m[:, None], 1)[:, 0] for m in ((n - 1) // 2, n // 2))
+            out.append(low + (high - low) * 0.5)
+        out = np.concatenate(out) if out else np.empty(0)
+        return pa.table({"k": key.slice(0, min(1, len(out))), "slope": pa.array([float(np.median(out))] if len(out) else [], pa.float64())})
+
+    return s.select("k", "i", "x").groupBy("k").applyInArrow(run, f"k {dict(s.dtypes)['k']}, slope double")
 
 
 def linear_fit(df: DataFrame, x: Column, y: Column, by: list[str] | None = None) -> DataFrame:
