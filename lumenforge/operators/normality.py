@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_sf, f_sf, t_sf2
-from .ordered import average_ranks, quantiles, running, with_next
+from .ordered import quantiles, running, with_next
 from .twosample import ecdf, with_sizes
 
 
@@ -124,12 +124,16 @@ def normal_quantile(p: Column) -> Column:
 def fligner(df: DataFrame, value: str, group: str) -> DataFrame:
     """Fligner-Killeen: normal scores of ranks of distances from the group's median."""
     m = quantiles(df, value, {"_m": 0.5}, [group])
-    d = df.join(m, group).select(F.col(group).alias("g"), F.abs(F.col(value) - F.col("_m")).alias("d"))
-    n = d.agg(F.count("*").alias("n"))
-    s = average_ranks(d, "d", "r").crossJoin(F.broadcast(n)).select("g", "n", normal_quantile(F.col("r") / (2 * (F.col("n") + 1)) + 0.5).alias("a"))
-    t = s.agg(F.avg("a").alias("mean"), F.var_samp("a").alias("var"))
-    g = s.groupBy("g").agg(F.count("*").alias("k"), F.avg("a").alias("m")).crossJoin(F.broadcast(t))
-    return g.agg((F.sum(F.col("k") * F.pow(F.col("m") - F.col("mean"), 2.0)) / F.first("var")).alias("fligner"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_x")).agg(F.count("*").alias("_k"))
+    d = counts.join(m, group).groupBy(F.col(group).alias("g"), F.abs(F.col("_x") - F.col("_m")).alias("d")).agg(F.sum("_k").alias("k"))
+    r = running(d.groupBy("d").agg(F.sum("k").alias("ties")), "d", {"c": F.col("ties")}).select(F.col("d").alias("_d"), (F.col("c") - (F.col("ties") - 1) / 2.0).alias("r"))
+    n = d.agg(F.sum("k").alias("n"))
+    s = d.join(r, F.col("d") == F.col("_d")).crossJoin(F.broadcast(n)).select("g", "k", "n", normal_quantile(F.col("r") / (2 * (F.col("n") + 1)) + 0.5).alias("a"))
+    t = s.agg((F.sum(F.col("k") * F.col("a")) / F.first("n")).alias("mean"), F.first("n").alias("total"))
+    s = s.crossJoin(F.broadcast(t))
+    gap = F.col("a") - F.col("mean")
+    g = s.groupBy("g").agg(F.sum("k").alias("size"), F.sum(F.col("k") * gap).alias("off"), F.sum(F.col("k") * gap * gap).alias("square"), F.first("total").alias("total"))
+    return g.agg((F.sum(F.col("off") * F.col("off") / F.col("size")) / (F.sum("square") / (F.first("total") - 1))).alias("fligner"))
 
 
 def epps_singleton(df: DataFrame, value: str, first: Column, at: tuple[float, ...] = (0.4, 0.8)) -> DataFrame:
