@@ -78,3 +78,41 @@ def test_explanations_predict_for_many_rows_at_once(spark):
         y = predict(np.vstack([np.array([i / 7, i % 5]) + rng * [1.0, 2.0], np.zeros((1, 2))]))[:500]
         x = np.linalg.lstsq(np.hstack([np.ones((500, 1)), rng]) * w, y * w[:, 0], rcond=None)[0]
         assert np.allclose(x[1:], [got[i, "a"], got[i, "b"]], atol=1e-8)
+
+
+def test_products_find_the_same_nearest(spark):
+    """Copies and ties too; pairs that can't be near are not summed column by column."""
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.normal(size=(300, 16)), rng.integers(0, 2, (200, 16)), np.zeros((9, 16))])
+    v[7] = v[8] = v[400]
+    k, g = rng.permutation(len(v)).astype(np.int64), [str(i % 2) for i in range(len(v))]
+    for groups in (g, [None] * len(v)):
+        got = similarity._best_by_products(k[::3], v[::3], groups[::3], k, v, groups, 5, False)
+        want = []
+        for a in range(0, len(v), 3):
+            d = np.zeros(len(v))
+            for c in range(16):
+                d += (v[a, c] - v[:, c]) ** 2
+            want += [(k[a], t, x) for x, t in sorted((x, t) for x, t, h in zip(np.sqrt(d), k, groups) if t != k[a] and h == groups[a])[:5]]
+        assert sorted(zip(*got)) == sorted(want)
+
+
+def test_siegel_shuffles_points_not_slopes(spark):
+    from lumenforge.operators import series
+
+    d = spark.createDataFrame([(k, i, float((i * 7 + k) % 11)) for k in range(3) for i in range(9 + k)] + [(9, 0, 1.0)], "k int, i long, x double")
+    out = series.siegel(d)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    for k, got in ((r["k"], r["slope"]) for r in out.collect()):
+        x = [float((i * 7 + k) % 11) for i in range(9 + k)]
+        assert got == pytest.approx(np.median([np.median([(x[j] - x[i]) / (j - i) for j in range(len(x)) if j != i]) for i in range(len(x))]))
+    assert out.count() == 3
+
+
+def test_fligner_ranks_counts_not_rows(spark):
+    from lumenforge.operators import normality
+
+    d = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 10).cast("double").alias("x"))
+    out = normality.fligner(d, "x", "g")
+    plan = out._jdf.queryExecution().toString()
+    assert out.first()["fligner"] is not None and "_k" in plan
