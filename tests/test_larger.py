@@ -116,3 +116,14 @@ def test_fligner_ranks_counts_not_rows(spark):
     out = normality.fligner(d, "x", "g")
     plan = out._jdf.queryExecution().toString()
     assert out.first()["fligner"] is not None and "_k" in plan
+
+
+def test_dbscan_of_places_is_that_of_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.integers(0, 25, 2) / 24], "ab"[i % 2]) for i in range(160)] + [(500, [0.5, 0.5], "alone")]
+    d = spark.createDataFrame(rows, "key long, v array<double>, group string")
+    far = lambda x, y: math.sqrt(((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2) / 2)
+    pairs = spark.createDataFrame([(a, b, far(x, y)) for a, x, g in rows for b, y, h in rows if a != b and g == h], "src long, dst long, dist double")
+    want = {r["node"]: r["cluster"] for r in learning.dbscan(pairs, 0.06, 4).collect()}
+    got = {r["node"]: r["cluster"] for r in learning.dbscan_places(d, 0.06, 4, 2).collect()}
+    assert got == want and len(set(got.values())) > 3
