@@ -127,3 +127,21 @@ def test_dbscan_of_places_is_that_of_pairs(spark):
     want = {r["node"]: r["cluster"] for r in learning.dbscan(pairs, 0.06, 4).collect()}
     got = {r["node"]: r["cluster"] for r in learning.dbscan_places(d, 0.06, 4, 2).collect()}
     assert got == want and len(set(got.values())) > 3
+
+
+@pytest.mark.parametrize("steps", [4, 40])
+def test_near_clusters_are_those_of_their_edges(spark, steps):
+    """Copies, equal means, rows without an edge, and no edges formed."""
+    rng = np.random.default_rng(steps)
+    rows = [(int(k), [float(x) for x in rng.integers(0, steps, 2) / steps], "ab"[i % 2]) for i, k in enumerate(rng.permutation(400))]
+    d = spark.createDataFrame([*rows, (900, [9.0, 9.0], "a"), (901, [None, 0.5], "a"), (902, [0.5, 0.5], None)], "key long, v array<double>, group string").repartition(3)
+    edges = []
+    for i, x, g in rows:
+        for j, y, h in rows:
+            gap = math.sqrt((0.0 + (x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2) / 2)
+            if g == h and i < j and gap < 0.2:
+                edges.append((i, j, 1 - gap / 0.2, g))
+    want = learning.edge_clusters(spark.createDataFrame(edges, "a long, b long, weight double, component string"), 0.3)
+    got = learning.near_clusters(d, 0.2, 0.3)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
