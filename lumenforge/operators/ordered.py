@@ -7,6 +7,8 @@ bucket, are added.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,30 +95,71 @@ def dense_index(df: DataFrame, text: str, prefix: int = 2) -> DataFrame:
     return d.withColumn("_i", own).join(start, "_p").withColumn("idx", (F.col("_s") + F.col("_i")).cast("int")).drop("_p", "_i", "_s")
 
 
+def _apart(df: DataFrame, col: str) -> Column:
+    """Number of the bucket of a column's value, as ``bucket_of``; a value that is a cut point has a bucket, of odd number, to itself.
+
+    So a bucket of even number has few rows, however often a single value stands in the column.
+    """
+    got = df.agg(F.count(col).alias("n"), F.percentile_approx(col, [i / MOST for i in range(1, MOST)], 10 * MOST).alias("c")).first()
+    want = min(MOST, max(LEAST, -(-got["n"] // ROWS)))
+    cuts = sorted({c for i, c in enumerate(got["c"] or [], 1) if i * want // MOST != (i - 1) * want // MOST})
+
+    def halved(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.when(F.col(col) == cuts[lo], 2 * lo + 1).otherwise(2 * lo) if lo < len(cuts) else F.lit(2 * lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(col) > cuts[mid], halved(mid + 1, hi)).otherwise(halved(lo, mid))
+
+    return halved(0, len(cuts))
+
+
+def _inversions(cells: DataFrame, bucket: str, first: str, second: str) -> DataFrame:
+    """x: pairs that ``first`` and ``second`` order differently, within each bucket, times their counts n.  A bucket is sorted in one task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, n = (t.column(c).to_numpy() for c in ("_x", "_y", "n"))
+        o = np.lexsort((y, x))  # rows that are tied in x come in the order of y, so none of them counts
+        code, n = np.unique(y, return_inverse=True)[1][o], n[o]
+        total = 0
+        for level in reversed(range(int(code.max()).bit_length())):
+            # codes that share the bits above stand together, in the order of x; they differ first at this bit
+            above, one = code >> (level + 1), (code >> level & 1).astype(bool)
+            ones = np.cumsum(np.where(one, n, 0))
+            starts = np.nonzero(np.r_[True, above[1:] != above[:-1]])[0]
+            before = np.repeat(np.r_[0, ones][starts], np.diff(np.r_[starts, len(code)]))
+            total += float((n * (ones - before))[~one].sum(dtype=float))
+            o = np.argsort(code >> level, kind="stable")
+            code, n = code[o], n[o]
+        return pa.table({"x": [float(total)]})
+
+    d = cells.select(F.col(bucket).alias("_k"), F.col(first).cast("double").alias("_x"), F.col(second).cast("double").alias("_y"), "n")
+    return d.groupBy("_k").applyInArrow(run, "x double")
+
+
 def discordant(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n and pairs of rows tied in a, in b and in both, and pairs that a and b order differently.
 
-    b becomes a dense code; a pair that differs in b does so first at one bit of the code, among rows
-    that share the bits above.  So each row is counted once for each bit, and a pair is found
-    without being formed.  Running sums in the order of a are taken within buckets of a.
+    Such a pair stands in one bucket of a, or else in one bucket of b, or in two of each.  The first two kinds are
+    counted by sorting a bucket, the third from the counts of buckets of a and b; no pair is formed, and a row
+    is sent once for each kind.  Buckets that hold one value have no pair of their kind.
     """
     d = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
     cells = d.groupBy("a", "b").agg(F.count("*").alias("n"))
-    codes = running(d.select("b").distinct(), "b", {"_code": F.lit(1)})
-    bits = max(1, int(codes.agg(F.max("_code").alias("m")).first()["m"] or 1).bit_length())
-    coded = cells.join(codes.select(F.col("b").alias("_v"), "_code"), F.col("b") == F.col("_v")).withColumn("_bucket", bucket_of(cells, "a"))
-    by = ["_level", "_above"]
-    long = coded.select("a", "_bucket", "n", "_code", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_level"))
-    one = F.expr("(_code >> _level) & 1") == 1
-    long = long.select("a", "_bucket", "_level", F.expr("_code >> (_level + 1)").alias("_above"), F.when(one, F.col("n")).otherwise(0).alias("_one"), F.when(one, 0).otherwise(F.col("n")).alias("_zero"))
-    long = long.groupBy(*by, "_bucket", "a").agg(F.sum("_one").alias("_one"), F.sum("_zero").alias("_zero"))
-    inner = Window.partitionBy(*by, "_bucket").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    within = long.select(*by, "_bucket", F.col("_zero").cast("double").alias("_zero"), F.coalesce(F.sum("_one").over(inner), F.lit(0)).alias("_own"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    sums = long.groupBy(*by, "_bucket").agg(F.sum("_one").alias("_one"), F.sum("_zero").alias("_zero"))
-    across = sums.select((F.col("_zero").cast("double") * F.coalesce(F.sum("_one").over(earlier), F.lit(0))).alias("x"))
-    wrong = within.select((F.col("_zero") * F.col("_own")).alias("x")).unionAll(across).agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("discordant"))  # doubles: products pass the range of whole numbers
+    ka, kb = _apart(d, "a"), _apart(d, "b")
+    own = _inversions(cells.select("*", ka.alias("_k")).where("_k % 2 = 0"), "_k", "a", "b")
+    other = _inversions(cells.select("*", ka.alias("_a"), kb.alias("_k")).where("_k % 2 = 0"), "_k", "_a", "b")
+    counts = d.groupBy(ka.alias("_a"), kb.alias("_b")).agg(F.count("*").cast("double").alias("n"))  # a row for each two buckets
+
+    def across(batches):
+        m = np.zeros((2 * MOST + 2, 2 * MOST + 2))
+        for t in batches:
+            m[t.column("_a").to_numpy(), t.column("_b").to_numpy()] = t.column("n").to_numpy()
+        over = np.zeros_like(m)  # of lesser a and greater b
+        over[1:, :-1] = np.cumsum(np.cumsum(m, 0)[:, ::-1], 1)[:-1, ::-1][:, 1:]
+        yield pa.RecordBatch.from_pydict({"x": [float((m * over).sum())]})
+
+    wrong = own.unionAll(other).unionAll(counts.coalesce(1).mapInArrow(across, "x double")).agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("discordant"))
     pairs = lambda c: F.sum((F.col(c) * (F.col(c) - 1) / 2).cast("double"))
-    ties = lambda k: cells.groupBy(k).agg(F.sum("n").alias("n")).agg(F.coalesce(pairs("n"), F.lit(0.0)).alias(f"tied_{k}"))
+    ties = lambda k: d.groupBy(k).agg(F.count("*").alias("n")).agg(F.coalesce(pairs("n"), F.lit(0.0)).alias(f"tied_{k}"))
     both = cells.agg(F.sum("n").cast("double").alias("n"), F.coalesce(pairs("n"), F.lit(0.0)).alias("tied_both"))
     return both.crossJoin(F.broadcast(ties("a"))).crossJoin(F.broadcast(ties("b"))).crossJoin(F.broadcast(wrong))  # one row each

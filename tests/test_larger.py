@@ -145,3 +145,26 @@ def test_near_clusters_are_those_of_their_edges(spark, steps):
     got = learning.near_clusters(d, 0.2, 0.3)
     assert "Join" not in got._jdf.queryExecution().toString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("kinds", [2, 40, 100_000])
+def test_discordant_pairs_are_those_of_all_pairs(spark, kinds):
+    """Values that fill buckets of their own, ties in both columns; no row is sent once for each bit."""
+    from lumenforge.operators import ordered
+
+    rng = np.random.default_rng(kinds)
+    x = rng.integers(0, kinds, 1500)
+    y = np.where(rng.random(1500) < 0.3, 7, (x * 3 + rng.integers(-kinds, kinds, 1500)) // 2)
+    d = spark.createDataFrame([*((float(p), int(q)) for p, q in zip(x, y, strict=True)), (None, 1)], "a double, b long").repartition(3)
+    out = ordered.discordant(d, "a", "b")
+    assert "_level" not in out._jdf.queryExecution().toString()
+    got, i = out.first(), np.triu_indices(1500, 1)
+    p, q = (np.sign(v[:, None] - v[None])[i] for v in (x, y))
+    assert [got["n"], got["tied_a"], got["tied_b"], got["tied_both"], got["discordant"]] == [1500, (p == 0).sum(), (q == 0).sum(), ((p == 0) & (q == 0)).sum(), (p * q < 0).sum()]
+
+
+def test_discordant_of_no_rows(spark):
+    from lumenforge.operators import ordered
+
+    got = ordered.discordant(spark.createDataFrame([], "a double, b double"), "a", "b").first()
+    assert got["discordant"] == 0 and got["tied_a"] == 0
