@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def frequent(baskets: DataFrame, level: int, support: float) -> DataFrame:
     """Item sets (i1 .. ik sorted) of size ``level`` whose share of transactions exceeds ``support``.
@@ -47,19 +49,23 @@ def _of_total(counts: DataFrame, total: DataFrame, keys: list[str], support: flo
 def item_sets(baskets: DataFrame, most: int, support: float, by: list[str] | None = None) -> DataFrame:
     """by..., items (a sorted array), n, support: frequent sets of one to ``most`` items, in each partition ``by`` itself.
 
-    baskets: by..., tid, item, distinct.  A level extends the sets of each transaction that are still frequent by
-    items that are frequent by themselves and come later.
+    baskets: by..., tid, item.  Transactions of the same items count as one, with their number.  A level extends the
+    sets of each that are still frequent by items that are frequent by themselves and come later.
     """
     keys = by or []
-    total = baskets.select(*keys, "tid").distinct().groupBy(*keys).agg(F.count("*").alias("total"))
-    one = _of_total(baskets.groupBy(*keys, "item").agg(F.count("*").alias("n")), total, keys, support)
-    kept = baskets.join(one.select(*keys, "item"), [*keys, "item"], "left_semi")
-    held = kept.select(*keys, "tid", F.array("item").alias("items"))
+    whole = baskets.groupBy(*keys, "tid").agg(F.sort_array(F.collect_set("item")).alias("_all"))
+    # what the levels read, and read again, is the distinct transactions; the key of one of them stands for all
+    whole = stored(whole.groupBy(*keys, "_all").agg(F.min("tid").alias("tid"), F.count("*").alias("_w")), "baskets")
+    total = whole.groupBy(*keys).agg(F.sum("_w").alias("total"))
+    rows = whole.select(*keys, "tid", "_w", F.explode("_all").alias("item"))
+    one = _of_total(rows.groupBy(*keys, "item").agg(F.sum("_w").alias("n")), total, keys, support)
+    kept = rows.join(one.select(*keys, "item"), [*keys, "item"], "left_semi")
+    held = kept.select(*keys, "tid", "_w", F.array("item").alias("items"))
     out = None
     for level in range(1, most + 1):
         if level > 1:
-            held = held.join(kept.select(*keys, "tid", "item"), [*keys, "tid"]).where(F.col("item") > F.element_at("items", -1)).select(*keys, "tid", F.array_append("items", F.col("item")).alias("items"))
-        good = _of_total(held.groupBy(*keys, "items").agg(F.count("*").alias("n")), total, keys, support)
+            held = held.join(kept.select(*keys, "tid", "item"), [*keys, "tid"]).where(F.col("item") > F.element_at("items", -1)).select(*keys, "tid", "_w", F.array_append("items", F.col("item")).alias("items"))
+        good = stored(_of_total(held.groupBy(*keys, "items").agg(F.sum("_w").alias("n")), total, keys, support), "sets")
         held = held.join(good.select(*keys, "items"), [*keys, "items"], "left_semi")
         good = good.select(*keys, "items", "n", (F.col("n") / F.col("total")).alias("support"))
         out = good if out is None else out.unionByName(good)

@@ -168,3 +168,22 @@ def test_discordant_of_no_rows(spark):
 
     got = ordered.discordant(spark.createDataFrame([], "a double, b double"), "a", "b").first()
     assert got["discordant"] == 0 and got["tied_a"] == 0
+
+
+def test_item_sets_count_equal_transactions_once(spark):
+    """A thousand transactions of three kinds: the levels work on three, with their numbers; repeated rows count once."""
+    from lumenforge.operators import association
+
+    kinds = F.array(*(F.array(*map(F.lit, k)) for k in (["a", "b", "c"], ["a", "b"], ["c", "d"])))
+    d = spark.range(1000).select(F.col("id").alias("tid"), F.explode(kinds[(F.col("id") % 3).cast("int")]).alias("item"))
+    got = {tuple(r["items"]): r["n"] for r in association.item_sets(d.unionAll(d), 3, 0.1).collect()}
+    assert got == {("a",): 667, ("b",): 667, ("c",): 667, ("d",): 333, ("a", "b"): 667, ("a", "c"): 334, ("b", "c"): 334, ("c", "d"): 333, ("a", "b", "c"): 334}
+
+
+def test_learners_of_trees_get_partitions_of_few_rows(spark):
+    d = spark.range(0, 1000, 1, 2).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).alias("y"))
+    assert learning.spread(d, 500) is d
+    held = learning.spread(d, 100)
+    sizes = [r["n"] for r in held.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 150
+    assert learning.fit(d, "tree", ["x"], F.col("y")).numFeatures == 1
