@@ -118,11 +118,13 @@ def by_odds_ratio(shares: list[float], least: float) -> list[int]:
     return out
 
 
-def word_vectors(df: DataFrame, words: Column, size: int = 16, least: int = 2, rounds: int = 1):
+def word_vectors(df: DataFrame, words: Column, size: int = 16, least: int = 2, rounds: int = 1, task_words: int = 1 << 20):
+    """A fitted Word2Vec and its rows.  A task trains on about ``task_words`` words; those of all tasks together are the whole input."""
     from pyspark.ml.feature import Word2Vec
 
     d = df.withColumn("_words", words).where(F.size("_words") > 0)
-    return Word2Vec(vectorSize=size, minCount=least, maxIter=rounds, inputCol="_words", outputCol="vector", seed=1, numPartitions=1).fit(d), d
+    parts = max(1, -(-(d.agg(F.sum(F.size("_words")).alias("n")).first()["n"] or 0) // task_words))
+    return Word2Vec(vectorSize=size, minCount=least, maxIter=rounds, inputCol="_words", outputCol="vector", seed=1, numPartitions=parts).fit(d), d
 
 
 def aggregate_pairs(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:

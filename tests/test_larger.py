@@ -187,3 +187,13 @@ def test_learners_of_trees_get_partitions_of_few_rows(spark):
     sizes = [r["n"] for r in held.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 1000 and max(sizes) < 150
     assert learning.fit(d, "tree", ["x"], F.col("y")).numFeatures == 1
+
+
+def test_word_vectors_train_in_tasks_of_few_words(spark):
+    from lumenforge.operators import text_models
+
+    d = spark.createDataFrame([(i, ["a", "b", "c", "d"][i % 3 :]) for i in range(60)], "id long, w array<string>")
+    model, rows = text_models.word_vectors(d, F.col("w"), 4, task_words=50)
+    assert model.getNumPartitions() == 4 and rows.count() == 60
+    assert {r["word"] for r in model.getVectors().collect()} == set("abcd")
+    assert text_models.word_vectors(d, F.col("w"), 4)[0].getNumPartitions() == 1
