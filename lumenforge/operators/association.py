@@ -50,7 +50,8 @@ def item_sets(baskets: DataFrame, most: int, support: float, by: list[str] | Non
     """by..., items (a sorted array), n, support: frequent sets of one to ``most`` items, in each partition ``by`` itself.
 
     baskets: by..., tid, item.  Transactions of the same items count as one, with their number.  A level extends the
-    sets of each that are still frequent by items that are frequent by themselves and come later.
+    sets of each that are still frequent by items that are frequent by themselves and come later; a set carries those
+    of its transaction, so that no level joins or shuffles transactions, but counts of sets only.
     """
     keys = by or []
     whole = baskets.groupBy(*keys, "tid").agg(F.sort_array(F.collect_set("item")).alias("_all"))
@@ -58,15 +59,22 @@ def item_sets(baskets: DataFrame, most: int, support: float, by: list[str] | Non
     whole = stored(whole.groupBy(*keys, "_all").agg(F.min("tid").alias("tid"), F.count("*").alias("_w")), "baskets")
     total = whole.groupBy(*keys).agg(F.sum("_w").alias("total"))
     rows = whole.select(*keys, "tid", "_w", F.explode("_all").alias("item"))
-    one = _of_total(rows.groupBy(*keys, "item").agg(F.sum("_w").alias("n")), total, keys, support)
-    kept = rows.join(one.select(*keys, "item"), [*keys, "item"], "left_semi")
-    held = kept.select(*keys, "tid", "_w", F.array("item").alias("items"))
+    every = stored(rows.groupBy(*keys, "item").agg(F.sum("_w").alias("n")), "items")
+    one = stored(_of_total(every, total, keys, support), "sets")
+    kept = whole
+    if one.count() < every.count():
+        kept = rows.join(one.select(*keys, "item"), [*keys, "item"], "left_semi").groupBy(*keys, "tid").agg(F.max("_w").alias("_w"), F.sort_array(F.collect_list("item")).alias("_all"))
+        kept = stored(kept, "baskets")
+    held = kept.select(*keys, "_w", F.array().cast(kept.schema["_all"].dataType).alias("items"), F.col("_all").alias("_rest"))
     out = None
     for level in range(1, most + 1):
-        if level > 1:
-            held = held.join(kept.select(*keys, "tid", "item"), [*keys, "tid"]).where(F.col("item") > F.element_at("items", -1)).select(*keys, "tid", "_w", F.array_append("items", F.col("item")).alias("items"))
-        good = stored(_of_total(held.groupBy(*keys, "items").agg(F.sum("_w").alias("n")), total, keys, support), "sets")
-        held = held.join(good.select(*keys, "items"), [*keys, "items"], "left_semi")
+        held = held.select("*", F.posexplode("_rest").alias("_at", "_item"))
+        held = held.select(*keys, "_w", F.array_append("items", F.col("_item")).alias("items"), F.slice("_rest", F.col("_at") + 2, F.size("_rest")).alias("_rest"))
+        if level == 1:
+            good = one.withColumn("items", F.array("item"))
+        else:
+            good = stored(_of_total(held.groupBy(*keys, "items").agg(F.sum("_w").alias("n")), total, keys, support), "sets")
+            held = held.join(good.select(*keys, "items"), [*keys, "items"], "left_semi")
         good = good.select(*keys, "items", "n", (F.col("n") / F.col("total")).alias("support"))
         out = good if out is None else out.unionByName(good)
     return out

@@ -197,3 +197,25 @@ def test_word_vectors_train_in_tasks_of_few_words(spark):
     assert model.getNumPartitions() == 4 and rows.count() == 60
     assert {r["word"] for r in model.getVectors().collect()} == set("abcd")
     assert text_models.word_vectors(d, F.col("w"), 4)[0].getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("support", [0.0, 0.3])
+def test_item_sets_join_no_transactions(spark, monkeypatch, support):
+    """With and without rare items; a level's counts come from the transactions' own items."""
+    import itertools
+    import re
+    from collections import Counter
+
+    from lumenforge.operators import association
+
+    plans, stored = [], association.stored
+    monkeypatch.setattr(association, "stored", lambda df, tag: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), stored(df, tag))[1])
+    rng = np.random.default_rng(8)
+    rows = [("uv"[t % 2], t, "abcdefg"[i]) for t in range(80) for i in set(rng.integers(0, 1 + t % 7, 5).tolist())]
+    d = spark.createDataFrame(rows, "k string, tid long, item string")
+    got = {(r["k"], *r["items"]): r["n"] for r in association.item_sets(d, 3, support, ["k"]).collect()}
+    baskets = {(k, t): sorted(i for _, s, i in rows if s == t) for k, t, _ in rows}
+    counts = Counter((k, *c) for (k, _), v in baskets.items() for n in (1, 2, 3) for c in itertools.combinations(v, n))
+    total = Counter(k for k, _ in baskets)
+    assert got == {s: n for s, n in counts.items() if n > support * total[s[0]]}
+    assert len(plans) > 3 and not any(re.search(r"Join [^\n]*\(tid#", p) for p in plans)
