@@ -219,3 +219,13 @@ def test_item_sets_join_no_transactions(spark, monkeypatch, support):
     total = Counter(k for k, _ in baskets)
     assert got == {s: n for s, n in counts.items() if n > support * total[s[0]]}
     assert len(plans) > 3 and not any(re.search(r"Join [^\n]*\(tid#", p) for p in plans)
+
+
+def test_spread_bounds_the_rows_of_a_partition(spark):
+    """However a file was split, a learner's task reads so many rows at most, and all rows are read."""
+    most = lambda d: [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+    for n in (5_000, 50_000):  # ten times the rows, the same bound
+        d = spark.range(0, n, 1, 2)
+        got = most(learning.spread(d, 1_000))
+        assert sum(got) == n and max(got) <= 1_000 + 2  # rounding of each input partition
+    assert learning.spread(d, 50_000) is d
